@@ -48,8 +48,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
+    """A new path below the shared folder, with its scheme, so that Spark and pyarrow read it alike."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_folder(spark), f"{what}-{uuid.uuid4().hex}"))
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def settle(df: DataFrame) -> DataFrame:
