@@ -8,8 +8,8 @@ Plan
 2. Where an anchor repeats, the Rabin-Karp hash of every window of `least` code points that contains it is taken, and
    counted in Spark over documents: windows in two or more are shared. Windows without a repeated anchor can't be.
 3. Overlapping shared windows of a document merge into maximal intervals, the ones a removal would cut.
-4. For pairs, windows that stand in the same set of documents are reduced to one by a commutative digest of the set,
-   so a long span counts once; the members of a set that is large are split over salts before they meet.
+4. For pairs, windows that stand in the same set of documents are one by a commutative digest of the set, so a long
+   span counts once; the members of a large set are split over salts before they meet.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tidewater.session import settle
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-SET_LIMIT = 1000
+SET_LIMIT, HOLD = 1000, 1_000_000
 _powers: list[np.ndarray] = []
 
 
@@ -104,6 +104,73 @@ def _texts(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").where(F.length("text") >= least)
 
 
+def in_several(rows: DataFrame, at: str) -> DataFrame:
+    """(doc_id, `at`, n, members, d1, d2): the rows (h, doc_id, `at`, n) whose hash stands in two documents or more.
+
+    members is the number of documents that hold the hash, d1 and d2 digest which ones. Rows are sorted by hash in a
+    partition and read past in batches. A document has few rows of one hash and many hashes, so no hash has more than
+    a small part of the rows; of one with more than `HOLD` rows only those are held at a time, and the hash itself
+    takes the place of the digest.
+    """
+    ordered = rows.repartition("h").sortWithinPartitions("h", "doc_id", at)
+    names = ["doc_id", at, "n", "members", "d1", "d2"]
+
+    def put(d, p, n, members, d1, d2) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(members, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=names)
+
+    def whole(h, d, p, n) -> pa.RecordBatch | None:
+        """Complete groups."""
+        if not len(h):
+            return None
+        first = np.r_[True, h[1:] != h[:-1]]
+        fresh = first | np.r_[True, d[1:] != d[:-1]]
+        starts = np.flatnonzero(first)
+        members = np.add.reduceat(fresh.astype(np.int64), starts)
+        with np.errstate(over="ignore"):
+            x = d.view(np.uint64) * np.uint64(BASE)
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            y = x * np.uint64(0x94D049BB133111EB)
+            y ^= y >> np.uint64(31)
+            d1, d2 = np.add.reduceat(np.where(fresh, x, np.uint64(0)), starts), np.add.reduceat(np.where(fresh, y * y, np.uint64(0)), starts)
+        size = np.diff(np.r_[starts, len(h)])
+        keep = np.repeat(members > 1, size)
+        return put(d[keep], p[keep], n[keep], np.repeat(members, size)[keep], np.repeat(d1, size)[keep], np.repeat(d2, size)[keep]) if keep.any() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        large = None  # the hash of a group that is passed on without being held
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(k).to_numpy() for k in range(4)]
+            cols = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if large is not None:
+                end = int(np.searchsorted(cols[0], large, "right"))
+                if end:
+                    h = np.full(end, large, np.int64).view(np.uint64)
+                    yield put(cols[1][:end], cols[2][:end], cols[3][:end], np.full(end, 2), h, h)
+                if end == len(cols[0]):
+                    held = None
+                    continue
+                cols, large = [x[end:] for x in cols], None
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+            out = whole(*[x[:cut] for x in cols])
+            if out is not None:
+                yield out
+            held = [x[cut:] for x in cols]
+            if len(held[0]) > HOLD and held[1][0] != held[1][-1]:
+                large = held[0][0]
+                h = np.full(len(held[0]), large, np.int64).view(np.uint64)
+                yield put(held[1], held[2], held[3], np.full(len(h), 2), h, h)
+                held = None
+        if held is not None and (out := whole(*held)) is not None:
+            yield out
+
+    return ordered.mapInArrow(run, f"doc_id long, {at} int, n int, members long, d1 long, d2 long")
+
+
 def repeated_anchors(texts: DataFrame, least: int, probe: int) -> DataFrame:
     """(doc_id, at): a document's sorted positions of anchors that stand in other documents too."""
 
@@ -116,15 +183,15 @@ def repeated_anchors(texts: DataFrame, least: int, probe: int) -> DataFrame:
                 hs.append(h[p])
                 ids.append(np.full(len(p), d, np.int64))
                 pos.append(p)
-            yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos).astype(np.int32))], names=["h", "doc_id", "at"])
+            at = np.concatenate(pos).astype(np.int32)
+            yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(at), pa.array(np.ones(len(at), np.int32))], names=["h", "doc_id", "at", "n"])
 
-    every = texts.mapInArrow(run, "h long, doc_id long, at int").repartition("h")
-    several = every.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("h")
-    return every.join(several, "h", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    every = texts.mapInArrow(run, "h long, doc_id long, at int, n int")
+    return in_several(every, "at").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
 
 
 def window_rows(texts: DataFrame, at: DataFrame, least: int, probe: int) -> DataFrame:
-    """(h, doc_id, start) of the windows of `least` around repeated anchors; of equal windows of a text the first."""
+    """(h, doc_id, start, n) of the windows of `least` around repeated anchors; n successive equal ones are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reach = np.arange(-(least - probe), 1)
@@ -134,20 +201,20 @@ def window_rows(texts: DataFrame, at: DataFrame, least: int, probe: int) -> Data
                 starts = np.unique((np.array(p)[:, None] + reach[None, :]).ravel())
                 starts = starts[(starts >= 0) & (starts <= len(sums) - 1 - least)]
                 h = window_hashes(sums, starts, least).view(np.int64)
+                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(h) else np.zeros(0, int)
+                n = np.diff(np.r_[new, len(h)]).astype(np.int32)
+                h, starts = h[new], starts[new].astype(np.int32)
                 for k in range(0, len(h), 200_000):
-                    yield pa.record_batch([pa.array(h[k : k + 200_000]), pa.array(np.full(len(h[k : k + 200_000]), d, np.int64)), pa.array(starts[k : k + 200_000].astype(np.int32))], names=["h", "doc_id", "start"])
+                    part = slice(k, k + 200_000)
+                    yield pa.record_batch([pa.array(h[part]), pa.array(np.full(len(h[part]), d, np.int64)), pa.array(starts[part]), pa.array(n[part])], names=["h", "doc_id", "start", "n"])
 
-    return texts.join(at, "doc_id").mapInArrow(run, "h long, doc_id long, start int")
+    return texts.join(at, "doc_id").mapInArrow(run, "h long, doc_id long, start int, n int")
 
 
-def shared_windows(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> tuple[DataFrame, DataFrame]:
-    """The windows (h, doc_id, start) around repeated anchors, by h, and the shared ones (h, members, digest)."""
+def shared_windows(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> DataFrame:
+    """(doc_id, start, n, members, d1, d2): the windows that stand in two documents or more, with the set of them."""
     texts = _texts(docs, doc_id, text, least)
-    rows = window_rows(texts, repeated_anchors(texts, least, probe), least, probe).repartition("h")
-    # a document that holds a window twice counts once: the digest sums over distinct members
-    once = rows.groupBy("h", "doc_id").agg(F.min("start").alias("start"))
-    shared = once.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.sum(F.shiftright(F.xxhash64("doc_id"), 16)).alias("d1"), F.bit_xor(F.xxhash64("doc_id")).alias("d2")).where("members > 1")
-    return rows, shared
+    return in_several(window_rows(texts, repeated_anchors(texts, least, probe), least, probe), "start")
 
 
 def shared_intervals(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> DataFrame:
@@ -157,26 +224,28 @@ def shared_intervals(docs: DataFrame, *, doc_id: str, text: str, least: int = 30
     Null texts, texts under `least` and null ids share nothing; rows with one id are one document, so what repeats
     within an id isn't shared.
     """
-    rows, shared = shared_windows(docs, doc_id=doc_id, text=text, least=least, probe=probe)
-    at = rows.join(shared.select("h"), "h", "left_semi").select("doc_id", "start")
+    at = shared_windows(docs, doc_id=doc_id, text=text, least=least, probe=probe).select("doc_id", "start", "n")
 
     def merge(c: Columns) -> dict:
-        s = np.unique(c["start"].astype(np.int64))
-        cut = np.r_[True, np.diff(s) > least]
-        first = s[cut]
-        last = s[np.r_[np.flatnonzero(cut)[1:] - 1, len(s) - 1]] + least
-        n = len(first)
-        return {"doc_id": np.repeat(c["doc_id"][:1], n), "first": first, "last": last, "n_spans": np.full(n, n), "shared": np.full(n, int((last - first).sum()))}
+        s, e = c["start"].astype(np.int64), c["start"].astype(np.int64) + c["n"] - 1 + least
+        far = np.maximum.accumulate(e)
+        cut = np.r_[True, s[1:] > far[:-1]]
+        first, last = s[cut], far[np.r_[np.flatnonzero(cut)[1:] - 1, len(s) - 1]]
+        k = len(first)
+        return {"doc_id": np.repeat(c["doc_id"][:1], k), "first": first, "last": last, "n_spans": np.full(k, k), "shared": np.full(k, int((last - first).sum()))}
 
     return over_groups(at, ["doc_id"], ["start"], merge, "doc_id long, first long, last long, n_spans long, shared long")
 
 
 def sharing_pairs(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: pairs that share a span of `least` code points or more, each once."""
-    rows, shared = shared_windows(docs, doc_id=doc_id, text=text, least=least, probe=probe)
-    one = shared.groupBy("members", "d1", "d2").agg(F.min("h").alias("h"))
-    member = settle(rows.join(one.select("h", "members"), "h").select("h", "members", "doc_id").distinct())
+    """(doc_a, doc_b), doc_a < doc_b: pairs that share a span of `least` code points or more, each once.
+
+    All windows of one set of documents are one set of rows here, so a long span counts once.
+    """
+    key = ["members", "d1", "d2"]
+    windows = shared_windows(docs, doc_id=doc_id, text=text, least=least, probe=probe)
+    member = settle(windows.select(*key, "doc_id").distinct())
     salts = F.ceil(F.col("members") / SET_LIMIT).cast("int")
-    left = member.select("h", F.col("doc_id").alias("doc_a"), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
-    right = member.select("h", F.col("doc_id").alias("doc_b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    return left.join(right, ["h", "salt"]).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    left = member.select(*key, F.col("doc_id").alias("doc_a"), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
+    right = member.select(*key, F.col("doc_id").alias("doc_b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return left.join(right, [*key, "salt"]).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
