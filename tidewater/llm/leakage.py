@@ -5,9 +5,11 @@ Plan
    whatever the number of items), the only thing that is broadcast.
 2. One pass over the corpus in Arrow batches hashes each document's n-grams and keeps the passages around those that
    the filter may know; nothing else of the corpus is shuffled.
-3. The n-grams' document frequencies are counted over these passages, and for each window of `least` words of an item
-   the rarest n-gram becomes its seed: a document that holds the window holds the seed, and n-grams of everyday
-   wording, which join everything with everything, are no seeds unless a window has none other.
+3. The n-grams' frequencies are counted over these passages. For each window of `least` words of an item that the
+   corpus can hold whole, as it holds all its n-grams, the rarest n-gram becomes the seed: a document that holds the
+   window holds the seed. Of other windows, of which there can be edited copies only, the rarest n-gram that occurs
+   is a seed if it is rare, at most `rare` of the number of documents (or ten): everyday wording would join
+   everything with everything.
 4. Seeds join passages to items by hash, exactly. Smith-Waterman alignment over words scores each pair, batched over
    anti-diagonals; it gives the best local score, which stands edits, and the longest verbatim run.
 """
@@ -168,7 +170,7 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, run
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, least: int = 12, n: int = 5) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id: str, item_text: str, least: int = 12, n: int = 5, rare: float = 0.001) -> DataFrame:
     """(doc_id, item_id, score, longest_run, coverage) of every pair that shares a seed.
 
     `longest_run` is the most successive words in common; a pair with a run of `least` words or more is always
@@ -184,12 +186,14 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id:
     found = settle(passages(docs, bits, doc_id=doc_id, text=text, n=n).withColumn("passage", F.monotonically_increasing_id()))
     hits = found.select("passage", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("passage", F.col("x.pos").alias("at"), F.col("x.h").alias("h"))
     frequency = hits.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
-    # each window of `least` words has `least` - n + 1 n-grams; the rarest is the seed, absent ones being the rarest
+    # each window of `least` words has `least` - n + 1 n-grams
     span = least - n
+    often = max(10.0, rare * docs.count())
     ranked = grams.join(frequency, "h", "left").select("key", "pos", F.struct(F.coalesce("f", F.lit(0)).alias("f"), "h").alias("r"))
     per = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "r"))).alias("g"))  # one item's n-grams, bounded by its text
-    windows = F.transform(F.sequence(F.lit(0), F.size("g") - 1 - span), lambda k: F.array_min(F.transform(F.slice("g", k + 1, span + 1), lambda e: e["r"])))
-    seeds = per.select("key", F.explode(F.array_distinct(windows)).alias("r")).where("r.f > 0").select("key", F.col("r.h").alias("h")).distinct()
+    window = F.transform(F.sequence(F.lit(0), F.size("g") - 1 - span), lambda k: F.transform(F.slice("g", k + 1, span + 1), lambda e: e["r"]))
+    chosen = F.transform(window, lambda w: F.when(F.array_min(w)["f"] > 0, F.array_min(w)).otherwise(F.array_min(F.filter(w, lambda r: (r["f"] > 0) & (r["f"] <= often)))))
+    seeds = per.select("key", F.explode(F.array_distinct(chosen)).alias("r")).where("r is not null").select("key", F.col("r.h").alias("h")).distinct()
     pairs = hits.join(seeds, "h").groupBy("passage", "key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     joined = pairs.join(found.select("passage", "doc_id", "words"), "passage").join(texts, "key")
 
