@@ -51,7 +51,7 @@ AIS_FIELDS = (
 )
 
 
-def robust_pca(m: np.ndarray, seen: np.ndarray, steps: int = 40, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def robust_pca(m: np.ndarray, seen: np.ndarray, steps: int = 100, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Principal component pursuit by inexact augmented Lagrangians: m = low rank + sparse on the cells seen.
 
     Unseen cells carry no penalty, so they follow the low-rank part. Singular values come from the smaller Gram
@@ -79,7 +79,7 @@ def robust_pca(m: np.ndarray, seen: np.ndarray, steps: int = 40, tol: float = 1e
         sparse = np.where(seen, np.sign(b) * np.maximum(np.abs(b) - lam / mu, 0), b)
         rest = m - low - sparse
         dual = dual + mu * rest
-        mu *= 1.6
+        mu *= 1.25
         if np.linalg.norm(rest) < tol * size:
             break
     return low, np.where(seen, sparse, 0.0)
