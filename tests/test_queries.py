@@ -10,9 +10,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidewater.plans import features, gold, problems, serving, streams
+from tidewater.plans import extras, features, gold, problems, serving, streams
 
-CORE = [name for m in (problems, gold, serving, features, streams) for name in m.QUERIES]
+CORE = [name for m in (problems, gold, serving, features, extras, streams) for name in m.QUERIES]
 
 
 def cell(v):

@@ -118,12 +118,15 @@ _ARR = "(select distinct mmsi, port_lo_code, arrival_ts, port_lat, port_lon from
 def horizon_samples(p: DataFrame, arrivals: DataFrame) -> DataFrame:
     """For each arrival and horizon the fix nearest to that many hours before it, within five minutes.
 
-    All horizons come from one join: each pair keeps the horizons that it is near to.
+    An arrival has one narrow window for each horizon, so a fix only meets the arrivals it is a sample of, instead of
+    all in the week after it.
     """
-    pairs = rel.interval_join(p, arrivals, "mmsi", F.unix_micros("ts"), F.unix_micros("arrival_ts") - 7 * 24 * 60 * MIN, F.unix_micros("arrival_ts") - 5 * MIN, width_us=24 * 60 * MIN)
-    left = pairs.withColumn("tta_s", timefns.boundaries_crossed("second", "ts", "arrival_ts"))
-    near = F.array_compact(F.array(*[F.when(F.abs(F.col("tta_s") - h * 3600) <= 300, F.lit(h)) for h in domain.HORIZONS]))
-    each = left.withColumn("horizon", F.explode(near))
+    windows = arrivals.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in domain.HORIZONS])))
+    target = F.unix_micros("arrival_ts") - (F.col("horizon") * 3.6e9).cast("long")
+    pairs = rel.interval_join(p, windows, "mmsi", F.unix_micros("ts"), target - 5 * MIN - 1_000_000, target + 5 * MIN + 1_000_000, width_us=10 * MIN)
+    each = pairs.withColumn("tta_s", timefns.boundaries_crossed("second", "ts", "arrival_ts")).where(F.abs(F.col("tta_s") - F.col("horizon") * 3600) <= 300)
+    before = F.unix_micros("arrival_ts") - F.unix_micros("ts")
+    each = each.where((before >= 5 * MIN) & (before <= 7 * 24 * 60 * MIN))
     one = rel.nearest_by(each, ["mmsi", "arrival_ts", "port_lo_code", "port_lat", "port_lon", "horizon"], F.abs(F.col("tta_s") - F.col("horizon") * 3600), [F.col("ts").asc(), F.col("pos_id").asc()])
     return one.withColumn("tta_h", F.col("tta_s") / 3600).withColumn("dist_km", F.round(geo.haversine_km("lat", "lon", "port_lat", "port_lon"), 3))
 

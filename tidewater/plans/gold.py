@@ -209,7 +209,7 @@ def priority_port_match(spark, d):
 
 # port calls
 
-_DECL = "(select distinct mmsi, dest_clean, eta, static_ts, port_lo, port_name, port_lat, port_lon from matched_decl)"
+_DECL = "(select mmsi, dest_clean, eta, static_ts, port_lo, port_name, port_lat, port_lon from matched_decl where mmsi is not null and dest_clean is not null and eta is not null qualify row_number() over (partition by mmsi, dest_clean order by static_ts desc nulls last, decl_id) = 1)"
 _FIX = f"(select row_id, mmsi, ts, lat, lon, sog from messages where message_type in {_TRACK} and lat is not null and lon is not null and mmsi is not null and ts is not null qualify row_number() over (partition by mmsi, ts order by row_id) = 1)"
 _POS_ETA = f"select p.*, m.* exclude (mmsi) from {_FIX} p join {_DECL} m on p.mmsi = m.mmsi and p.ts >= m.static_ts - interval 1 day and p.ts <= coalesce(m.eta, m.static_ts) + interval 7 day"
 
@@ -220,11 +220,14 @@ def fixes(m: DataFrame) -> DataFrame:
 
 
 def declarations(m: DataFrame) -> DataFrame:
-    return m.select("mmsi", "dest_clean", "eta", "static_ts", "port_lo", "port_name", "port_lat", "port_lon").distinct()
+    """The latest declaration of each vessel and destination: as many as places it names, however often it sends."""
+    d = m.where("mmsi is not null and dest_clean is not null and eta is not null")
+    return rel.first_by(d, ["mmsi", "dest_clean"], [F.col("static_ts").desc_nulls_last(), F.col("decl_id").asc()]).select("mmsi", "dest_clean", "eta", "static_ts", "port_lo", "port_name", "port_lat", "port_lon")
 
 
 def positions_in_window(positions: DataFrame, declared: DataFrame) -> DataFrame:
-    """Each fix with the declarations of its vessel whose window [declared - 1 day, eta + 7 days] it lies in."""
+    """Each fix with the declarations of its vessel whose window [declared - 1 day, eta + 7 days] it lies in; a fix
+    meets each place its vessel has named at most once."""
     return rel.interval_join(positions, declared, "mmsi", F.unix_micros("ts"), F.unix_micros("static_ts") - DAY, F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY)
 
 
