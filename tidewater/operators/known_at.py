@@ -88,8 +88,10 @@ def known_at(events: DataFrame, intervals: DataFrame, *, entity: str, at: str, e
     e = events.select(F.col(event_id).alias("event_id"), F.col(entity).alias("entity"), F.unix_micros(F.col(at).cast("timestamp")).alias("__t")).where("event_id is not null and entity is not null and __t is not null")
     rungs = F.array(*[F.struct(F.lit(i).alias("rung"), F.floor(F.col("__t") / w).alias("bucket"), (F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int") if i >= SALTED_FROM else F.lit(0)).alias("salt")) for i, w in enumerate(RUNGS)], F.struct(F.lit(len(RUNGS)).alias("rung"), F.lit(0).cast("long").alias("bucket"), F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int").alias("salt")))
     spread = e.select("event_id", "entity", "__t", F.inline(rungs))
+    # sorted and merged, never broadcast: the planner sizes a side before it is exploded
     return (
-        spread.join(bucketed(intervals), ["entity", "rung", "bucket", "salt"])
+        spread.hint("merge")
+        .join(bucketed(intervals), ["entity", "rung", "bucket", "salt"])
         .where((F.col("from_us") <= F.col("__t")) & (F.col("to_us").isNull() | (F.col("__t") < F.col("to_us"))))
         .select("event_id", "field", "fact_id")
     )
