@@ -33,21 +33,23 @@ SILENCE = 2 * 3_600_000_000
 
 @dataclass(frozen=True)
 class Field:
-    """A field's range, its codes for "not available", and the least deviation that can be a spike."""
+    """A field's range, its codes for "not available", the least deviation that can be a spike, and the least size of
+    one that has a neighbour on one side only, as at a silence, where a lasting change can't be told from a spike."""
 
     name: str
     low: float
     high: float
     codes: tuple[float, ...]
     floor: float
+    alone: float = float("inf")
     kind: str = "linear"  # linear, circular (degrees) or place (degrees of latitude, bounded by speed)
 
 
 AIS_FIELDS = (
-    Field("sog", 0.0, 102.2, (102.3,), 2.2),
-    Field("lat", -90.0, 90.0, (91.0, -91.0), 0.15, "place"),
-    Field("true_heading", 0.0, 359.0, (511.0,), 40.0, "circular"),
-    Field("rate_of_turn", -127.0, 127.0, (-128.0,), 44.0),
+    Field("sog", 0.0, 102.2, (102.3,), 2.2, 60.0),
+    Field("lat", -90.0, 90.0, (91.0, -91.0), 0.15, kind="place"),
+    Field("true_heading", 0.0, 359.0, (511.0,), 40.0, kind="circular"),
+    Field("rate_of_turn", -127.0, 127.0, (-128.0,), 44.0, 60.0),
 )
 
 
@@ -126,7 +128,8 @@ def spikes(t: np.ndarray, v: np.ndarray, field: Field, fastest: float, candidate
     if n < 3:
         return out
     diff = (lambda a, b: _turn(a - b)) if field.kind == "circular" else (lambda a, b: a - b)
-    y = -_nanmedian(np.stack([diff(_shift(v, k), v) for k in (-3, -2, -1, 1, 2, 3)]))
+    around = np.stack([diff(_shift(v, k), v) for k in (-3, -2, -1, 1, 2, 3)])
+    y = _nanmedian(np.abs(around)) if field.kind == "circular" else -_nanmedian(around)  # opposite courses have no sign
     usual = 1.4826 * np.median(np.abs(y - np.median(y)))
     least = field.floor if field.kind == "place" else max(field.floor, 5 * usual)
     # deviations that are usual for the source play no part in the matrix beyond their size
@@ -156,8 +159,7 @@ def spikes(t: np.ndarray, v: np.ndarray, field: Field, fastest: float, candidate
                 between = abs(float(diff(v[hi], v[lo])))
                 ok = bool((least_dev > least).all()) and (between < 0.75 * least_dev.min() if field.kind == "circular" else bool((np.sign(dl) == np.sign(dh)).all()))
             elif field.kind == "linear":
-                # across a silence or at the end of the record only what is beyond the source's usual values
-                ok = bool((np.abs(x) > abs(common) + least).all()) and all((np.abs(d) > least).all() for d in (dl, dh) if d is not None)
+                ok = bool((np.abs(x) > max(field.alone, abs(common) + least)).all()) and all((np.abs(d) > least).all() for d in (dl, dh) if d is not None)
             else:
                 ok = False
             if ok:
