@@ -16,6 +16,7 @@ the same way.
 from __future__ import annotations
 
 import base64
+import heapq
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
@@ -101,43 +102,40 @@ class Packer:
 
 
 def pack_shard(items: list[tuple], shares: dict, deficits: dict, capacity: int, last: bool, window: int = WINDOW) -> tuple[list, list, dict]:
-    """Packs (source, doc, part, size) items; returns closed containers, items carried on, and deficits carried on."""
+    """Packs (source, doc, part, size) items; returns closed containers, items carried on, and deficits carried on.
+
+    All deficits grow at once: a source has been owed its share of `credit`, less what it has spent. Its next item's
+    turn comes at the credit at which the deficit covers it, so one heap of turns serves any number of sources, and a
+    window takes the items whose turn has come, then those whose turn is next until it is full.
+    """
     queues: dict = {}
     for item in items:
         queues.setdefault(item[0], deque()).append(item)
-    owed = {s: deficits.get(s, 0.0) for s in queues}
-    packer, carried, whole = Packer(capacity), [], window * capacity
     names = sorted(queues, key=lambda s: (s is None, s))
-    while any(queues.values()):
-        active = [s for s in names if queues[s]]
-        total = sum(shares.get(s, 0.0) for s in active) or 1.0
-        need = max(capacity, whole - sum(x[-1] for x in carried))
-        taken = 0
-        for s in active:
-            owed[s] += shares.get(s, 0.0) / total * need if total else need / len(active)
-        while taken < need:
-            before = taken
-            for s in active:
-                q = queues[s]
-                while q and q[0][-1] <= owed[s]:
-                    item = q.popleft()
-                    owed[s] -= item[-1]
-                    taken += item[-1]
-                    carried.append(item)
-            if taken == before:
-                # nobody can afford its next item: the one closest to it goes ahead and owes the rest
-                rest = [s for s in active if queues[s]]
-                if not rest:
-                    break
-                s = min(rest, key=lambda s: (queues[s][0][-1] - owed[s], s is None, s))
-                item = queues[s].popleft()
-                owed[s] -= item[-1]
-                taken += item[-1]
-                carried.append(item)
+    weight = {s: max(shares.get(s, 0.0), 1e-12) for s in names}
+    spent = {s: -deficits.get(s, 0.0) for s in names}
+    turns = [((spent[s] + queues[s][0][-1]) / weight[s], k, s) for k, s in enumerate(names)]
+    heapq.heapify(turns)
+    waiting, credit = sum(weight.values()), 0.0
+    packer, carried, whole, ended = Packer(capacity), [], window * capacity, {}
+    while turns:
+        need, taken = max(capacity, whole - sum(x[-1] for x in carried)), 0
+        credit += need / max(waiting, 1e-12)  # the shares of sources that have run out fall to the others
+        while turns and (turns[0][0] <= credit or taken < need):
+            _, k, s = heapq.heappop(turns)
+            item = queues[s].popleft()
+            spent[s] += item[-1]
+            taken += item[-1]
+            carried.append(item)
+            if queues[s]:
+                heapq.heappush(turns, ((spent[s] + queues[s][0][-1]) / weight[s], k, s))
+            else:
+                waiting -= weight[s]
+                ended[s] = credit
         carried = packer.place(carried, last=False)
     if last:
         carried = packer.place(carried, last=True)
-    return packer.closed, carried, owed
+    return packer.closed, carried, {s: weight[s] * ended.get(s, credit) - spent[s] for s in names}
 
 
 def pack(docs: DataFrame, *, doc_id: str, text: str, source: str, capacity: int = 2048, vocabulary: str | None = None, shares: dict[str, float] | None = None) -> DataFrame:
