@@ -376,20 +376,20 @@ def cyclic_time(spark, d):
 
 
 @CAT.add(f"""
-  select {_KEY}, {_half_up('dist_km / greatest(sog, 1)', 2)} as eta_naive_h, {_half_up('case when closing_kmh > 1 then dist_km / closing_kmh else dist_km / greatest(sog, 1) end', 2)} as eta_closing_h, ln(1 + tta_h) as log_tta, tta_h / greatest({_half_up('dist_km / greatest(sog, 1)', 2)}, 0.05) as tta_ratio
+  select {_KEY}, {_half_up('dist_km / greatest(sog, 1)', 2)} as eta_naive_h, {_half_up('case when closing_kmh > 1 then dist_km / closing_kmh else dist_km / greatest(sog, 1) end', 2)} as eta_closing_h, round(ln(1 + tta_h), 9) as log_tta, tta_h / greatest({_half_up('dist_km / greatest(sog, 1)', 2)}, 0.05) as tta_ratio
   from ({_APPROACH}) where dist_km > 0 and dist_km < 20000 and tta_h > 0 and tta_h < 200 and sog > 0 and sog < 50""")
 def eta_baselines(spark, d):
     """Naive times to arrival (distance in km over speed in knots, as the models were fed) and targets."""
     s = approach(_samples(spark, d)).where("dist_km > 0 and dist_km < 20000 and tta_h > 0 and tta_h < 200 and sog > 0 and sog < 50")
     slow = F.greatest("sog", F.lit(1.0))
     naive = half_up(F.col("dist_km") / slow, 2)
-    return keyed(s, naive.alias("eta_naive_h"), half_up(F.when(F.col("closing_kmh") > 1, F.col("dist_km") / F.col("closing_kmh")).otherwise(F.col("dist_km") / slow), 2).alias("eta_closing_h"), F.log1p("tta_h").alias("log_tta"), (F.col("tta_h") / F.greatest(naive, F.lit(0.05))).alias("tta_ratio"))
+    return keyed(s, naive.alias("eta_naive_h"), half_up(F.when(F.col("closing_kmh") > 1, F.col("dist_km") / F.col("closing_kmh")).otherwise(F.col("dist_km") / slow), 2).alias("eta_closing_h"), F.round(F.log1p("tta_h"), 9).alias("log_tta"), (F.col("tta_h") / F.greatest(naive, F.lit(0.05))).alias("tta_ratio"))
 
 
-@CAT.add(f"select {_KEY}, dist_km * closing_kmh as dist_closing, efficiency * ln(1 + dist_km) as eff_logdist, (sog < 0.5 and dist_km > 10 and dist_km < 80)::int as anchored from ({_APPROACH})")
+@CAT.add(f"select {_KEY}, dist_km * closing_kmh as dist_closing, round(efficiency * ln(1 + dist_km), 9) as eff_logdist, (sog < 0.5 and dist_km > 10 and dist_km < 80)::int as anchored from ({_APPROACH})")
 def interaction_features(spark, d):
     s = approach(_samples(spark, d))
-    return keyed(s, (F.col("dist_km") * F.col("closing_kmh")).alias("dist_closing"), (F.col("efficiency") * F.log1p("dist_km")).alias("eff_logdist"), ((F.col("sog") < 0.5) & (F.col("dist_km") > 10) & (F.col("dist_km") < 80)).cast("int").alias("anchored"))
+    return keyed(s, (F.col("dist_km") * F.col("closing_kmh")).alias("dist_closing"), F.round(F.col("efficiency") * F.log1p("dist_km"), 9).alias("eff_logdist"), ((F.col("sog") < 0.5) & (F.col("dist_km") > 10) & (F.col("dist_km") < 80)).cast("int").alias("anchored"))
 
 
 _BIN = "case when tta_h < 1 then 0 when tta_h < 6 then 1 when tta_h < 24 then 2 when tta_h < 72 then 3 when tta_h < 200 then 4 end"
