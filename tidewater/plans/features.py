@@ -15,6 +15,7 @@ from tidewater.operators import known_at as pit
 from tidewater.operators import relational as rel
 from tidewater.plans import gold
 from tidewater.plans.catalogue import Catalogue
+from tidewater.session import settle
 from tidewater.sources.tables import table
 
 CAT = Catalogue()
@@ -285,7 +286,7 @@ def route_buckets(spark, d):
   from s left join r on r.port_lo_code = s.port_lo_code and r.bucket = s.bucket left join g on g.bucket = s.bucket left join m on m.mmsi = s.mmsi and m.port_lo_code = s.port_lo_code""")
 def route_star_join(spark, d):
     """Samples with statistics of the port and distance, the distance, and the vessel at the port."""
-    s = _samples(spark, d).withColumn("bucket", domain.bucket_of("dist_km"))
+    s = settle(_samples(spark, d).withColumn("bucket", domain.bucket_of("dist_km")))  # used four times
     g = s.groupBy("bucket").agg(F.median("tta_h").alias("g_tta"))
     m = s.groupBy("mmsi", "port_lo_code").agg(F.count(F.lit(1)).alias("n"), F.median("tta_h").alias("m_tta")).where("n >= 3").drop("n")
     j = s.join(route_stats(s).select("port_lo_code", "bucket", "median_tta"), ["port_lo_code", "bucket"], "left").join(g, "bucket", "left").join(m, ["mmsi", "port_lo_code"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import domain, geo, text, timefns
 from tidewater.operators import relational as rel
 from tidewater.plans.catalogue import Catalogue
+from tidewater.session import settle
 from tidewater.sources import landing
 from tidewater.sources.tables import table
 
@@ -345,7 +346,9 @@ def departures_first_exit(spark, d):
 
 
 def port_calls(window: DataFrame, positions: DataFrame, strict: bool = False) -> DataFrame:
-    calls = arrivals(window)
+    """Arrivals with the departures after them. Arrivals are few against the fixes they come from and are used twice,
+    so they are settled once."""
+    calls = settle(arrivals(window))
     keys = ["mmsi", "port_lo", "arrival_ts"] if strict else ["mmsi", "port_lo"]
     return calls.join(departures(calls, positions, strict), keys, "left").withColumn("arrival_date", F.to_date("arrival_ts"))
 
