@@ -48,6 +48,13 @@ def test_noaa_rows(spark, tmp_path):
     assert set(b) == {None}
 
 
+def test_noaa_vessels_are_the_most_complete(spark, tmp_path):
+    head = "mmsi,base_date_time,longitude,latitude,vessel_name,imo,call_sign,length,width\n"
+    (tmp_path / "d.csv").write_text(head + "1,2016-01-01 00:00:01,0,0,A,,,,\n1,2016-01-01 00:00:02,0,0,A,IMO5,C,10,\n1,2016-01-01 00:00:03,0,0,B,,C,,\n2,2016-01-01 00:00:03,0,0,,IMO7,C,1,1\n")
+    got = landing.noaa_vessels(landing.read_noaa(spark, str(tmp_path / "d.csv"))).collect()
+    assert [(r.mmsi, r.vessel_name, r.imo_number, r.length_m) for r in got] == [(1, "A", 5, 10)]
+
+
 def test_ports_keep_the_first_row_of_a_code(spark, tmp_path):
     (tmp_path / "p.csv").write_text("Country,Location,Name,NameWoDiacritics,Function,Coordinates,Subdivision,Status\nAA,BBB,One,One,--3-----,4230N 00131E,,AF\nAA,BBB,Two,Two,1-------,,,AF\nAA,CCC,X,X,1-------,bad,,\n")
     got = {r.lo_code: r for r in landing.read_ports(spark, str(tmp_path / "p.csv")).collect()}
@@ -98,4 +105,5 @@ def test_catalogue_table_gains_columns(spark, tmp_path):
     sinks.register(spark, "tide_t", f"{tmp_path}/t", partitioned=False)
     sinks.add_columns(spark, "tide_t", {"a": "int", "heading": "int"})
     assert "heading" in spark.table("tide_t").columns
+    sinks.analyze(spark, "tide_t")
     spark.sql("drop table tide_t")

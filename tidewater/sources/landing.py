@@ -135,6 +135,13 @@ def noaa_positions(raw: DataFrame) -> DataFrame:
     )
 
 
+def noaa_vessels(positions: DataFrame) -> DataFrame:
+    """One row a vessel: the most complete of what it has sent, the newest of equals."""
+    named = positions.where("mmsi is not null and vessel_name is not null").withColumn("score", sum((F.col(c).isNotNull().cast("int") for c in ("vessel_name", "call_sign", "imo_number", "length_m", "width_m")), F.lit(0)))
+    best = F.max_by(F.struct("vessel_name", "imo_number", "call_sign", "vessel_type", "length_m", "width_m", "transceiver_class"), F.struct("score", F.coalesce("ts", F.lit(-1)), "vessel_name", F.coalesce("imo_number", F.lit(-1)))).alias("b")
+    return named.groupBy("mmsi").agg(best).select("mmsi", "b.*")
+
+
 def read_noaa(spark: SparkSession, *paths: str) -> DataFrame:
     """CSV with a header, every column text; short rows are padded with nulls."""
     return noaa_positions(spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(list(paths)))

@@ -74,3 +74,8 @@ def add_columns(spark: SparkSession, name: str, columns: dict[str, str]) -> None
     lacking = ", ".join(f"{c} {t}" for c, t in columns.items() if c not in have)
     if lacking:
         spark.sql(f"alter table {name} add columns ({lacking})")
+
+
+def analyze(spark: SparkSession, name: str) -> None:
+    """Table and column statistics, which join reordering and broadcast sizes go by."""
+    spark.sql(f"analyze table {name} compute statistics for all columns")
