@@ -71,9 +71,12 @@ def test_anchors_cover_every_span():
     for n, span in ((1, 5), (5, 5), (40, 5), (300, 101), (500, 64), (64, 64), (65, 64)):
         for top in (3, 1 << 40):
             h = rng.integers(0, top, n).astype(np.uint64)
-            at = spans.anchors(h, span)
-            want = {k + int(h[k : k + span].argmin()) for k in range(max(1, n - span + 1))}
-            assert set(at.tolist()) == want
+            owner = {}
+            for at, first, last in zip(*(x.tolist() for x in spans.anchors(h, span)), strict=True):
+                for k in range(first, last + 1):
+                    assert k not in owner
+                    owner[k] = at
+            assert owner == {k: k + int(h[k : k + span].argmin()) for k in range(max(1, n - span + 1))}
 
 
 def test_window_hashes_are_equal_where_windows_are():

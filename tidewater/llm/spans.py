@@ -5,8 +5,10 @@ Plan
    `least` - `probe` + 1 successive windows the one with the least hash is an anchor (winnowing). Two texts that share
    `least` code points share an anchor, and a text of c code points has about 2 c / (`least` - `probe`) of them; only
    these are shuffled. Anchors that stand in one document only are counted out.
-2. Where an anchor repeats, the Rabin-Karp hash of every window of `least` code points that contains it is taken, and
-   counted in Spark over documents: windows in two or more are shared. Windows without a repeated anchor can't be.
+2. An anchor owns the windows of `least` code points of which it is the anchor. Where all documents that hold it own
+   equal windows (the Rabin-Karp hashes of the first and the last agree), these are shared and done with: the inside
+   of long spans costs a row an anchor. For the others, at the edges of spans, the Rabin-Karp hash of every owned
+   window is taken and counted in Spark over documents: windows in two or more are shared.
 3. Overlapping shared windows of a document merge into maximal intervals, the ones a removal would cut.
 4. For pairs, windows that stand in the same set of documents are one by a commutative digest of the set, so a long
    span counts once; the members of a large set are split over salts before they meet.
@@ -14,7 +16,7 @@ Plan
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,156 +67,186 @@ def window_hashes(sums: np.ndarray, at: np.ndarray | slice, size: int) -> np.nda
     return h
 
 
-def anchors(h: np.ndarray, span: int) -> np.ndarray:
-    """Positions of the least hash of every `span` successive ones, the leftmost of equals, each once.
+def anchors(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, first, last): the positions of the least hash of every `span` successive ones, the leftmost of equals,
+    each with the spans, by their first position, that have it. Every span belongs to one anchor.
 
     Minima of blocks by doubling: block k covers 2^k positions, and two overlapping blocks cover a span.
     """
     n = len(h)
     if n <= span:
-        return np.array([int(h.argmin())]) if n else np.zeros(0, int)
+        at = np.array([int(h.argmin())] if n else [], int)
+        return at, np.zeros(len(at), int), np.zeros(len(at), int)
     m, width = h.copy(), 1
     while width * 2 <= span:
         m = np.minimum(m[:-width], m[width:])
         width *= 2
     rest = span - width
     low = np.minimum(m[: len(m) - rest], m[rest:]) if rest else m  # the minimum of each span, by its first position
-    # a position is an anchor when it has the minimum of a span that it lies in and is the leftmost there
-    change = np.r_[True, low[1:] != low[:-1]]
-    starts = np.flatnonzero(change)
+    starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
     ends = np.r_[starts[1:], len(low)]
     out = []
     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        v = low[s]
-        at = s + np.flatnonzero(h[s : e - 1 + span] == v)
-        if len(at) > 1:
-            k = s
-            keep = []
-            while k < e:  # equal minima, as in a run of one character: the leftmost of each span
-                first = int(at[np.searchsorted(at, k)])
-                keep.append(first)
-                k = first + 1
-            out += keep
-        else:
-            out.append(int(at[0]))
-    return np.unique(np.array(out))
+        at = s + np.flatnonzero(h[s : e - 1 + span] == low[s])
+        k = s
+        while k < e:  # more than once for equal minima only, as in a run of one character
+            first = int(at[np.searchsorted(at, k)]) if len(at) > 1 else int(at[0])
+            out.append((first, k, min(first, e - 1)))
+            k = first + 1
+    return tuple(np.array(out).T)
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null").where(F.length("text") >= least)
 
 
-def in_several(rows: DataFrame, at: str) -> DataFrame:
-    """(doc_id, `at`, n, members, d1, d2): the rows (h, doc_id, `at`, n) whose hash stands in two documents or more.
+def _past_groups(batches: Iterator[pa.RecordBatch], whole: Callable[[list[np.ndarray]], pa.RecordBatch | None], apart: Callable[[list[np.ndarray]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by hash, then document: complete groups of one hash go to `whole`, many at a time, and those of a
+    group with more than `HOLD` rows of several documents to `apart`, piece by piece.
 
-    members is the number of documents that hold the hash, d1 and d2 digest which ones. Rows are sorted by hash in a
-    partition and read past in batches. A document has few rows of one hash and many hashes, so no hash has more than
-    a small part of the rows; of one with more than `HOLD` rows only those are held at a time, and the hash itself
-    takes the place of the digest.
+    A document has few rows of one hash and many hashes, so no hash has more than a small part of the rows.
     """
-    ordered = rows.repartition("h").sortWithinPartitions("h", "doc_id", at)
-    names = ["doc_id", at, "n", "members", "d1", "d2"]
+    held: list[np.ndarray] | None = None
+    large = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [c.to_numpy() for c in batch.columns]
+        cols = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if large is not None:
+            end = int(np.searchsorted(cols[0], large, "right"))
+            if end:
+                yield apart([x[:end] for x in cols])
+            if end == len(cols[0]):
+                held = None
+                continue
+            cols, large = [x[end:] for x in cols], None
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if cut and (out := whole([x[:cut] for x in cols])) is not None:
+            yield out
+        held = [x[cut:] for x in cols]
+        if len(held[0]) > HOLD and held[1][0] != held[1][-1]:
+            large = held[0][0]
+            yield apart(held)
+            held = None
+    if held is not None and (out := whole(held)) is not None:
+        yield out
+
+
+def _sets(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by hash and document: where groups start, their sizes, and for each group the number of its
+    documents and two commutative digests of them."""
+    first = np.r_[True, h[1:] != h[:-1]]
+    fresh = first | np.r_[True, d[1:] != d[:-1]]
+    starts = np.flatnonzero(first)
+    with np.errstate(over="ignore"):
+        x = d.view(np.uint64) * np.uint64(BASE)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        y = x * np.uint64(0x94D049BB133111EB)
+        y ^= y >> np.uint64(31)
+        d1, d2 = (np.add.reduceat(np.where(fresh, v, np.uint64(0)), starts).view(np.int64) for v in (x, y * y))
+    return starts, np.diff(np.r_[starts, len(h)]), np.add.reduceat(fresh.astype(np.int64), starts), d1, d2
 
-    def put(d, p, n, members, d1, d2) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(members, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=names)
 
-    def whole(h, d, p, n) -> pa.RecordBatch | None:
-        """Complete groups."""
-        if not len(h):
-            return None
-        first = np.r_[True, h[1:] != h[:-1]]
-        fresh = first | np.r_[True, d[1:] != d[:-1]]
-        starts = np.flatnonzero(first)
-        members = np.add.reduceat(fresh.astype(np.int64), starts)
-        with np.errstate(over="ignore"):
-            x = d.view(np.uint64) * np.uint64(BASE)
-            x ^= x >> np.uint64(29)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(32)
-            y = x * np.uint64(0x94D049BB133111EB)
-            y ^= y >> np.uint64(31)
-            d1, d2 = np.add.reduceat(np.where(fresh, x, np.uint64(0)), starts), np.add.reduceat(np.where(fresh, y * y, np.uint64(0)), starts)
-        size = np.diff(np.r_[starts, len(h)])
-        keep = np.repeat(members > 1, size)
-        return put(d[keep], p[keep], n[keep], np.repeat(members, size)[keep], np.repeat(d1, size)[keep], np.repeat(d2, size)[keep]) if keep.any() else None
+def _batch(**cols: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(v) for v in cols.values()], names=list(cols))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        large = None  # the hash of a group that is passed on without being held
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column(k).to_numpy() for k in range(4)]
-            cols = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if large is not None:
-                end = int(np.searchsorted(cols[0], large, "right"))
-                if end:
-                    h = np.full(end, large, np.int64).view(np.uint64)
-                    yield put(cols[1][:end], cols[2][:end], cols[3][:end], np.full(end, 2), h, h)
-                if end == len(cols[0]):
-                    held = None
-                    continue
-                cols, large = [x[end:] for x in cols], None
-            cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            out = whole(*[x[:cut] for x in cols])
-            if out is not None:
-                yield out
-            held = [x[cut:] for x in cols]
-            if len(held[0]) > HOLD and held[1][0] != held[1][-1]:
-                large = held[0][0]
-                h = np.full(len(held[0]), large, np.int64).view(np.uint64)
-                yield put(held[1], held[2], held[3], np.full(len(h), 2), h, h)
-                held = None
-        if held is not None and (out := whole(*held)) is not None:
-            yield out
 
-    return ordered.mapInArrow(run, f"doc_id long, {at} int, n int, members long, d1 long, d2 long")
+SHARED = "doc_id long, start int, n int, members long, d1 long, d2 long"
 
 
-def repeated_anchors(texts: DataFrame, least: int, probe: int) -> DataFrame:
-    """(doc_id, at): a document's sorted positions of anchors that stand in other documents too."""
+def resolved_anchors(texts: DataFrame, least: int, probe: int) -> DataFrame:
+    """(doc_id, start, n, members, d1, d2, whole) of the anchors that stand in two documents or more.
+
+    An anchor owns the windows of `least` from `start` on, n of them, whose least hash it is; a window that two
+    documents share has the same anchor in both. Where all documents with an anchor own the same windows around it
+    (`whole`), all these windows are shared by just these documents and nothing is left to find out.
+    """
+    span = least - probe + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, ids, pos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            parts: list[list[np.ndarray]] = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = window_hashes(prefix_sums(code_points(t)), slice(None), probe)
-                p = anchors(h, least - probe + 1)
-                hs.append(h[p])
-                ids.append(np.full(len(p), d, np.int64))
-                pos.append(p)
-            at = np.concatenate(pos).astype(np.int32)
-            yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(at), pa.array(np.ones(len(at), np.int32))], names=["h", "doc_id", "at", "n"])
+                sums = prefix_sums(code_points(t))
+                h = window_hashes(sums, slice(None), probe)
+                at, first, last = anchors(h, span)
+                with np.errstate(over="ignore"):
+                    same = window_hashes(sums, first, least) * np.uint64(BASE) + window_hashes(sums, last, least)
+                    same = (same ^ (same >> np.uint64(30))) * np.uint64(BASE) + ((at - first) * span + last - first).astype(np.uint64)
+                parts.append([h[at].view(np.int64), np.full(len(at), d, np.int64), first.astype(np.int32), (last - first + 1).astype(np.int32), same.view(np.int64)])
+            if parts:
+                yield _batch(**dict(zip(("h", "doc_id", "start", "n", "same"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+
+    def whole(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+        h, d, start, n, same = cols
+        starts, size, members, d1, d2 = _sets(h, d)
+        agree = np.minimum.reduceat(same, starts) == np.maximum.reduceat(same, starts)
+        keep = np.repeat(members > 1, size)
+        if not keep.any():
+            return None
+        each = [np.repeat(x, size)[keep] for x in (members, d1, d2, agree)]
+        return _batch(doc_id=d[keep], start=start[keep], n=n[keep], members=each[0], d1=each[1], d2=each[2], whole=each[3])
 
-    every = texts.mapInArrow(run, "h long, doc_id long, at int, n int")
-    return in_several(every, "at").groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    def apart(cols: list[np.ndarray]) -> pa.RecordBatch:
+        zero = np.zeros(len(cols[0]), np.int64)
+        return _batch(doc_id=cols[1], start=cols[2], n=cols[3], members=zero, d1=zero, d2=zero, whole=zero.astype(bool))
 
+    every = texts.mapInArrow(run, "h long, doc_id long, start int, n int, same long")
+    return every.repartition("h").sortWithinPartitions("h", "doc_id", "start").mapInArrow(lambda b: _past_groups(b, whole, apart), f"{SHARED}, whole boolean")
 
-def window_rows(texts: DataFrame, at: DataFrame, least: int, probe: int) -> DataFrame:
-    """(h, doc_id, start, n) of the windows of `least` around repeated anchors; n successive equal ones are one row."""
+
+def window_rows(texts: DataFrame, ranges: DataFrame, least: int) -> DataFrame:
+    """(h, doc_id, start, n) of the windows of `least` in a document's ranges; n successive equal ones are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = np.arange(-(least - probe), 1)
         for batch in batches:
-            for d, t, p in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
+            for d, t, r in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 sums = prefix_sums(code_points(t))
-                starts = np.unique((np.array(p)[:, None] + reach[None, :]).ravel())
-                starts = starts[(starts >= 0) & (starts <= len(sums) - 1 - least)]
+                starts = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in r]))
+                starts = starts[starts <= len(sums) - 1 - least]
+                if not len(starts):
+                    continue
                 h = window_hashes(sums, starts, least).view(np.int64)
-                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(h) else np.zeros(0, int)
+                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (starts[1:] != starts[:-1] + 1)])
                 n = np.diff(np.r_[new, len(h)]).astype(np.int32)
                 h, starts = h[new], starts[new].astype(np.int32)
                 for k in range(0, len(h), 200_000):
                     part = slice(k, k + 200_000)
-                    yield pa.record_batch([pa.array(h[part]), pa.array(np.full(len(h[part]), d, np.int64)), pa.array(starts[part]), pa.array(n[part])], names=["h", "doc_id", "start", "n"])
+                    yield _batch(h=h[part], doc_id=np.full(len(h[part]), d, np.int64), start=starts[part], n=n[part])
+
+    return texts.join(ranges, "doc_id").mapInArrow(run, "h long, doc_id long, start int, n int")
+
+
+def in_several(rows: DataFrame) -> DataFrame:
+    """(doc_id, start, n, members, d1, d2): the windows (h, doc_id, start, n) that stand in two documents or more.
+
+    members is their number, d1 and d2 digest which ones; of a window with more than `HOLD` rows, which are passed on
+    without being held, its own hash takes the place of the digest.
+    """
+
+    def whole(cols: list[np.ndarray]) -> pa.RecordBatch | None:
+        h, d, start, n = cols
+        _, size, members, d1, d2 = _sets(h, d)
+        keep = np.repeat(members > 1, size)
+        return _batch(doc_id=d[keep], start=start[keep], n=n[keep], members=np.repeat(members, size)[keep], d1=np.repeat(d1, size)[keep], d2=np.repeat(d2, size)[keep]) if keep.any() else None
+
+    def apart(cols: list[np.ndarray]) -> pa.RecordBatch:
+        h, d, start, n = cols
+        return _batch(doc_id=d, start=start, n=n, members=np.full(len(h), HOLD, np.int64), d1=h, d2=h)
 
-    return texts.join(at, "doc_id").mapInArrow(run, "h long, doc_id long, start int, n int")
+    return rows.repartition("h").sortWithinPartitions("h", "doc_id", "start").mapInArrow(lambda b: _past_groups(b, whole, apart), SHARED)
 
 
 def shared_windows(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> DataFrame:
     """(doc_id, start, n, members, d1, d2): the windows that stand in two documents or more, with the set of them."""
     texts = _texts(docs, doc_id, text, least)
-    return in_several(window_rows(texts, repeated_anchors(texts, least, probe), least, probe), "start")
+    found = settle(resolved_anchors(texts, least, probe))
+    # few: a document's ranges, at most one an anchor, of which there are some for every `least` - `probe` code points
+    open_ranges = found.where("not whole").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+    return found.where("whole").drop("whole").unionByName(in_several(window_rows(texts, open_ranges, least)))
 
 
 def shared_intervals(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> DataFrame:
