@@ -71,29 +71,24 @@ def anchors(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """(at, first, last): the positions of the least hash of every `span` successive ones, the leftmost of equals,
     each with the spans, by their first position, that have it. Every span belongs to one anchor.
 
-    Minima of blocks by doubling: block k covers 2^k positions, and two overlapping blocks cover a span.
+    Positions of the minima of blocks by doubling: block k covers 2^k hashes, and two overlapping blocks cover a span.
     """
     n = len(h)
     if n <= span:
         at = np.array([int(h.argmin())] if n else [], int)
         return at, np.zeros(len(at), int), np.zeros(len(at), int)
-    m, width = h.copy(), 1
+
+    def less(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.where(h[i] <= h[j], i, j)  # i is the leftmost of equals
+
+    m, width = np.arange(n), 1
     while width * 2 <= span:
-        m = np.minimum(m[:-width], m[width:])
+        m = less(m[:-width], m[width:])
         width *= 2
     rest = span - width
-    low = np.minimum(m[: len(m) - rest], m[rest:]) if rest else m  # the minimum of each span, by its first position
-    starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    ends = np.r_[starts[1:], len(low)]
-    out = []
-    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-        at = s + np.flatnonzero(h[s : e - 1 + span] == low[s])
-        k = s
-        while k < e:  # more than once for equal minima only, as in a run of one character
-            first = int(at[np.searchsorted(at, k)]) if len(at) > 1 else int(at[0])
-            out.append((first, k, min(first, e - 1)))
-            k = first + 1
-    return tuple(np.array(out).T)
+    owner = less(m[: len(m) - rest], m[rest:]) if rest else m  # of each span
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    return owner[first], first, np.r_[first[1:], len(owner)] - 1
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
