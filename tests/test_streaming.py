@@ -56,3 +56,20 @@ def test_open_calls_carry_over_batches(spark, tmp_path):
     r = spark.read.parquet(f"{tmp_path}/out").collect()
     us = lambda h: int((START + timedelta(hours=h) - datetime(1970, 1, 1)).total_seconds() * 1e6)
     assert [(x.port_lo, x.arrival_us, x.departure_us) for x in r] == [("P", us(5), us(32))]
+
+
+def test_exactly_once_over_batches_and_repeats(spark, tmp_path):
+    rows = [(i, i % 2, i // 4, 100 - i, "a") for i in range(40)]
+    df = messages(spark, rows)
+    keep = ingest.ExactlyOnce(spark, f"file://{tmp_path}/once", producer=["mmsi", "message_type"])
+    parts = [df.where(F.col("row_id") % 3 == k) for k in range(3)]
+    for k in (0, 1, 1, 2, 0, 2):  # some again, as after a failure
+        keep.take(parts[k], k)
+    got = sorted(r.row_id for r in keep.accepted().collect())
+    want, seen = [], set()
+    for k in range(3):
+        for i, m, t, r, _ in sorted((x for x in rows if x[0] % 3 == k), key=lambda x: (x[3], x[0])):
+            if (m, t) not in seen:
+                seen.add((m, t))
+                want.append(i)
+    assert got == sorted(want)

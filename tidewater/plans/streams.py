@@ -40,4 +40,13 @@ def stream_late_counts(spark, d):
     return counter.counts()
 
 
+@CAT.add("select count(*) as n, count(*) as messages from (select distinct mmsi, ts, message_type from messages where mmsi is not null and ts is not null and message_type is not null)")
+def stream_exactly_once(spark, d):
+    """Rows kept by a stream with seen ranges as its state, and the messages among them."""
+    keep = ingest.ExactlyOnce(spark, scratch(spark, "once"), producer=["mmsi", "message_type"])
+    keep.run(ingest.table_stream(spark, d, "messages", files_per_trigger=4))
+    m = table(spark, d, "messages").select("row_id", "mmsi", "ts", "message_type").join(keep.accepted(), "row_id")
+    return m.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mmsi", "ts", "message_type").alias("messages"))
+
+
 QUERIES, SQL = CAT.queries, CAT.sql

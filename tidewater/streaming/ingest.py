@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tidewater.operators import late_counts
-from tidewater.session import scratch
+from tidewater.operators import exactly_once, late_counts
+from tidewater.session import scratch, settle
 from tidewater.sources import landing
 
 LATENESS = "7 days"
@@ -92,6 +92,38 @@ class LateCounter:
         stream.writeStream.foreachBatch(self.take).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+class ExactlyOnce:
+    """Keeps one copy of each message over all batches of a stream: the ranges seen so far are the state.
+
+    Batch n reads the ranges of the batches before it, writes the rows it accepts and the ranges it has covered, both
+    under its number. A batch that is repeated after a failure finds the same state and writes the same rows again.
+    The first copy to come in is kept; of copies in one batch the first received.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, *, producer: list[str], event_time: str = "ts", received: str = "received_at", row_id: str = "row_id"):
+        self.spark, self.folder = spark, folder
+        self.names = {"producer": producer, "event_time": event_time, "received": received, "row_id": row_id}
+
+    def _before(self, batch: int) -> DataFrame | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/seen")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.parquet(f"{self.folder}/seen").where(F.col("batch") < batch).drop("batch")
+
+    def take(self, rows: DataFrame, batch: int) -> None:
+        got = settle(exactly_once.accept(rows, **self.names, seen=self._before(batch))).withColumn("batch", F.lit(batch).cast("long"))
+        write = lambda df, what: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.folder}/{what}")
+        write(got.where("kind = 'accepted'").select("row_id", "batch"), "accepted")
+        write(got.where("kind in ('range', 'key')"), "seen")
+
+    def accepted(self) -> DataFrame:
+        """(row_id) of the rows that are kept."""
+        return self.spark.read.parquet(f"{self.folder}/accepted").select("row_id")
+
+    def run(self, stream: DataFrame) -> None:
+        stream.writeStream.foreachBatch(self.take).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
 def open_calls(stream: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
     """Calls in progress per vessel over days: state holds the port it lies in and since when.
 
