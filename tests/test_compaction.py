@@ -83,3 +83,17 @@ def test_publishing_again_leaves_old_manifests_readable(spark, tmp_path):
 def test_repeated_file_ids_are_refused(spark, tmp_path):
     with pytest.raises(RuntimeError):
         compacted(spark, tmp_path, [(1, "1"), (1, "2\n3")])
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    from tidewater.sources import landing
+
+    for k in range(30):
+        at = tmp_path / "in" / f"hour={k % 3}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{k}.ndjson").write_text("\n".join(json.dumps({"k": j % 20, "é": k % 2}) for j in range(k)))
+    (tmp_path / "in" / "note.txt").write_text("1")
+    out = f"file://{tmp_path}/out"
+    c.compact(landing.small_files(spark, f"{tmp_path}/in"), out, target_bytes=2000)
+    got = sorted(json.loads(r.message)["k"] * 2 + json.loads(r.message)["é"] for r in c.published_messages(spark, out).collect())
+    assert got == list(range(40))

@@ -37,6 +37,16 @@ def read_ndjson(spark: SparkSession, *paths: str, base: str | None = None) -> Da
     return parse(lines, "value").where("__m is not null and __m.message_type is not null")
 
 
+def small_files(spark: SparkSession, folder: str, pattern: str = "*.ndjson") -> DataFrame:
+    """Text files below a folder as rows (file_id, path, n_bytes, body), for `compaction.compact`.
+
+    The id is a digest of the path, so it stays the same from run to run. Sizes come from the listing; a body is only
+    read where it is used.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    return files.select(F.xxhash64("path").alias("file_id"), "path", F.col("length").alias("n_bytes"), F.decode("content", F.lit("UTF-8")).alias("body"))
+
+
 def bodies(files: DataFrame, body: str = "body") -> DataFrame:
     """Envelopes of files that are rows of a table."""
     return parse(files.select(F.explode(F.split(body, "\n")).alias("value")), "value").where("__m is not null and __m.message_type is not null")
