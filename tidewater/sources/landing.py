@@ -44,7 +44,7 @@ def small_files(spark: SparkSession, folder: str, pattern: str = "*.ndjson") ->
     read where it is used.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    return files.select(F.xxhash64("path").alias("file_id"), "path", F.col("length").alias("n_bytes"), F.decode("content", F.lit("UTF-8")).alias("body"))
+    return files.select(F.xxhash64("path").alias("file_id"), "path", F.col("length").alias("n_bytes"), F.col("content").cast("string").alias("body"))
 
 
 def bodies(files: DataFrame, body: str = "body") -> DataFrame:
