@@ -30,14 +30,14 @@ def tolerant_cast(spark, d):
 
 
 @CAT.add("""
-  select event_id, round_even(epoch_us(ts) / 1e6, 0)::integer as epoch_s, epoch_us(ts + interval 90 minute) // 3600000000 - epoch_us(ts) // 3600000000 as hours_crossed, dayofweek(ts)::integer as dow, round((epoch_us(ts) % 86400000000) / 86400000000, 9) as day_part,
+  select event_id, round_even(epoch_us(ts) / 1e6, 0)::integer as epoch_s, epoch_us(ts + interval 90 minute) // 3600000000 - epoch_us(ts) // 3600000000 as hours_crossed, dayofweek(ts)::integer as dow, (epoch_us(ts) % 86400000000) / 86400000000 as day_part,
     md5(concat_ws('|', user_id::varchar, event_type, epoch_us(ts)::varchar)) as row_key
   from events""")
 def clock_arithmetic(spark, d):
     """Seconds rounded half to even, boundaries crossed, days from Sunday, the part of the day, a digest as key."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     later = F.timestamp_micros(F.unix_micros("ts") + 5_400_000_000)
-    return e.select("event_id", timefns.epoch_rounded("ts").alias("epoch_s"), timefns.boundaries_crossed("hour", "ts", later).alias("hours_crossed"), timefns.sunday_zero("ts").alias("dow"), F.round(timefns.day_fraction("ts"), 9).alias("day_part"), text.row_key("user_id", "event_type", F.unix_micros("ts")).alias("row_key"))
+    return e.select("event_id", timefns.epoch_rounded("ts").alias("epoch_s"), timefns.boundaries_crossed("hour", "ts", later).alias("hours_crossed"), timefns.sunday_zero("ts").alias("dow"), timefns.day_fraction("ts").alias("day_part"), text.row_key("user_id", "event_type", F.unix_micros("ts")).alias("row_key"))
 
 
 _SHARDS = ", ".join(f"('{k}', {s}, {w}, {n}, {e})" for k, (s, w, n, e) in geo.SHARDS.items())
