@@ -72,7 +72,7 @@ def surplus_lines(files):
     return out
 
 
-FIELDS = {"sog": (0, 102.2, {102.3}, 2.5), "lat": (-90, 90, {91, -91}, 0.15), "true_heading": (0, 359, {511}, 40), "rate_of_turn": (-127, 127, {-128}, 44)}
+FIELDS = {"sog": (0, 102.2, {102.3}, 2.5), "lat": (-90, 90, {91, -91}, 0.01), "true_heading": (0, 359, {511}, 40), "rate_of_turn": (-127, 127, {-128}, 44)}
 
 
 def implausible(pings):
@@ -110,7 +110,18 @@ def implausible(pings):
                     if any(v[q][0] in case for q in range(k - 1, k + n + 1)):
                         continue
                     x, lo, hi = [z for _, z in v[k : k + n]], v[k - 1][1], v[k + n][1]
-                    if all(abs(d(z, lo)) > floor and abs(d(z, hi)) > floor for z in x) and abs(d(hi, lo)) < floor / 2:
+                    below, above, apart = floor, floor, floor / 2
+                    if f == "lat":  # what may be covered at the pace around
+                        i, j = v[k][0], v[k + n - 1][0]
+                        mid = lambda s: sorted(q for q in s if q is not None)
+                        sides = [q for q in (mid(speed[max(0, i - 3) : i]), mid(speed[j + 1 : j + 4])) if q]
+                        go = max((q[len(q) // 2] for q in sides), default=40)
+                        gap = lambda p, q: (rows[q][0]["ts"] - rows[p][0]["ts"]) / 3.6e9
+                        a, b = gap(v[k - 1][0], i), gap(j, v[k + n][0])
+                        if max(a, b) > 0.5:
+                            continue
+                        below, above, apart = floor + go / 40 * a, floor + go / 40 * b, floor + go / 40 * (a + b)
+                    if all(abs(d(z, lo)) > below and abs(d(z, hi)) > above for z in x) and abs(d(hi, lo)) < apart:
                         case |= {i for i, _ in v[k : k + n]}
             out |= {(p["pos_id"], f) for i in case for p in rows[i]}
     return out

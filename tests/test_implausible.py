@@ -41,6 +41,7 @@ def test_planted_cases_and_nothing_else(spark):
     plant(200, 3, 9.0)
     plant(90, 4, rows[90][4] + 0.6)
     plant(230, 4, rows[230][4] - 2.0)
+    plant(240, 4, rows[240][4] + 0.04)  # moored, where it would pass for a way at sea
     plant(100, 4, 140.0)
     plant(60, 5, 170)
     plant(61, 5, 171)

@@ -42,12 +42,12 @@ class Field:
     codes: tuple[float, ...]
     floor: float
     alone: float = float("inf")
-    kind: str = "linear"  # linear, circular (degrees) or place (degrees of latitude, bounded by speed)
+    kind: str = "linear"  # linear, circular (degrees) or place (degrees of latitude, beyond what the pace allows)
 
 
 AIS_FIELDS = (
     Field("sog", 0.0, 102.2, (102.3,), 2.2, 60.0),
-    Field("lat", -90.0, 90.0, (91.0, -91.0), 0.15, kind="place"),
+    Field("lat", -90.0, 90.0, (91.0, -91.0), 0.01, 0.15, "place"),
     Field("true_heading", 0.0, 359.0, (511.0,), 40.0, kind="circular"),
     Field("rate_of_turn", -127.0, 127.0, (-128.0,), 44.0, 60.0),
 )
@@ -122,8 +122,19 @@ def _sparse_part(t: np.ndarray, y: np.ndarray) -> np.ndarray:
     return robust_pca(m, seen)[1][row, col]
 
 
-def spikes(t: np.ndarray, v: np.ndarray, field: Field, fastest: float, candidate: float = 0.25) -> np.ndarray:
-    """Which readings v at times t (both without gaps, in order, in range) are spikes."""
+def pace(speed: np.ndarray, fastest: float) -> np.ndarray:
+    """How fast the source goes at each ping: the greatest of its own valid speed and the medians of three before and
+    three after.
+
+    A moored vessel's is next to nothing, however fast it goes at sea; without speeds around it is `fastest`.
+    """
+    valid = np.where((speed >= 0) & (speed <= 102.2), speed, np.nan)
+    before, after = (_nanmedian(np.stack([_shift(valid, k * side) for k in (1, 2, 3)])) for side in (1, -1))
+    return np.nan_to_num(np.fmax(np.fmax(before, after), valid), nan=fastest)
+
+
+def spikes(t: np.ndarray, v: np.ndarray, field: Field, fastest: float, near: np.ndarray, candidate: float = 0.25) -> np.ndarray:
+    """Which readings v at times t (both without gaps, in order, in range) are spikes; `near` is the pace at each."""
     n, out = len(v), np.zeros(len(v), bool)
     if n < 3:
         return out
@@ -133,7 +144,8 @@ def spikes(t: np.ndarray, v: np.ndarray, field: Field, fastest: float, candidate
     usual = 1.4826 * np.median(np.abs(y - np.median(y)))
     least = field.floor if field.kind == "place" else max(field.floor, 5 * usual)
     # deviations that are usual for the source play no part in the matrix beyond their size
-    cand = np.flatnonzero(np.abs(_sparse_part(t, y / least)) > candidate)
+    # and what is far beyond it none beyond being so: it must not hide what is less far
+    cand = np.flatnonzero(np.abs(_sparse_part(t, np.clip(y / least, -20, 20))) > candidate)
     if not len(cand):
         return out
     common = np.quantile(v, 0.98)
@@ -149,11 +161,13 @@ def spikes(t: np.ndarray, v: np.ndarray, field: Field, fastest: float, candidate
             dl = diff(x, v[lo]) if has_lo else None
             dh = diff(x, v[hi]) if has_hi else None
             if field.kind == "place":
-                # beyond what the fastest usual speed can have covered since or until the neighbour
-                reach = lambda gap: field.floor + 1.5 * fastest / 60 * gap / 3.6e9
+                # beyond what the pace around it, or over a longer gap the fastest usual speed, can have covered;
+                # at the end of the record the pace to come isn't known
+                own, base = (near[first : last + 1].max(), field.floor) if has_lo and has_hi else (fastest, field.alone)
+                reach = lambda gap: base + 1.5 * (own if gap <= SILENCE // 4 else fastest) / 60 * gap / 3.6e9  # noqa: B023, E731
                 sides = [np.abs(dl) > reach(t[first] - t[lo])] if has_lo else []
                 sides += [np.abs(dh) > reach(t[hi] - t[last])] if has_hi else []
-                ok = bool(sides) and all(s.all() for s in sides) and (len(sides) == 2 or n > last - first + 3)
+                ok = bool(sides) and all(s.all() for s in sides) and (bool((np.sign(dl) == np.sign(dh)).all()) if len(sides) == 2 else n > last - first + 3)
             elif near_lo and near_hi:
                 least_dev = np.minimum(np.abs(dl), np.abs(dh))
                 between = abs(float(diff(v[hi], v[lo])))
@@ -187,6 +201,7 @@ def judge(t: np.ndarray, readings: dict[str, np.ndarray], fields: tuple[Field, .
     moving = under_way(t, speed)
     fine = speed[(speed >= 0) & (speed <= 102.2)]
     fastest = max(5.0, float(np.quantile(fine, 0.98))) if len(fine) else 40.0
+    near = pace(speed, fastest)
     found = {}
     for f in fields:
         v = readings[f.name]
@@ -196,7 +211,7 @@ def judge(t: np.ndarray, readings: dict[str, np.ndarray], fields: tuple[Field, .
         case = wrong.copy()
         case[at[constant_runs(v[at], moving[at], run)]] = True
         rest = at[~case[at]]  # a stuck stretch isn't what its neighbours are measured against
-        case[rest[spikes(t[rest], v[rest], f, fastest)]] = True
+        case[rest[spikes(t[rest], v[rest], f, fastest, near[rest])]] = True
         found[f.name] = case
     return found
 
