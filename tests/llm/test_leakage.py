@@ -67,6 +67,29 @@ def test_edited_copies_score_without_being_found(spark):
     assert len(rows) == 1 and rows[0].longest_run == 8 and rows[0].coverage > 0.6
 
 
+def test_edited_copies_beside_a_whole_one(spark):
+    """The whole copy makes the n-grams that the edits broke the rarest."""
+    ws = [f"w{k}" for k in range(40)]
+    edited = [w if k % 9 else "other" for k, w in enumerate(ws)]
+    rows = run(spark, [(1, " ".join(ws)), (2, " ".join(edited)), (3, " ".join(ws[:5] + ["x"] * 9))], [(1, " ".join(ws))]).collect()
+    assert {r.doc_id: r.longest_run for r in rows} == {1: 40, 2: 8, 3: 5}
+
+
+def test_every_pair_that_shares_a_rare_ngram_is_aligned(spark):
+    rng = random.Random(35)
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(30))) for i in range(8)]
+    docs, want = [], set()
+    for d in range(60):
+        i, parts = rng.randrange(8), [passage(rng, 10)]
+        ws = items[i][1].split()
+        a, m = rng.randrange(0, 18), rng.choice([4, 5, 6, 12])
+        parts += ws[a : a + m]
+        want |= {(d, i)} if m >= 5 else set()
+        docs.append((d, " ".join([*parts, passage(rng, 10)])))
+    got = run(spark, docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b c d e f g h i j k l m")]).count() == 0
     assert run(spark, [(1, "a b c d e f g h i j k l m")], []).count() == 0

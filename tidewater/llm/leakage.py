@@ -5,11 +5,11 @@ Plan
    whatever the number of items), the only thing that is broadcast.
 2. One pass over the corpus in Arrow batches hashes each document's n-grams and keeps the passages around those that
    the filter may know; nothing else of the corpus is shuffled.
-3. The n-grams' frequencies are counted over these passages. For each window of `least` words of an item that the
-   corpus can hold whole, as it holds all its n-grams, the rarest n-gram becomes the seed: a document that holds the
-   window holds the seed. Of other windows, of which there can be edited copies only, the rarest n-gram that occurs
-   is a seed if it is rare, at most `rare` of the number of documents (or ten): everyday wording would join
-   everything with everything.
+3. The n-grams' frequencies are counted over these passages. Every n-gram that occurs and is rare, at most `rare` of
+   the number of documents (or ten), is a seed, so edited copies are met however many whole ones there are. For each
+   window of `least` words of an item whose n-grams are all more frequent than that, the rarest becomes a seed too:
+   a document that holds the window holds the seed. Other n-grams are everyday wording, which would join everything
+   with everything.
 4. Seeds join passages to items by hash, exactly. Smith-Waterman alignment over words scores each pair, batched over
    anti-diagonals; it gives the best local score, which stands edits, and the longest verbatim run.
 """
@@ -192,8 +192,11 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id:
     ranked = grams.join(frequency, "h", "left").select("key", "pos", F.struct(F.coalesce("f", F.lit(0)).alias("f"), "h").alias("r"))
     per = ranked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "r"))).alias("g"))  # one item's n-grams, bounded by its text
     window = F.transform(F.sequence(F.lit(0), F.size("g") - 1 - span), lambda k: F.transform(F.slice("g", k + 1, span + 1), lambda e: e["r"]))
-    chosen = F.transform(window, lambda w: F.when(F.array_min(w)["f"] > 0, F.array_min(w)).otherwise(F.array_min(F.filter(w, lambda r: (r["f"] > 0) & (r["f"] <= often)))))
-    seeds = per.select("key", F.explode(F.array_distinct(chosen)).alias("r")).where("r is not null").select("key", F.col("r.h").alias("h")).distinct()
+    # a window whose n-grams all occur, each too often, still gets its rarest; an edited copy's intact n-grams are not
+    # the rarest where another document has the item whole, so all rare ones are seeds
+    common = F.transform(window, lambda w: F.when(F.array_min(w)["f"] > often, F.array_min(w)))
+    kept = F.filter(F.transform("g", lambda e: e["r"]), lambda r: (r["f"] > 0) & (r["f"] <= often))
+    seeds = per.select("key", F.explode(F.array_union(kept, common)).alias("r")).where("r is not null").select("key", F.col("r.h").alias("h")).distinct()
     pairs = hits.join(seeds, "h").groupBy("passage", "key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     joined = pairs.join(found.select("passage", "doc_id", "words"), "passage").join(texts, "key")
 
