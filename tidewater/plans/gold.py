@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import domain, geo, text, timefns
@@ -211,6 +211,8 @@ def priority_port_match(spark, d):
 # port calls
 
 _DECL = "(select mmsi, dest_clean, eta, static_ts, port_lo, port_name, port_lat, port_lon from matched_decl where mmsi is not null and dest_clean is not null and eta is not null qualify row_number() over (partition by mmsi, dest_clean order by static_ts desc nulls last, decl_id) = 1)"
+#: As `declarations_by_eta`: the reference's reduction over a whole history.
+_DECL_BY_ETA = "(select distinct mmsi, dest_clean, eta, static_ts, port_lo, port_name, port_lat, port_lon from (select * from matched_decl where mmsi is not null and dest_clean is not null and eta is not null qualify row_number() over (partition by mmsi, dest_raw, eta order by static_ts desc nulls last, decl_id) = 1))"
 _FIX = f"(select row_id, mmsi, ts, lat, lon, sog from messages where message_type in {_TRACK} and lat is not null and lon is not null and mmsi is not null and ts is not null qualify row_number() over (partition by mmsi, ts order by row_id) = 1)"
 _POS_ETA = f"select p.*, m.* exclude (mmsi) from {_FIX} p join {_DECL} m on p.mmsi = m.mmsi and p.ts >= m.static_ts - interval 1 day and p.ts <= coalesce(m.eta, m.static_ts) + interval 7 day"
 
@@ -226,9 +228,16 @@ def declarations(m: DataFrame) -> DataFrame:
     return rel.first_by(d, ["mmsi", "dest_clean"], [F.col("static_ts").desc_nulls_last(), F.col("decl_id").asc()]).select("mmsi", "dest_clean", "eta", "static_ts", "port_lo", "port_name", "port_lat", "port_lon")
 
 
+def declarations_by_eta(m: DataFrame) -> DataFrame:
+    """The latest declaration of each vessel, destination as sent and eta: what was declared before a vessel named a
+    place again is kept, with as many rows as it gave times."""
+    d = m.where("mmsi is not null and dest_clean is not null and eta is not null")
+    return rel.first_by(d, ["mmsi", "dest_raw", "eta"], [F.col("static_ts").desc_nulls_last(), F.col("decl_id").asc()]).select("mmsi", "dest_clean", "eta", "static_ts", "port_lo", "port_name", "port_lat", "port_lon").distinct()
+
+
 def positions_in_window(positions: DataFrame, declared: DataFrame) -> DataFrame:
-    """Each fix with the declarations of its vessel whose window [declared - 1 day, eta + 7 days] it lies in; a fix
-    meets each place its vessel has named at most once."""
+    """Each fix with the declarations of its vessel whose window [declared - 1 day, eta + 7 days] it lies in; with
+    `declarations` a fix meets each place its vessel has named at most once."""
     return rel.interval_join(positions, declared, "mmsi", F.unix_micros("ts"), F.unix_micros("static_ts") - DAY, F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY)
 
 
@@ -305,6 +314,46 @@ def stop_events(window: DataFrame) -> DataFrame:
     return s.select("mmsi", "stop_grp", "stop_start", "stop_end", timefns.boundaries_crossed("minute", "stop_start", "stop_end").alias("dur_min"), "f.*").where(F.col("dur_min") >= LEAST_MIN)
 
 
+def _spans(declared: DataFrame) -> DataFrame:
+    return declared.withColumns({"__lo": F.unix_micros("static_ts") - DAY, "__hi": F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY}).where("__lo <= __hi")
+
+
+def first_slow(positions: DataFrame, declared: DataFrame) -> DataFrame:
+    """Of `positions_in_window` the rows that `geofenced` chooses from: the first slow fix at each vessel's declared
+    port with its declarations. Windows of one vessel and place are merged before fixes meet them."""
+    keys = ["mmsi", "port_lo", "port_lat", "port_lon"]
+    before = Window.partitionBy(*keys).orderBy("__lo", "__hi").rowsBetween(Window.unboundedPreceding, -1)
+    d = _spans(declared)
+    merged = rel.islands(d.withColumn("__top", F.max("__hi").over(before)), keys, [F.col("__lo"), F.col("__hi")], F.col("__lo") > F.col("__top")).groupBy(*keys, "island").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")).drop("island")
+    slow = positions.where(F.col("sog") <= BERTH_KN).withColumn("__at", F.unix_micros("ts"))
+    near = slow.join(merged, "mmsi").where("__at between __lo and __hi").where(geo.haversine_km("lat", "lon", "port_lat", "port_lon") <= RADIUS_KM)
+    one = rel.first_by(near.drop("__lo", "__hi"), keys, [F.col("ts").asc(), F.col("row_id").asc()]).withColumnsRenamed({k: f"__{k}" for k in keys[1:]})
+    same = F.lit(True)
+    for k in keys[1:]:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return one.join(d, "mmsi").where(same & F.col("__at").between(F.col("__lo"), F.col("__hi"))).drop("__at", "__lo", "__hi", *[f"__{k}" for k in keys[1:]])
+
+
+def stop_events_of(positions: DataFrame, declared: DataFrame) -> DataFrame:
+    """The rows of `stop_events(positions_in_window(positions, declared))` without a row for each fix and declaration.
+
+    A sweep over each vessel's fixes, starts and ends of windows gives how many windows a fix lies in, by which fast
+    fixes count; only the first fix of a stop meets the declarations."""
+    d = _spans(declared)
+    none = {k: F.lit(None).cast(t) for k, t in positions.dtypes if k != "mmsi"}
+    edge = lambda at, order, by: d.select("mmsi", F.col(at).alias("__at"), F.lit(order).alias("__o"), F.lit(by).alias("__by")).withColumns(none)
+    p = positions.where("sog is not null").withColumns({"__at": F.unix_micros("ts"), "__o": F.lit(1), "__by": F.lit(0)})
+    every = p.unionByName(edge("__lo", 0, 1)).unionByName(edge("__hi", 2, -1))
+    w = Window.partitionBy("mmsi").orderBy("__at", "__o", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    k = every.withColumn("__k", F.sum("__by").over(w))
+    grouped = k.withColumn("stop_grp", F.sum(F.when((F.col("__o") == 1) & (F.col("sog") >= SLOW_KN), F.col("__k")).otherwise(0)).over(w)).where("__o = 1 and __k > 0")
+    s = grouped.where(F.col("sog") < SLOW_KN).groupBy("mmsi", "stop_grp").agg(F.min("ts").alias("stop_start"), F.max("ts").alias("stop_end"), F.min_by(F.struct("lat", "lon", "__at"), F.struct("ts", "row_id")).alias("f"))
+    s = s.withColumn("dur_min", timefns.boundaries_crossed("minute", "stop_start", "stop_end")).where(F.col("dur_min") >= LEAST_MIN)
+    met = s.select("mmsi", "stop_grp", "stop_start", "stop_end", "dur_min", "f.*").join(d, "mmsi").where("__at between __lo and __hi")
+    one = rel.first_by(met, ["mmsi", "stop_grp"], [F.col(k).asc_nulls_last() for k in ("static_ts", "eta", "dest_clean", "port_lo")])
+    return one.select("mmsi", "stop_grp", "stop_start", "stop_end", "dur_min", "lat", "lon", "eta", "static_ts", "dest_clean", "port_lo", "port_name", "port_lat", "port_lon")
+
+
 _STOPS = f"""
   with g as (select *, sum(case when sog >= 0.5 then 1 else 0 end) over (partition by mmsi order by {_ORDER} rows unbounded preceding) as stop_grp from ({_POS_ETA}) where sog is not null),
   s as (select *, row_number() over (partition by mmsi, stop_grp order by {_ORDER}) as rn, min(ts) over (partition by mmsi, stop_grp) as stop_start, max(ts) over (partition by mmsi, stop_grp) as stop_end from g where sog < 0.5)
@@ -333,9 +382,9 @@ def speed_arrivals(spark, d):
     return _us(by_speed(stop_events(_window(spark, d))))
 
 
-def arrivals(window: DataFrame) -> DataFrame:
+def arrivals(window: DataFrame, stops: DataFrame | None = None) -> DataFrame:
     g = geofenced(window)
-    return g.unionByName(by_speed(stop_events(window)).join(g.select("mmsi", "port_lo"), ["mmsi", "port_lo"], "left_anti"))
+    return g.unionByName(by_speed(stop_events(window) if stops is None else stops).join(g.select("mmsi", "port_lo"), ["mmsi", "port_lo"], "left_anti"))
 
 
 _ARRIVALS = f"select * from ({_GEO}) union all select * from ({_SPEED}) a where not exists (select 1 from ({_GEO}) g where g.mmsi = a.mmsi and g.port_lo = a.port_lo)"
@@ -367,10 +416,10 @@ def departures_first_exit(spark, d):
     return got.select("mmsi", "port_lo", F.unix_micros("departure_ts").alias("departure_us"), "departure_lat", "departure_lon")
 
 
-def port_calls(window: DataFrame, positions: DataFrame, strict: bool = False) -> DataFrame:
+def port_calls(window: DataFrame, positions: DataFrame, strict: bool = False, stops: DataFrame | None = None) -> DataFrame:
     """Arrivals with the departures after them. Arrivals are few against the fixes they come from and are used twice,
     so they are settled once."""
-    calls = settle(arrivals(window))
+    calls = settle(arrivals(window, stops))
     keys = ["mmsi", "port_lo", "arrival_ts"] if strict else ["mmsi", "port_lo"]
     return calls.join(departures(calls, positions, strict), keys, "left").withColumn("arrival_date", F.to_date("arrival_ts"))
 
@@ -380,13 +429,18 @@ def port_calls_full(spark, d):
     return _us(port_calls(_window(spark, d), fixes(table(spark, d, "messages"))))
 
 
+@CAT.add(CAT.sql["port_calls_full"].replace(_DECL, _DECL_BY_ETA))
+def port_calls_history(spark, d):
+    """As `port_calls_full`, with every declared eta, over a table of more than a day."""
+    fixed, declared = fixes(table(spark, d, "messages")), declarations_by_eta(table(spark, d, "matched_decl"))
+    return _us(port_calls(first_slow(fixed, declared), fixed, stops=stop_events_of(fixed, declared)))
+
+
 @CAT.add("""
   select mmsi, port_lo_code, epoch_us(arrival_ts) as arrival_us, destination_clean, detection_method, epoch_us(static_ts) as static_us, count(*) over (partition by mmsi) as calls
   from (select distinct * from arrivals_today) qualify row_number() over (partition by mmsi, port_lo_code, arrival_ts order by static_ts desc nulls last, departure_ts desc nulls last, eta desc nulls last, detection_method, arrival_lat, destination_clean) = 1""")
 def port_calls_merge(spark, d):
     """Calls known from before merged with new ones: of equal calls the one declared last. `calls`: all of the vessel."""
-    from pyspark.sql import Window
-
     a = table(spark, d, "arrivals_today").distinct().withColumn("calls", F.count(F.lit(1)).over(Window.partitionBy("mmsi")))
     one = rel.first_by(a, ["mmsi", "port_lo_code", "arrival_ts"], [F.col("static_ts").desc_nulls_last(), F.col("departure_ts").desc_nulls_last(), F.col("eta").desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in ("detection_method", "arrival_lat", "destination_clean")]])
     return one.select("mmsi", "port_lo_code", F.unix_micros("arrival_ts").alias("arrival_us"), "destination_clean", "detection_method", F.unix_micros("static_ts").alias("static_us"), "calls")
