@@ -396,6 +396,26 @@ def interaction_features(spark, d):
 _BIN = "case when tta_h < 1 then 0 when tta_h < 6 then 1 when tta_h < 24 then 2 when tta_h < 72 then 3 when tta_h < 200 then 4 end"
 
 
+def journeys(arrivals: DataFrame, positions: DataFrame, days: int = 10) -> DataFrame:
+    """Each arrival with the vessel's first fix in the days before it: when, where, and hours from there to the arrival.
+    Arrivals without one stay, with nulls."""
+    keys = ["mmsi", "port_lo_code", "arrival_ts", "port_lat", "port_lon"]
+    a = arrivals.where("port_lo_code is not null and port_lo_code <> ''").select(*keys).distinct().withColumn("__to", F.unix_micros("arrival_ts"))
+    p = positions.where("mmsi is not null and ts is not null").select(F.col("mmsi").alias("__m"), F.unix_micros("ts").alias("__at"), "ts", "lat", "lon", "pos_id")
+    met = a.join(p, (F.col("mmsi") == F.col("__m")) & F.col("__at").between(F.col("__to") - days * 24 * H * 1_000_000, F.col("__to")), "left")
+    first = met.groupBy(*keys).agg(F.min_by(F.struct("ts", "lat", "lon"), F.when(F.col("__at").isNotNull(), F.struct("__at", "pos_id"))).alias("f"))
+    return first.select(*keys, F.col("f.ts").alias("first_ts"), ((F.unix_micros("arrival_ts") - F.unix_micros("f.ts")) / 3.6e9).alias("journey_tta_h"), F.col("f.lat").alias("origin_lat"), F.col("f.lon").alias("origin_lon"))
+
+
+@CAT.add("""
+  select mmsi, port_lo_code, epoch_us(arrival_ts) as arrival_us, port_lat, port_lon, epoch_us(min(ts)) as first_us, (epoch_us(arrival_ts) - epoch_us(min(ts))) / 3.6e9::double as journey_tta_h, first(lat order by ts, pos_id) as origin_lat, first(lon order by ts, pos_id) as origin_lon
+  from arrivals_today a left join (select mmsi as m, ts, lat, lon, pos_id from vessels_positions) p on a.mmsi = p.m and p.ts >= a.arrival_ts - interval 10 day and p.ts <= a.arrival_ts
+  where port_lo_code is not null and port_lo_code <> '' group by mmsi, port_lo_code, arrival_ts, port_lat, port_lon""")
+def arrival_journeys(spark, d):
+    j = journeys(table(spark, d, "arrivals_today"), table(spark, d, "vessels_positions"))
+    return j.withColumns({"arrival_us": F.unix_micros("arrival_ts"), "first_us": F.unix_micros("first_ts")}).drop("arrival_ts", "first_ts")
+
+
 def metrics(s: DataFrame, truth: str, guess: Column, bins: Column) -> DataFrame:
     """Errors of a prediction clipped to [0.05, 200] hours, per bin: means over thousandths of an hour."""
     e = s.withColumn("__g", F.round(F.greatest(F.lit(0.05), F.least(F.lit(200.0), guess)), 3)).withColumn("__e", F.round((F.col("__g") - F.col(truth)) * 1000).cast("long")).withColumn("bin", bins)

@@ -1,4 +1,5 @@
-"""Time-to-arrival models with MLlib: one-stage and two-stage boosted trees, a router over horizons, a blend.
+"""Time-to-arrival models with MLlib: one-stage and two-stage boosted trees, a router over horizons, a cascade
+of thresholds, blends.
 
 Targets are log1p(hours). Splits are by vessel (`features.fold`), so no vessel is on both sides. Fitting iterates
 over the training rows in Spark; nothing is collected but the trees.
@@ -7,7 +8,7 @@ over the training rows in Spark; nothing is collected but the trees.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -16,7 +17,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions import domain
+from tidewater.functions import domain, geo
 from tidewater.plans import features
 
 INPUTS = ("sog", "dist_km", "closing_kmh", "efficiency", "hour_sin", "hour_cos")
@@ -92,6 +93,61 @@ class Router:
         return p.withColumn("z", z).withColumn("hours", hours("z"))
 
 
+class Cascade:
+    """Chained classifiers, under 6, 24 or 72 hours, the first that says yes decides; a model for each horizon. Under
+    6 hours the naive estimate tells the last hour from the rest. A horizon of fewer than `least` rows has no model
+    and its rows get the least estimate."""
+
+    def __init__(self, thresholds: tuple[float, ...] = (6.0, 24.0, 72.0), trees: int = 40, least: int = 100):
+        self.thresholds, self.trees, self.least = thresholds, trees, least
+
+    def fit(self, rows: DataFrame) -> Cascade:
+        self.deciders = {}
+        total = rows.count()
+        for t in self.thresholds:
+            under = rows.where(F.col("tta_h") < t).count()
+            scale = min((total - under) / max(under, 1), 10.0)
+            labelled = rows.withColumn("label", (F.col("tta_h") < t).cast("double")).withColumn("__w", F.when(F.col("tta_h") < t, scale).otherwise(1.0))
+            tree = GBTClassifier(featuresCol="x", labelCol="label", weightCol="__w", predictionCol=f"under_{t:g}", maxIter=self.trees, maxDepth=5, seed=SEED)
+            self.deciders[t] = Pipeline(stages=[*_assemble(INPUTS), tree]).fit(labelled)
+        many = {r["bin"]: r["count"] for r in rows.where("bin is not null").groupBy("bin").count().collect()}  # at most five
+        self.models = {b: fit_boosted(rows.where(F.col("bin") == b), trees=self.trees, out=f"g_{b}") for b, n in sorted(many.items()) if n >= self.least}
+        return self
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        p = rows
+        for t, m in self.deciders.items():
+            p = m.transform(p).drop("x", "x_raw", "probability", "rawPrediction")
+        for m in self.models.values():
+            p = m.transform(p).drop("x", "x_raw")
+        first, *others = self.thresholds
+        close = features.half_up(F.col("dist_km") / F.greatest("sog", F.lit(1.0)), 2) < 1
+        route = F.when(F.col(f"under_{first:g}") == 1, F.when(close, 0).otherwise(1))
+        for k, t in enumerate(others, 2):
+            route = route.when(F.col(f"under_{t:g}") == 1, k)
+        p = p.withColumn("route", route.otherwise(len(self.thresholds) + 1))
+        z = F.lit(0.0)
+        for b in self.models:
+            z = F.when(F.col("route") == b, F.col(f"g_{b}")).otherwise(z)
+        return p.withColumn("z", z).withColumn("hours", hours("z"))
+
+
+def distance_gate(near: str | Column, far: str | Column, dist_km: str | Column = "dist_km", threshold_km: float = 200.0, smoothness: float = 3.0) -> Column:
+    """Hours of two models blended by a sigmoid of the distance: the first near the port, the second far from it."""
+    near, far, dist_km = map(geo.c, (near, far, dist_km))
+    gate = 1 / (1 + F.exp((dist_km - threshold_km) / (threshold_km / smoothness)))
+    return F.greatest(F.lit(0.05), F.least(F.lit(200.0), gate * near + (1 - gate) * far))
+
+
+def residual_hours(naive: str | Column, residual: str | Column) -> Column:
+    """The naive estimate corrected by a residual in log1p; a residual that is no number is 0, an infinite one 3."""
+    naive, residual = geo.c(naive), geo.c(residual)
+    base = F.log1p(F.greatest(F.lit(0.05), F.least(F.lit(200.0), F.coalesce(naive, F.lit(0.0)))))
+    inf = F.lit(float("inf"))
+    r = F.when(residual.isNull() | F.isnan(residual), 0.0).when(residual == inf, 3.0).when(residual == -inf, -3.0).otherwise(residual)
+    return F.expm1(F.greatest(F.lit(0.0), F.least(F.log1p(F.lit(200.0)), base + r)))
+
+
 def out_of_fold(rows: DataFrame, folds: int = 5, trees: int = 20) -> DataFrame:
     """Every row's estimate by a model that hasn't seen its vessel."""
     parts = [fit_boosted(rows.where(F.col("fold") != k), trees=trees).transform(rows.where(F.col("fold") == k)).drop("x", "x_raw") for k in range(folds)]
@@ -113,3 +169,8 @@ def weighted_rmse(rows: DataFrame, truth: str = "tta_h", guess: str = "hours") -
     """Root mean squared error with weights falling with the horizon."""
     w = 1 / (1 + F.col(truth))
     return rows.agg(F.sqrt(F.sum(w * F.pow(F.col(truth) - F.col(guess), 2)) / F.sum(w))).first()[0]
+
+
+def r2(rows: DataFrame, truth: str = "tta_h", guess: str = "hours") -> float | None:
+    """Part of the variance that is explained; null where there is none."""
+    return rows.where(F.col(truth).isNotNull() & F.col(guess).isNotNull()).agg(1 - F.try_divide(F.avg(F.pow(F.col(truth) - F.col(guess), 2)), F.var_pop(truth))).first()[0]
