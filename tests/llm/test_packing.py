@@ -78,6 +78,24 @@ def test_shards_and_carried_remainders(spark, monkeypatch):
     assert sum(counts.values()) / (128 * len(room)) > 0.97 and any(r.container.startswith("b") for r in got)
 
 
+def test_full_containers_of_long_texts_count_in_the_mixture(spark):
+    enc = packing.encoder(packing.default_vocabulary())
+    half = next(x for k in range(100) if len(enc.encode_ordinary(x := " x" * k)) == 64)
+    rows = [(i, "tide " * 3000, "long") for i in range(40)] + [(100 + i, half, "short") for i in range(1875)]
+    counts = {i: len(enc.encode_ordinary(t)) for i, t, _ in rows}
+    got = pack(spark, rows, capacity=128)
+    check(rows, got, 128, counts)
+    closed: dict = {}
+    for r in got:
+        if r.container.startswith("a"):
+            closed.setdefault(int(r.container.rsplit("-", 1)[1]), []).append(r.tokens if r.source == "long" else -r.tokens)
+    ahead, most = 0, 0
+    for _, sizes in sorted(closed.items()):
+        ahead += sum(sizes)
+        most = max(most, abs(ahead))
+    assert len(closed) > 1000 and most <= packing.WINDOW * 128
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "", "a"), (None, "text", "a")]])
 def test_nothing_to_pack(spark, rows):
     assert pack(spark, rows) == []

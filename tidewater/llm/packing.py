@@ -142,7 +142,7 @@ def pack(docs: DataFrame, *, doc_id: str, text: str, source: str, capacity: int
     """(container, slot, doc_id, source, first_token, tokens): where every token of every document lies.
 
     Only a document longer than the capacity is split, into full containers and one rest that is packed as an item;
-    any other document lies whole in one container. Documents without tokens (null or empty text) take no room and
+    the full ones wait in their source's queue as all items do, so that they count in the windows' mixture. Any other document lies whole in one container. Documents without tokens (null or empty text) take no room and
     aren't in the result. Repeated ids are packed as often as they come. `shares`, by source, needn't sum to 1; a
     source without one gets the least turn. An empty table gives no rows.
     """
@@ -177,15 +177,15 @@ def pack(docs: DataFrame, *, doc_id: str, text: str, source: str, capacity: int
         return cols
 
     def first(c: Columns) -> dict:
-        closed, items, shares = [], [], {}
+        items, shares = [], {}
         for d, s, n, share in zip(c["doc_id"].tolist(), c["source"].tolist(), c["tokens"].tolist(), c["share"].tolist(), strict=True):
             shares[s] = share
             cut = n // capacity * capacity if n > capacity else 0
-            closed += [[(s, d, f, capacity)] for f in range(0, cut, capacity)]
+            items += [(s, d, f, capacity) for f in range(0, cut, capacity)]
             if n > cut:
                 items.append((s, d, cut, n - cut))
         packed, carried, owed = pack_shard(items, shares, {}, capacity, last=False)
-        return out(int(c["shard"][0]), closed + packed, carried, owed, shares)
+        return out(int(c["shard"][0]), packed, carried, owed, shares)
 
     def second(c: Columns) -> dict:
         items, shares, owed = [], {}, {}
