@@ -119,7 +119,8 @@ def compact(files: DataFrame, out: str, *, file_id: str = "file_id", size: str =
     """
     spark = files.sparkSession
     groups = schedule(files, file_id=file_id, size=size, target_bytes=target_bytes)
-    first = line_keys(files, file_id=file_id, body=body).groupBy("hi", "lo").agg(F.min(F.struct("file_id", "line_no")).alias("p"))
+    # settled, as it is used twice: for what to keep, and to verify how much was kept
+    first = settle(line_keys(files, file_id=file_id, body=body).groupBy("hi", "lo").agg(F.min(F.struct("file_id", "line_no")).alias("p")))
     keep = first.groupBy(F.col("p.file_id").alias("file_id")).agg(F.array_sort(F.collect_list("p.line_no")).alias("keep"))
     whole = files.select(F.col(file_id).cast("long").alias("file_id"), F.col(body).alias("body")).where("file_id is not null and body is not null")
     placed = groups.join(keep, "file_id", "left").join(whole, "file_id")
@@ -174,6 +175,9 @@ def compact(files: DataFrame, out: str, *, file_id: str = "file_id", size: str =
     want = whole.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.size(F.split("body", "\n", -1)).cast("long")), F.lit(0)).alias("lines")).first()
     if got["files"] != want["files"] or got["lines"] != want["lines"] or got["lines"] != got["kept"] + got["surplus"] + got["unreadable"] + got["blank"]:
         raise RuntimeError(f"the written files don't hold what the input holds: {got} for {want}")
+    distinct = first.count()
+    if got["kept"] != distinct:
+        raise RuntimeError(f"{got['kept']} messages were kept of {distinct} distinct ones")
     return publish(spark, written, out)
 
 
