@@ -73,3 +73,12 @@ def test_exactly_once_over_batches_and_repeats(spark, tmp_path):
                 seen.add((m, t))
                 want.append(i)
     assert got == sorted(want)
+
+
+def test_downsampled_windows_all_come_from_the_sink(spark, data, monkeypatch):
+    """Also those that no later message would close; no batch plan stands in for the stream."""
+    from tidewater.plans import streams
+
+    monkeypatch.setattr(streams, "table", None, raising=False)
+    m = spark.read.parquet(f"{data}/messages.parquet").where("mmsi is not null and ts is not null")
+    assert streams.stream_downsample(spark, data).count() == m.select("mmsi", F.window("ts", "10 minutes")).distinct().count() > 0

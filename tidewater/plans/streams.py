@@ -22,15 +22,8 @@ def stream_dedup(spark, d):
   select mmsi, epoch_us(ts) // 600000000 * 600000000 as window_us, epoch_us(ts) as ts_us, row_id, lat, lon from messages where mmsi is not null and ts is not null
   qualify row_number() over (partition by mmsi, epoch_us(ts) // 600000000 order by ts, row_id) = 1""")
 def stream_downsample(spark, d):
-    """All windows: those that the watermark has passed from the sink, the rest from the same plan over the batch."""
-    from pyspark.sql import Window
-
-    s = ingest.downsampled(ingest.table_stream(spark, d, "messages"), delay="60 days")
-    closed = ingest.drained(s, "downsample")
-    m = table(spark, d, "messages").where("mmsi is not null and ts is not null").withColumn("window_us", F.floor(F.unix_micros("ts") / 600_000_000) * 600_000_000)
-    w = Window.partitionBy("mmsi", "window_us").orderBy("ts", "row_id")
-    still = m.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("mmsi", "window_us", F.unix_micros("ts").alias("ts_us"), "row_id", "lat", "lon")
-    return closed.unionByName(still.join(closed.select("mmsi", "window_us"), ["mmsi", "window_us"], "left_anti"))
+    """All windows, from the stream's sink."""
+    return ingest.drained_to_the_end(ingest.table_stream(spark, d, "messages"), lambda m: ingest.downsampled(m, delay="60 days"), "downsample")
 
 
 @CAT.add("select (epoch_us(ts) // 3600000000) * 3600000000 as period_us, count(*) as n from messages where ts is not null and epoch_us(received_at) < (epoch_us(ts) // 3600000000) * 3600000000 + 7 * 3600000000 group by 1")

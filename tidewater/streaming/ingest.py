@@ -59,6 +59,21 @@ def drained(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+def drained_to_the_end(messages: DataFrame, plan, what: str) -> DataFrame:
+    """As `drained` for `plan` over a stream with a watermark on ts, with the windows that its end leaves open: a second
+    run from the same checkpoint brings one message of the far future, which moves the watermark past all others."""
+    spark = messages.sparkSession
+    ends, out = scratch(spark, f"{what}-end"), scratch(spark, what)
+    none = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in messages.schema])
+    none.where("false").write.mode("overwrite").parquet(ends)
+    stream = plan(messages.unionByName(spark.readStream.schema(messages.schema).parquet(ends)))
+    for last in (False, True):
+        if last:
+            none.withColumns({"ts": F.lit("9000-01-01").cast("timestamp"), "mmsi": F.lit(-1).cast(messages.schema["mmsi"].dataType)}).write.mode("append").parquet(ends)
+        stream.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
 class LateCounter:
     """Counts per period kept right by a stream: the state of `late_counts` in a folder, one version a batch.
 
