@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from tests import brute
@@ -54,7 +56,8 @@ def test_what_equals_as_json():
 def test_schedule_is_balanced_and_whole(spark):
     rng = random.Random(5)
     rows = [(i, "x" * rng.randrange(1, 200)) for i in range(500)] + [(1000, "y" * 5000), (1001, None)]
-    got = c.schedule(files(spark, rows), file_id="file_id", size="n_bytes", target_bytes=4000).collect()
+    assert c.shards_of(55_000.0, len(rows), 4000) == (3, 5)
+    got = c.schedule(files(spark, rows), 1, 14, file_id="file_id", size="n_bytes").collect()
     assert sorted(r.file_id for r in got) == sorted(i for i, _ in rows)
     size = {i: len(b or "") for i, b in rows}
     load: dict = {}
@@ -99,9 +102,67 @@ def test_files_of_a_folder(spark, tmp_path):
     assert got == list(range(40))
 
 
-def test_what_was_kept_must_be_the_number_of_distinct_messages(spark, tmp_path, monkeypatch):
-    """A faulty writer that sets a message aside instead of keeping it: all lines are accounted for, one is lost."""
-    whole = c.F.array_sort
-    monkeypatch.setattr(c.F, "array_sort", lambda x, *more: c.F.slice(whole(x, *more), 2, 1000))
+FILES = [(1, '{"a":1}\n{"a":2}\n{"a":1}'), (2, '{"a":3}\n\n{"a"'), (3, '{"a":4}')]
+
+
+def test_a_message_that_is_set_aside_instead_of_kept_is_seen(spark, tmp_path, monkeypatch):
+    class Faulty(c.OutputGroup):
+        def add(self, fid, lines, nos, stay):
+            super().add(fid, lines, nos, stay - {2})
+
+    monkeypatch.setattr(c, "OutputGroup", Faulty)
+    with pytest.raises(RuntimeError, match="distinct"):
+        compacted(spark, tmp_path, FILES)
+    assert not (tmp_path / "out" / "CURRENT").exists()
+
+
+def test_a_message_that_is_written_twice_for_another_is_seen(spark, tmp_path, monkeypatch):
+    """All counts agree."""
+
+    class Faulty(c.OutputGroup):
+        def flush(self):
+            texts = self.waiting[0][2]
+            texts[-1:] = texts[:1]
+            super().flush()
+
+    monkeypatch.setattr(c, "OutputGroup", Faulty)
+    with pytest.raises(RuntimeError, match="distinct"):
+        compacted(spark, tmp_path, FILES)
+
+
+def test_lost_places_of_messages_are_seen(spark, tmp_path, monkeypatch):
+    """Half of what to keep is lost on the way to the writer."""
+    whole = c.F.collect_list
+    monkeypatch.setattr(c.F, "collect_list", lambda x: c.F.slice(whole(x), 2, 1000))
     with pytest.raises(RuntimeError, match="distinct"):
-        compacted(spark, tmp_path, [(1, '{"a":1}\n{"a":2}\n{"a":1}'), (2, '{"a":3}')])
+        compacted(spark, tmp_path, FILES)
+
+
+def test_a_lost_line_is_seen(spark, tmp_path, monkeypatch):
+    class Faulty(c.OutputGroup):
+        def add(self, fid, lines, nos, stay):
+            super().add(fid, lines[:-1], nos, stay)
+
+    monkeypatch.setattr(c, "OutputGroup", Faulty)
+    with pytest.raises(RuntimeError, match="account"):
+        compacted(spark, tmp_path, FILES)
+
+
+def test_row_groups_are_few_and_output_is_small(spark, tmp_path, monkeypatch):
+    lines = [json.dumps({"message_type": "PositionReport", "n": k, "text": "harbour of " + str(k % 9)}) for k in range(5000)]
+    rows = [(k, "\n".join(lines[10 * k : 10 * k + 10])) for k in range(500)]
+    kept, _, out = compacted(spark, tmp_path / "a", rows)
+    m = c.current_manifest(spark, out).collect()
+    assert len(kept) == 5000 and len(m) == 1
+    f = pq.ParquetFile(m[0].kept_path)
+    assert f.num_row_groups == 1
+    assert sum(len(b) for _, b in rows) > 5 * os.path.getsize(m[0].kept_path)
+
+    class Small(c.OutputGroup):
+        most_rows = 1000
+
+    monkeypatch.setattr(c, "OutputGroup", Small)
+    *_, out = compacted(spark, tmp_path / "b", rows, target_bytes=2000)
+    m = c.current_manifest(spark, out).collect()
+    assert len(m) > 4 and sum(r.kept for r in m) == 5000
+    assert all(pq.ParquetFile(r.kept_path).num_row_groups <= -(-r.kept // 1000) for r in m)

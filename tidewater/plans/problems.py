@@ -48,10 +48,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """What each output file holds."""
+    """What the published output files hold in all."""
     out = scratch(spark, "landing")
     compaction.compact(table(spark, d, "raw_files"), out)
-    return compaction.current_manifest(spark, out).drop("kept_path", "surplus_path")
+    return compaction.current_manifest(spark, out).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "kept", "surplus", "unreadable", "blank", "lines")])
 
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
@@ -129,6 +129,12 @@ _P1 = """
     select 'eta', row_id, mmsi, ts, received_at from messages where message_type = 'ShipStaticData' and eta is not null
   ) f on f.mmsi = d.mmsi and f.ts <= d.static_ts and f.received_at <= d.static_ts
   qualify row_number() over (partition by d.decl_id, f.field order by f.ts desc, f.received_at, f.row_id) = 1"""
+#: Lines of the landing zone; a JSON value's key is the list of its nodes' paths, kinds and values, in order of the paths.
+_LINES = r"""
+  l as (select file_id, unnest(string_split(body, chr(10))) as line, unnest(range(1, len(string_split(body, chr(10))) + 1))::int as line_no from raw_files where body is not null and file_id is not null),
+  p as (select file_id, line_no, rtrim(line, chr(13))::json as j from l where json_valid(rtrim(line, chr(13)))),
+  k as (select file_id, line_no, (select string_agg(fullkey || chr(31) || case when type in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'n' || (atom::double)::varchar when type = 'VARCHAR' then 's' || (atom ->> '$')
+        else type || coalesce(atom::varchar, '') end, chr(30) order by fullkey) from json_tree(j)) as k from p)"""
 _HOUR = "(epoch_us(ts) - ((epoch_us(ts) % 3600000000) + 3600000000) % 3600000000)"
 _DUPES = "row_number() over (partition by mmsi, ts, message_type order by received_at nulls last, row_id)"
 _RING = ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate([(1.0, 0.0), (0.7, 0.7), (0.0, 1.0), (-0.7, 0.7), (-1.0, 0.0), (-0.7, -0.7), (0.0, -1.0), (0.7, -0.7)]))
@@ -141,6 +147,11 @@ SQL = {
              any_value(epoch_us(m.eta)) filter (where f.field = 'eta') as eta_known_us
       from matched_decl d left join found f on f.decl_id = d.decl_id left join messages m on m.row_id = f.row_id
       group by 1, 2""",
+    "p2_found": f"with {_LINES} select file_id, line_no from k qualify row_number() over (partition by k order by file_id, line_no) > 1",
+    "p2_manifest": f"""
+      with {_LINES}, n as (select count(distinct k) as kept, count(*) as parsed from k),
+      t as (select count(*) as lines, count(*) filter (where regexp_full_match(line, '\\s*')) as blank, count(distinct file_id) as files from l)
+      select files, kept, parsed - kept as surplus, lines - blank - parsed as unreadable, blank, lines from n, t""",
     "p3_found": f"""
       select row_id, case when epoch_us(received_at) < {_HOUR} + 7 * 3600000000 then 'correction' else 'too_late' end as outcome
       from messages where ts is not null and epoch_us(received_at) >= {_HOUR} + 3600000000""",
