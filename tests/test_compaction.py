@@ -162,7 +162,7 @@ def test_row_groups_are_few_and_output_is_small(spark, tmp_path, monkeypatch):
         most_rows = 1000
 
     monkeypatch.setattr(c, "OutputGroup", Small)
-    *_, out = compacted(spark, tmp_path / "b", rows, target_bytes=2000)
+    *_, out = compacted(spark, tmp_path / "b", rows, target_bytes=1000)
     m = c.current_manifest(spark, out).collect()
     assert len(m) > 4 and sum(r.kept for r in m) == 5000
     assert all(pq.ParquetFile(r.kept_path).num_row_groups <= -(-r.kept // 1000) for r in m)
