@@ -1,54 +1,84 @@
 """Counts per period of event time that late rows put right, up to a cut-off.
 
-Every source keeps its own counter of each period and only ever raises it; a raised counter is a new version of it.
-Version 0 is what the source had received by the period's end, version k what it had received k correction steps
-after it. A state is the set of (period, source, version, count so far). Two states merge by taking, for each
-(period, source), the highest count; a period's count is the sum over its sources. Taking maxima is idempotent,
-commutative and associative, so a state that is delivered twice, late or out of order changes nothing that it
-shouldn't. Rows past the cut-off get no version and so can't move any count.
+Every source keeps its own counter of each period, numbers what it counts (1, 2, ...) and only ever raises it. A
+delivery says how far a counter had come at two versions of the period: at its end and at the cut-off for late rows.
+Two states merge by taking, for each (period, source), the highest number of each version; a period's count is the sum
+over its sources. Taking maxima is idempotent, commutative and associative, so a delivery that comes twice, late, out
+of order or in another batch changes nothing that it shouldn't. Rows past the cut-off have the numbers after the last
+version and raise neither. Whether a row was in time, a correction or too late is what its number says against the
+merged state.
+
+Numbers of rows that come without them follow the order in which they were received, so far as versions go: stage
+(before the end, before the cut-off, after it), then lane, then id. Lanes split what one source sends for one period by
+the hash of the row's id, so that a source or period with a third of all rows isn't numbered in one task; their sizes
+are counted with partial aggregation and give each lane the number it begins at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
+#: Rows of a lane, were all rows in one period of one source; most lanes.
+LANE_ROWS, MOST_LANES = 1_000_000, 4096
+KEY = ("period_us", "source")
 
 
-def version_ledger(rows: DataFrame, *, event_time: str, received: str, source: str, period_us: int = HOUR, lateness_us: int = 6 * HOUR, step_us: int = HOUR, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Each row's (period_us, source, version, outcome) and the columns in `keep`.
+def staged(rows: DataFrame, *, event_time: str, received: str, source: str, row_id: str, period_us: int = HOUR, lateness_us: int = 6 * HOUR) -> DataFrame:
+    """(row_id, period_us, source, stage): stage 0 received before the period's end, 1 less than `lateness_us` after
+    it, 2 later.
 
-    outcome: 'on_time' (received before the period's end, version 0), 'correction' (less than `lateness_us` after
-    the end, version 1 and up), 'too_late' (version null). Rows with a null event time have no period and are left
-    out; a null received time can't be shown to lie before the cut-off: 'undated', version null. A null source is a
-    source of its own. Rows received before they happened are on time. Every row counts, repeated ones too.
+    Rows with a null event time have no period, rows with a null received time can't be shown to lie before a version:
+    both are left out. A null source is a source of its own. Rows received before they happened are of stage 0. Every
+    row counts, repeated ones too.
     """
     t, r = F.unix_micros(F.col(event_time).cast("timestamp")), F.unix_micros(F.col(received).cast("timestamp"))
-    rest = [c for c in keep if c not in ("__start", "__late")]
-    staged = rows.select(*rest, F.col(source).alias("__source"), (F.floor(t / period_us) * period_us).alias("__start"), r.alias("__r")).where("__start is not null").withColumn("__late", F.col("__r") - F.col("__start") - period_us)
-    late = F.col("__late")
-    version: Column = F.when(late < 0, F.lit(0)).when(late < lateness_us, (F.floor(late / step_us) + 1).cast("int"))
-    outcome = F.when(late.isNull(), "undated").when(F.col("version").isNull(), "too_late").when(F.col("version") == 0, "on_time").otherwise("correction")
-    return staged.withColumn("version", version).withColumn("outcome", outcome).select(*rest, F.col("__start").alias("period_us"), F.col("__source").alias("source"), "version", "outcome")
+    start = (F.floor(t / period_us) * period_us).alias("period_us")
+    s = rows.select(F.col(row_id).alias("row_id"), start, F.col(source).alias("source"), r.alias("__r")).where("period_us is not null and __r is not null")
+    late = F.col("__r") - F.col("period_us") - period_us
+    return s.withColumn("stage", F.when(late < 0, 0).when(late < lateness_us, 1).otherwise(2)).drop("__r")
+
+
+def numbered(stages: DataFrame, lanes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (row_id, period_us, source, stage, seq), numbered from 1 per (period, source), and the deliveries
+    (period_us, source, at_end, final) that the lanes make; `lanes` follows from the number of rows unless given."""
+    lanes = lanes or max(1, min(MOST_LANES, -(-stages.count() // LANE_ROWS)))
+    # null sources are a group as well; rows are moved once, as numbering and the lanes' first numbers share their keys
+    laned = stages.withColumns({"lane": F.pmod(F.xxhash64("row_id"), F.lit(lanes)).cast("int"), "__s": F.coalesce("source", F.lit("")), "__none": F.col("source").isNull()})
+    group = ["period_us", "__s", "__none", "stage", "lane"]
+    before = Window.partitionBy(*group[:3]).orderBy("stage", "lane").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laned.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*group).orderBy("row_id"))
+    rows = laned.withColumn("own", own).join(sizes.drop("n"), group).select("row_id", *KEY, "stage", (F.col("before") + F.col("own")).alias("seq"))
+    sizes = sizes.withColumn("source", F.when(~F.col("__none"), F.col("__s")))
+    return rows, deliveries(sizes.select(*KEY, "stage", (F.col("before") + F.col("n")).alias("seq")))
 
 
-def counters(ledger: DataFrame) -> DataFrame:
-    """State (period_us, source, version, so_far): the running count of each source's counter, version by version."""
-    per = ledger.where("version is not null").groupBy("period_us", "source", "version").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("period_us", "source").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("period_us", "source", "version", F.sum("n").over(w).alias("so_far"))
+def deliveries(rows: DataFrame) -> DataFrame:
+    """State (period_us, source, at_end, final) of rows (period_us, source, stage, seq): the highest numbers that were
+    reached by the period's end and by the cut-off, 0 where none."""
+    top = lambda stage: F.coalesce(F.max(F.when(F.col("stage") <= stage, F.col("seq"))), F.lit(0)).cast("long")
+    return rows.groupBy(*KEY).agg(top(0).alias("at_end"), top(1).alias("final"))
 
 
 def merge(*states: DataFrame) -> DataFrame:
-    """One state out of several: per (period, source) the highest count and the version that reached it first."""
+    """One state out of several: per (period, source) the maximum of each version."""
     every = states[0]
     for s in states[1:]:
         every = every.unionByName(s)
-    return every.groupBy("period_us", "source").agg(F.max(F.struct("so_far", (-F.col("version")).alias("v"))).alias("top")).select("period_us", "source", (-F.col("top.v")).alias("version"), F.col("top.so_far").alias("so_far"))
+    return every.groupBy(*KEY).agg(F.max("at_end").alias("at_end"), F.max("final").alias("final"))
+
+
+def judged(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows (row_id, period_us, source, seq) with their outcome by the merged state: 'on_time', 'correction' or 'too_late'."""
+    s = state.select(F.col("period_us").alias("__p"), F.col("source").alias("__source"), "at_end", "final")
+    outcome = F.when(F.col("seq") <= F.col("at_end"), "on_time").when(F.col("seq") <= F.col("final"), "correction").otherwise("too_late")
+    # adaptive skew handling splits a source and period with many rows; its one state row is copied
+    return rows.join(s, (F.col("period_us") == F.col("__p")) & F.col("source").eqNullSafe(F.col("__source"))).select("row_id", *KEY, "seq", outcome.alias("outcome"))
 
 
-def period_counts(state: DataFrame, as_of_version: int | None = None) -> DataFrame:
-    """Count per period (period_us, n); with `as_of_version`, as it stood at that version."""
-    seen = state if as_of_version is None else state.where(F.col("version") <= as_of_version)
-    return merge(seen).groupBy("period_us").agg(F.sum("so_far").alias("n"))
+def period_counts(state: DataFrame) -> DataFrame:
+    """(period_us, n_at_end, n_final): the counts at each period's end and after its last correction."""
+    merged = merge(state)
+    return merged.groupBy("period_us").agg(F.sum("at_end").alias("n_at_end"), F.sum("final").alias("n_final")).where("n_final > 0")

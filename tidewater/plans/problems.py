@@ -54,20 +54,19 @@ def p2_manifest(spark: SparkSession, d: str) -> DataFrame:
     return compaction.current_manifest(spark, out).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "kept", "surplus", "unreadable", "blank", "lines")])
 
 
-def _ledger(spark: SparkSession, d: str) -> DataFrame:
-    return late_counts.version_ledger(table(spark, d, "messages"), event_time="ts", received="received_at", source="source_listener", keep=("row_id",))
+def _numbered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return late_counts.numbered(late_counts.staged(table(spark, d, "messages"), event_time="ts", received="received_at", source="source_listener", row_id="row_id"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _ledger(spark, d).where("outcome in ('correction', 'too_late')").select("row_id", "outcome")
+    """Rows that came after their hour's end, judged by their number against the merged counters."""
+    rows, state = _numbered(spark, d)
+    return late_counts.judged(rows, late_counts.merge(state)).where("outcome <> 'on_time'").select("row_id", "outcome")
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """Per hour the count at its end and after the last correction."""
-    state = late_counts.counters(_ledger(spark, d))
-    final = late_counts.period_counts(state).withColumnRenamed("n", "n_final")
-    first = late_counts.period_counts(state, as_of_version=0).withColumnRenamed("n", "n_at_end")
-    return final.join(first, "period_us", "left").select("period_us", F.coalesce("n_at_end", F.lit(0)).cast("long").alias("n_at_end"), F.col("n_final").cast("long").alias("n_final"))
+    return late_counts.period_counts(_numbered(spark, d)[1])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

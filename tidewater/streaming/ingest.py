@@ -75,33 +75,40 @@ def drained_to_the_end(messages: DataFrame, plan, what: str) -> DataFrame:
 
 
 class LateCounter:
-    """Counts per period kept right by a stream: the state of `late_counts` in a folder, one version a batch.
+    """Counts per period kept right by a stream: the state of `late_counts` in a folder.
 
-    A batch's rows raise the counters of their (period, source); merging takes maxima over what each batch has
-    reached, so a batch that is repeated, as after a failure, or delivered out of order changes nothing. The state
-    of batch n is written beside that of batch n - 1 and read back by its number.
+    The stream's rows carry (period_us, source, stage, seq): a source numbers what it counts, see
+    `late_counts.numbered`. A batch adds the highest numbers that it brings under its own name, and reading merges by
+    maximum, so a batch that comes again, under the same number or another, in any order, changes nothing. After
+    `fold_after` batches what was added is folded into one state, which is written before the parts are removed; as
+    maxima are idempotent, a failure between the two does no harm.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, *, event_time: str = "ts", received: str = "received_at", source: str = "source_listener"):
-        self.spark, self.folder = spark, folder
-        self.names = {"event_time": event_time, "received": received, "source": source}
+    def __init__(self, spark: SparkSession, folder: str, fold_after: int = 32):
+        self.spark, self.folder, self.fold_after = spark, folder, fold_after
 
-    def state(self, batch: int) -> DataFrame | None:
-        """(period_us, source, batch, n): what each batch up to this one has counted."""
+    def _parts(self) -> list:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.parquet(f"{self.folder}/state").where(F.col("batch") <= batch)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted((s.getPath().toString() for s in fs.listStatus(path) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))), key=str) if fs.exists(path) else []
+
+    def state(self) -> DataFrame | None:
+        """(period_us, source, at_end, final), merged."""
+        parts = self._parts()
+        return late_counts.merge(self.spark.read.parquet(*parts)) if parts else None
 
     def take(self, rows: DataFrame, batch: int) -> None:
-        ledger = late_counts.version_ledger(rows, **self.names)
-        counted = ledger.where("version is not null").groupBy("period_us", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("batch", F.lit(batch).cast("long"))
-        counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.folder}/state")
+        late_counts.deliveries(rows).write.mode("overwrite").parquet(f"{self.folder}/state/batch-{batch:012d}")
+        parts = self._parts()
+        if len(parts) > self.fold_after:
+            late_counts.merge(self.spark.read.parquet(*parts)).write.mode("overwrite").parquet(f"{self.folder}/state/until-{batch:012d}")
+            for part in parts:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(part)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def counts(self) -> DataFrame:
-        """(period_us, n): per source and batch the maximum, then the sums over batches and sources."""
-        every = self.spark.read.parquet(f"{self.folder}/state")
-        return every.groupBy("period_us", "source", "batch").agg(F.max("n").alias("n")).groupBy("period_us").agg(F.sum("n").alias("n"))
+        """(period_us, n_at_end, n_final)."""
+        return late_counts.period_counts(self.state())
 
     def run(self, stream: DataFrame) -> None:
         stream.writeStream.foreachBatch(self.take).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
