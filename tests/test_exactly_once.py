@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidewater.operators import exactly_once
@@ -61,6 +63,47 @@ def test_ranges_merge_and_cover_later_batches(spark):
     assert ids(later, "accepted") == [101, 103, 104]
 
 
+def test_ranges_of_a_state_are_merged_and_decide(spark):
+    """Coverage, not what stands beside a row in the sort, makes a copy: here every number comes once only."""
+    gap = accept(spark, [(i, 1, 0, i * 1000, i, "a") for i in range(20) if i % 5])
+    assert sorted((r["first"], r["last"]) for r in gap.where("kind = 'range'").collect()) == [(1, 4), (6, 9), (11, 14), (16, 19)]
+    rest = accept(spark, [(100 + i, 1, 0, i * 1000, i, "a") for i in range(25)], seen=gap)
+    assert ids(rest, "accepted") == [100, 105, 110, 115, 120, 121, 122, 123, 124]
+    assert [(r["first"], r["last"]) for r in rest.where("kind = 'range'").collect()] == [(0, 24)]
+
+
+def test_seen_against_a_set():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        seen, plain = exactly_once.Seen(), set()
+        for _ in range(8):
+            x = np.sort(rng.integers(0, 60, rng.integers(0, 20)))
+            want = []
+            for v in x.tolist():
+                want.append(v not in plain)
+                plain.add(v)
+            assert seen.take(x).tolist() == want
+            assert seen.covers(np.arange(60)).tolist() == [v in plain for v in range(60)]
+            assert (seen.a[1:] > seen.b[:-1] + 1).all()
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_blocks_over_arrow_batches(spark, size):
+    """A block's ranges are carried from one batch to the next."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice([1, 2]), 0, rng.choice([0, 3_600_000_000]) + rng.randrange(60) * 500, rng.randrange(9), "a") for i in range(600)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = accept(spark, rows)
+        assert (ids(got, "accepted"), ids(got, "surplus")) == brute(rows)
+        assert got.where("kind = 'key'").count() == len({(m, t) for _, m, _, t, _, _ in rows if t % 1000})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_empty_and_all_null(spark):
     assert accept(spark, []).count() == 0
     assert accept(spark, [(1, None, 0, 1, 1, "a"), (2, 1, 0, None, 1, "a"), (3, 1, 0, 1, 1, None)]).count() == 0

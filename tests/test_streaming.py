@@ -48,7 +48,7 @@ def test_landing_stream_keeps_valid_envelopes(spark, tmp_path):
 
 def test_open_calls_carry_over_batches(spark, tmp_path):
     path = f"{tmp_path}/in.parquet"
-    fixes = lambda rows: spark.createDataFrame([(1, START + timedelta(hours=h), la, 0.0, s, "P", 10.0, 0.0) for h, la, s in rows], "mmsi long, ts timestamp, lat double, lon double, sog double, port_lo string, port_lat double, port_lon double")
+    fixes = lambda rows: spark.createDataFrame([(k, 1, START + timedelta(hours=h), la, 0.0, s, "P", 10.0, 0.0) for k, (h, la, s) in enumerate(rows)], "row_id long, mmsi long, ts timestamp, lat double, lon double, sog double, port_lo string, port_lat double, port_lon double")
     fixes([(0, 11.0, 12.0), (5, 10.01, 0.5), (6, 10.0, 0.1)]).coalesce(1).write.parquet(path)
     for k in range(2):
         stream = ingest.table_stream(spark, str(tmp_path), "in")
@@ -78,6 +78,23 @@ def test_exactly_once_over_batches_and_repeats(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_state_of_the_stream_is_whole_and_merged(spark, tmp_path):
+    """Each day's newest state is disjoint ranges over all that has come; older states are removed."""
+    rows = [(i, 1, 24 * 60 * (i % 3) + i // 3, i, "a") for i in range(60)]
+    df = messages(spark, rows).withColumn("ts", F.timestamp_micros(F.floor(F.unix_micros("ts") / 60_000) * 1000))
+    keep = ingest.ExactlyOnce(spark, f"file://{tmp_path}/once", producer=["mmsi", "message_type"])
+    for batch in range(6):
+        keep.take(df.where(F.col("row_id") % 6 == batch), batch)
+    assert keep.accepted().count() == 60
+    days = list((tmp_path / "once" / "seen").glob("day=*"))
+    for day in days:
+        versions = sorted(day.glob("batch=*"))
+        assert len(versions) <= 2
+    newest = [str(sorted(day.glob("batch=*"))[-1]) for day in days]
+    got = spark.read.parquet(*newest)
+    assert sum(r["last"] - r["first"] + 1 for r in got.where("kind = 'range'").collect()) == 60
+
+
 def test_downsampled_windows_all_come_from_the_sink(spark, data, monkeypatch):
     """Also those that no later message would close; no batch plan stands in for the stream."""
     from tidewater.plans import streams

@@ -104,17 +104,18 @@ def p6_trips(spark: SparkSession, d: str) -> DataFrame:
     return _stops(spark, d).select(F.col("source").alias("mmsi"), "kind", "start_us", "end_us", ((F.col("end_us") - F.col("start_us")) / 3.6e9).alias("hours"), "distance_km", "lat", "lon")
 
 
-def _accepted(spark: SparkSession, d: str) -> DataFrame:
-    return exactly_once.accept(table(spark, d, "messages"), producer=["mmsi", "message_type"], event_time="ts", received="received_at", row_id="row_id")
+def _sorted_out(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return exactly_once.accept(table(spark, d, "messages"), producer=["mmsi", "message_type"], event_time="ts", received="received_at", row_id="row_id", kinds=(kind,))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _accepted(spark, d).where("kind = 'surplus'").select("row_id")
+    """The rows whose number the seen ranges (or, off the grid, the seen keys) cover already."""
+    return _sorted_out(spark, d, "surplus").select("row_id")
 
 
 def p7_accepted(spark: SparkSession, d: str) -> DataFrame:
     """The one row of each identified message that stays."""
-    return _accepted(spark, d).where("kind = 'accepted'").select("row_id")
+    return _sorted_out(spark, d, "accepted").select("row_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_attributes, p2_found, p2_manifest, p3_found, p3_counts, p4_found, p5_found, p5_regions, p6_found, p6_trips, p7_found, p7_accepted)}

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tidewater.functions import geo
 from tidewater.operators import exactly_once, late_counts
 from tidewater.session import scratch, settle
 from tidewater.sources import landing
 
 LATENESS = "7 days"
+DAY = 86_400_000_000
 
 
 def landing_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000, base: str | None = None) -> DataFrame:
@@ -117,26 +119,41 @@ class LateCounter:
 class ExactlyOnce:
     """Keeps one copy of each message over all batches of a stream: the ranges seen so far are the state.
 
-    Batch n reads the ranges of the batches before it, writes the rows it accepts and the ranges it has covered, both
-    under its number. A batch that is repeated after a failure finds the same state and writes the same rows again.
-    The first copy to come in is kept; of copies in one batch the first received.
+    The state is stored by day of event time, each day whole and merged under the number of the batch that wrote it
+    last. A batch reads the newest state before it of the days it brings (few, as late rows are), accepts what the
+    ranges don't cover, and writes those days anew; what it replaces is removed with the next batch but one, so a batch
+    that is repeated after a failure finds the same state and writes the same rows again. A batch's cost follows its
+    own days and not the stream's age. The first copy to come in is kept; of copies in one batch the first received.
     """
 
     def __init__(self, spark: SparkSession, folder: str, *, producer: list[str], event_time: str = "ts", received: str = "received_at", row_id: str = "row_id"):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.event_time = spark, folder, event_time
         self.names = {"producer": producer, "event_time": event_time, "received": received, "row_id": row_id}
 
-    def _before(self, batch: int) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/seen")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        return self.spark.read.parquet(f"{self.folder}/seen").where(F.col("batch") < batch).drop("batch")
+    def _batches(self, day: int) -> list[tuple[int, object, object]]:
+        """(batch, path, file system) of a day's states, oldest first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/seen/day={day}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        return sorted(((int(s.getPath().getName().split("=")[1]), s.getPath(), fs) for s in fs.listStatus(path)), key=lambda x: x[0])
 
     def take(self, rows: DataFrame, batch: int) -> None:
-        got = settle(exactly_once.accept(rows, **self.names, seen=self._before(batch))).withColumn("batch", F.lit(batch).cast("long"))
-        write = lambda df, what: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.folder}/{what}")
-        write(got.where("kind = 'accepted'").select("row_id", "batch"), "accepted")
-        write(got.where("kind in ('range', 'key')"), "seen")
+        day = lambda us: F.floor(us / DAY)
+        days = [r[0] for r in rows.select(day(F.unix_micros(self.event_time)).alias("d")).where("d is not null").distinct().collect()]
+        states = {d: self._batches(d) for d in days}
+        before = {d: [x for x in s if x[0] < batch][-1:] for d, s in states.items()}
+        paths = [x[1].toString() for s in before.values() for x in s]
+        seen = self.spark.read.parquet(*paths) if paths else None
+        got = settle(exactly_once.accept(rows, **self.names, seen=seen))
+        replace = lambda df, what, by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.folder}/{what}")
+        replace(got.where("kind = 'accepted'").select("row_id", F.lit(batch).cast("long").alias("batch")), "accepted", ["batch"])
+        state = got.where("kind in ('range', 'key')").withColumns({"day": day(F.when(F.col("kind") == "range", F.col("first") * 1000).otherwise(F.col("first"))), "batch": F.lit(batch).cast("long")})
+        replace(state.repartition("day"), "seen", ["day", "batch"])
+        for d, s in states.items():
+            for number, path, fs in s:
+                if before[d] and number < before[d][0][0]:
+                    fs.delete(path, True)
 
     def accepted(self) -> DataFrame:
         """(row_id) of the rows that are kept."""
@@ -147,35 +164,35 @@ class ExactlyOnce:
 
 
 def open_calls(stream: DataFrame, checkpoint: str, out: str) -> StreamingQuery:
-    """Calls in progress per vessel over days: state holds the port it lies in and since when.
+    """Calls per vessel and port over days: the state of each is since when the vessel lies there.
 
-    `stream` has (mmsi, ts, lat, lon, sog, port_lo, port_lat, port_lon): fixes joined to declarations. A call opens with the
-    first slow fix within 10 km of the port and closes with the first fix under way beyond it; one row a closed call.
+    `stream` has (mmsi, ts, row_id, lat, lon, sog, port_lo, port_lat, port_lon): fixes with the places their vessel has
+    named, a batch's fixes later than those of the batches before. A call opens with the first slow fix within 10 km of
+    the port and closes with the first fix under way beyond it; one row a closed call. A vessel that leaves for another
+    port closes its call here and opens one there. Null readings say nothing.
     """
+    import numpy as np
     import pandas as pd
 
-    from tidewater.operators.nearby import haversine_km
-
     schema = "mmsi long, port_lo string, arrival_us long, departure_us long"
 
     def step(key, frames, state):
-        port, since = state.get if state.exists else (None, None)
-        rows = []
-        for frame in frames:
-            f = frame.sort_values("ts_us")
-            km = haversine_km(f.lat.to_numpy(), f.lon.to_numpy(), f.port_lat.to_numpy(), f.port_lon.to_numpy())
-            for t, sog, lo, d in zip(f.ts_us, f.sog, f.port_lo, km, strict=True):
-                if port is None and sog <= 1.0 and d <= 10:
-                    port, since = lo, int(t)
-                elif port is not None and lo == port and sog > 1.0 and d > 10 and t > since:
-                    rows.append((key[0], port, since, int(t)))
-                    port, since = None, None
-        if port is None:
+        since = state.get[0] if state.exists else None
+        f = pd.concat(list(frames), ignore_index=True)
+        order = np.lexsort((f.row_id.to_numpy(), f.ts_us.to_numpy()))
+        t, near = f.ts_us.to_numpy()[order], f.near.to_numpy()[order]
+        t, near = np.r_[-1 if since is None else since, t], np.r_[since is not None, near]
+        change = np.flatnonzero(near[1:] != near[:-1]) + 1
+        edges = np.r_[t[:1], t[change]] if since is not None else t[change]
+        closed = edges[: len(edges) // 2 * 2].reshape(-1, 2)
+        if len(edges) % 2:
+            state.update((int(edges[-1]),))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((port, since))
-        yield pd.DataFrame(rows, columns=["mmsi", "port_lo", "arrival_us", "departure_us"])
+        yield pd.DataFrame({"mmsi": np.full(len(closed), key[0]), "port_lo": [key[1]] * len(closed), "arrival_us": closed[:, 0], "departure_us": closed[:, 1]})
 
-    narrow = stream.where("mmsi is not null and ts is not null").select("mmsi", F.unix_micros("ts").alias("ts_us"), "lat", "lon", "sog", "port_lo", "port_lat", "port_lon")
-    calls = narrow.groupBy("mmsi").applyInPandasWithState(step, schema, "port string, since long", "append", "NoTimeout")
+    km = geo.haversine_km("lat", "lon", "port_lat", "port_lon")
+    near = F.when((F.col("sog") <= 1.0) & (km <= 10), True).when((F.col("sog") > 1.0) & (km > 10), False)
+    narrow = stream.where("mmsi is not null and ts is not null and port_lo is not null").select("mmsi", "port_lo", "row_id", F.unix_micros("ts").alias("ts_us"), near.alias("near")).where("near is not null")
+    calls = narrow.groupBy("mmsi", "port_lo").applyInPandasWithState(step, schema, "since long", "append", "NoTimeout")
     return calls.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
