@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from tests.llm import brute
 from tidewater.llm import leakage
@@ -64,7 +65,7 @@ def test_edited_copies_score_without_being_found(spark):
     ws = [f"w{k}" for k in range(40)]
     edited = [w if k % 9 else "other" for k, w in enumerate(ws)]
     rows = run(spark, [(1, passage(rng, 30) + " " + " ".join(edited))], [(1, " ".join(ws))]).collect()
-    assert len(rows) == 1 and rows[0].longest_run == 8 and rows[0].coverage > 0.6
+    assert len(rows) == 1 and rows[0].longest_run == 8 and rows[0].similarity > 0.6 and rows[0].coverage == 32 / 40
 
 
 def test_edited_copies_beside_a_whole_one(spark):
@@ -122,5 +123,62 @@ def test_alignment_against_the_recurrence():
     pa, pb = np.full((40, 25), -1), np.full((40, 18), -2)
     for k in range(40):
         pa[k, : len(a[k])], pb[k, : len(b[k])] = a[k], b[k]
-    score, run_ = leakage.smith_waterman(pa, pb)
+    score, run_, _ = leakage.smith_waterman(pa, pb)
     assert [(s, r) for s, r in zip(score.tolist(), run_.tolist(), strict=True)] == [plain(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def test_long_items_are_aligned_whole(spark):
+    rng = random.Random(36)
+    ws = [f"w{k}" for k in range(2000)]
+    filler = lambda k: [f"f{rng.randrange(10**9)}" for _ in range(k)]
+    whole = filler(3000) + ws + filler(2000)
+    halves = filler(50) + ws[:900] + filler(9000) + ws[1100:] + filler(50)
+    rows = run(spark, [(1, " ".join(whole)), (2, " ".join(halves)), (3, " ".join(filler(500)))], [(1, " ".join(ws))]).collect()
+    got = {r.doc_id: (r.longest_run, round(r.coverage, 3), r.score) for r in rows}
+    assert got == {1: (2000, 1.0, 4000), 2: (900, 0.9, 1800)}
+
+
+def test_pieces_find_what_one_alignment_finds():
+    rng = np.random.default_rng(37)
+    for _ in range(20):
+        q = [str(x) for x in rng.integers(0, 6, 25)]
+        p = [str(x) for x in rng.integers(0, 6, 900)]
+        a = leakage.Aligner(4)
+        a.add(p, q)
+        assert len(a.pieces) > 5
+        a.align()
+        codes = lambda x: np.array([[int(v) for v in x]])
+        score, longest, ends = leakage.smith_waterman(codes(p), codes(q))
+        assert (a.rows[0][0], a.rows[0][1]) == (score[0], longest[0])
+        assert (a.rows[0][2] == leakage.covered(ends[0], 4)).all()
+
+
+def edit(rng, ws, rate):
+    out = []
+    for w in ws:
+        x = rng.random()
+        out += [] if x < rate / 3 else [f"e{rng.randrange(10**6)}"] if x < 2 * rate / 3 else [w, f"e{rng.randrange(10**6)}"] if x < rate else [w]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.2])
+def test_recall_of_planted_edited_copies(spark, rate):
+    """Words dropped, changed and put in; some items stand whole in many documents besides."""
+    rng = random.Random(38)
+    common = [f"c{k}" for k in range(150)]
+    text = lambda k: [rng.choice(common) for _ in range(k)]
+    items = [(i, " ".join(text(rng.randrange(20, 80)))) for i in range(60)]
+    docs, planted = [], []
+    for i, t in items:
+        for k in range(3):
+            d = 1000 * i + k
+            docs.append((d, " ".join(text(60) + edit(rng, t.split(), rate) + text(60))))
+            planted.append((d, i))
+    docs += [(10**6 + i * 100 + k, f"{' '.join(text(20))} {t} {' '.join(text(20))}") for i, t in items[:10] for k in range(60)]
+    docs += [(10**7 + k, " ".join(text(300))) for k in range(300)]
+    rows = run(spark, docs, items).persist()
+    whole = {(r.doc_id, r.item_id) for r in rows.where("longest_run >= 12").collect()}
+    close = {(r.doc_id, r.item_id) for r in leakage.edited_copies(rows).collect()}
+    assert len((whole | close) & set(planted)) >= 0.9 * len(planted)
+    assert len(close - set(planted)) <= 0.05 * len(planted)
+    assert all((10**6 + i * 100 + k, i) in whole for i in range(10) for k in range(60))

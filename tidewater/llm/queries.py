@@ -24,6 +24,11 @@ def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="text")
 
 
+def p9_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold an edited copy of an item, though no 12 of its words in a row."""
+    return leakage.edited_copies(p9_alignments(spark, d)).select("doc_id", "item_id", "score")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_alignments(spark, d).where("longest_run >= 12").select("doc_id", "item_id")
 
@@ -39,6 +44,18 @@ def p10_intervals(spark: SparkSession, d: str) -> DataFrame:
     return cut.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").withColumn("part", F.round(F.col("shared") / F.col("n"), 6)).drop("n")
 
 
-QUERIES = {f.__name__: f for f in (p8_packed, p8_fill, p9_found, p9_alignments, p10_found, p10_intervals)}
-#: Tokenizers, word normalisation and rolling hashes are beyond portable SQL; these are tested against brute force.
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p8_packed, p8_fill, p9_found, p9_alignments, p9_edited, p10_found, p10_intervals)}
+#: Characters that show nothing, as in `leakage.INVISIBLE`.
+_UNSEEN = r"[\x{00ad}\x{034f}\x{061c}\x{115f}-\x{1160}\x{17b4}-\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0000}-\x{e0fff}]"
+
+
+def _runs_sql(table: str, key: str) -> str:
+    """Runs of 12 words of each text of a table."""
+    words = rf"regexp_extract_all(replace(lower(nfc_normalize(regexp_replace(text, '{_UNSEEN}', '', 'g'))), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')"
+    return f"select {key}, array_to_string(list_slice(w, k, k + 11), ' ') as g from (select {key}, {words} as w from {table} where text is not null and {key} is not null), lateral (select unnest(range(1, len(w) - 10)) as k)"
+
+
+#: Scores of alignments and packings aren't given in SQL; those queries are tested against brute force.
+SQL: dict[str, str] = {
+    "p9_found": f"with d as ({_runs_sql('documents', 'doc_id')}), i as ({_runs_sql('eval_items', 'item_id')}) select distinct doc_id, item_id from d join i using (g)",
+}
