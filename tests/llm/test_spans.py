@@ -69,14 +69,43 @@ def test_empty_and_repeated_rows(spark):
 def test_anchors_cover_every_span():
     rng = np.random.default_rng(23)
     for n, span in ((1, 5), (5, 5), (40, 5), (300, 101), (500, 64), (64, 64), (65, 64)):
-        for top in (3, 1 << 40):
+        for top in (1, 2, 3, 1 << 40):
             h = rng.integers(0, top, n).astype(np.uint64)
             owner = {}
             for at, first, last in zip(*(x.tolist() for x in spans.anchors(h, span)), strict=True):
                 for k in range(first, last + 1):
                     assert k not in owner
                     owner[k] = at
-            assert owner == {k: k + int(h[k : k + span].argmin()) for k in range(max(1, n - span + 1))}
+            assert list(owner) == list(range(max(1, n - span + 1)))
+            before = None
+            for k, at in owner.items():
+                part = h[k : k + span]
+                assert k <= at < k + span and h[at] == part.min()
+                held = before is not None and before >= k and h[before] == part.min()
+                assert at == (before if held else k + len(part) - 1 - int(part[::-1].argmin()))
+                before = at
+
+
+@pytest.mark.parametrize("text", ["-" * 100_000, "ab" * 50_000, ("x" * 70 + "\n") * 1400, "| 1 | 2 |\n" * 10_000])
+def test_periodic_text_has_few_anchors(text):
+    h = spans.window_hashes(spans.prefix_sums(spans.code_points(text)), slice(None), 200)
+    at, first, last = spans.anchors(h, 101)
+    assert len(at) < 2_500 and last[-1] == len(h) - 101
+
+
+def test_periodic_texts_against_brute_force(spark):
+    rng = random.Random(24)
+    noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    rules = ["-" * 200, "ab" * 90, "| 1 |\n" * 30, "=" * 49, "=" * 50]
+    rows = [(i, noise(rng.randrange(60)) + rng.choice(rules)[: rng.randrange(40, 200)] + noise(rng.randrange(60)) + rng.choice(rules)) for i in range(40)]
+    pairs, cover = brute.sharing(rows, 50)
+    got = {(r.doc_a, r.doc_b) for r in spans.sharing_pairs(docs(spark, rows), doc_id="doc_id", text="text", least=50, probe=30).collect()}
+    assert got == pairs
+    assert covered(spans.shared_intervals(docs(spark, rows), doc_id="doc_id", text="text", least=50, probe=30).collect()) == cover
+    sets: dict = {}
+    for r in spans.sharing_sets(docs(spark, rows), doc_id="doc_id", text="text", least=50, probe=30).collect():
+        sets.setdefault((r.members, r.d1, r.d2), set()).add(r.doc_id)
+    assert {(a, b) for s in sets.values() for a in s for b in s if a < b} == pairs and all(len(s) == k[0] for k, s in sets.items())
 
 
 def test_window_hashes_are_equal_where_windows_are():

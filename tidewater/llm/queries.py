@@ -37,6 +37,14 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"), doc_id="doc_id", text="text")
 
 
+def p10_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Each document with the sets that it shares spans in, and a set's representative, its lowest id: the pairs of
+    `p10_found` without expanding them. Documents with one text have the same sets."""
+    member = spans.sharing_sets(table(spark, d, "documents"), doc_id="doc_id", text="text")
+    first = member.groupBy("members", "d1", "d2").agg(F.min("doc_id").alias("representative"))
+    return member.join(first, ["members", "d1", "d2"]).select("doc_id", "representative", "members").distinct()
+
+
 def p10_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Each document's intervals that stand elsewhere too, with the part of the text that they cover."""
     docs = table(spark, d, "documents")
@@ -44,7 +52,7 @@ def p10_intervals(spark: SparkSession, d: str) -> DataFrame:
     return cut.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").withColumn("part", F.round(F.col("shared") / F.col("n"), 6)).drop("n")
 
 
-QUERIES = {f.__name__: f for f in (p8_packed, p8_fill, p9_found, p9_alignments, p9_edited, p10_found, p10_intervals)}
+QUERIES = {f.__name__: f for f in (p8_packed, p8_fill, p9_found, p9_alignments, p9_edited, p10_found, p10_sets, p10_intervals)}
 #: Characters that show nothing, as in `leakage.INVISIBLE`.
 _UNSEEN = r"[\x{00ad}\x{034f}\x{061c}\x{115f}-\x{1160}\x{17b4}-\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0000}-\x{e0fff}]"
 
@@ -57,5 +65,9 @@ def _runs_sql(table: str, key: str) -> str:
 
 #: Scores of alignments and packings aren't given in SQL; those queries are tested against brute force.
 SQL: dict[str, str] = {
+    "p10_found": """
+      with w as (select doc_id, hash(substring(text, k::bigint, 300)) as h from documents, lateral (select unnest(range(1, length(text) - 298)) as k) where length(text) >= 300 and doc_id is not null),
+      s as (select distinct list(distinct doc_id) as d from (select doc_id, h from w) group by h having count(distinct doc_id) > 1)
+      select distinct a as doc_a, b as doc_b from (select d, unnest(d) as a from s), lateral (select unnest(d) as b) where a < b""",
     "p9_found": f"with d as ({_runs_sql('documents', 'doc_id')}), i as ({_runs_sql('eval_items', 'item_id')}) select distinct doc_id, item_id from d join i using (g)",
 }

@@ -2,16 +2,19 @@
 
 Plan
 1. Rabin-Karp hashes (modulo 2^64, by prefix sums) of every window of `probe` code points of every text; of any
-   `least` - `probe` + 1 successive windows the one with the least hash is an anchor (winnowing). Two texts that share
-   `least` code points share an anchor, and a text of c code points has about 2 c / (`least` - `probe`) of them; only
-   these are shuffled. Anchors that stand in one document only are counted out.
+   `least` - `probe` + 1 successive windows one with the least hash is an anchor (winnowing). Of equal ones the last is
+   taken, and kept while it is in reach, so that rules of dashes, padding and other periodic text have few anchors. Two
+   texts that share `least` code points share an anchor's hash, and a text of c code points has about 2 c / (`least` -
+   `probe`) anchors; only these are shuffled. Anchors that stand in one document only are counted out.
 2. An anchor owns the windows of `least` code points of which it is the anchor. Where all documents that hold it own
    equal windows (the Rabin-Karp hashes of the first and the last agree), these are shared and done with: the inside
-   of long spans costs a row an anchor. For the others, at the edges of spans, the Rabin-Karp hash of every owned
-   window is taken and counted in Spark over documents: windows in two or more are shared.
+   of long spans costs a row an anchor. For the others, at the edges of spans, two Rabin-Karp hashes (128 bits, of
+   independent bases) of every owned window are taken and counted in Spark over documents: windows in two or more are
+   shared. Only texts with such anchors are moved; a Bloom filter of their ids leaves the others where they lie.
 3. Overlapping shared windows of a document merge into maximal intervals, the ones a removal would cut.
-4. For pairs, windows that stand in the same set of documents are one by a commutative digest of the set, so a long
-   span counts once; the members of a large set are split over salts before they meet.
+4. Windows that stand in the same set of documents are one by a commutative digest of the set, so a long span counts
+   once (`sharing_sets`). For pairs the members of a large set are split over salts before they meet; their number
+   grows with the square of a set, so where sets are large the sets with their members say the same in less.
 """
 
 from __future__ import annotations
@@ -23,37 +26,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions import bloom
 from tidewater.functions.arrow import Columns, over_groups
 from tidewater.session import settle
 
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 SET_LIMIT, HOLD = 1000, 1_000_000
-_powers: list[np.ndarray] = []
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n + 1 of each; kept by the worker."""
-    if not _powers or len(_powers[0]) <= n:
+    if base not in _powers or len(_powers[base][0]) <= n:
         size = 1 << max(16, int(n + 1).bit_length())
         with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(b))], dtype=np.uint64) for b in (BASE, BASE_INVERSE)]
-    return _powers[0], _powers[1]
+            up, down = (np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(b))], dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        _powers[base] = up, down
+    return _powers[base]
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def prefix_sums(points: np.ndarray) -> np.ndarray:
-    up, _ = _tables(len(points))
+def prefix_sums(points: np.ndarray, base: int = BASE) -> np.ndarray:
+    up, _ = _tables(len(points), base)
     with np.errstate(over="ignore"):
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], dtype=np.uint64)])
 
 
-def window_hashes(sums: np.ndarray, at: np.ndarray | slice, size: int) -> np.ndarray:
+def window_hashes(sums: np.ndarray, at: np.ndarray | slice, size: int, base: int = BASE) -> np.ndarray:
     """Hashes of the windows of `size` that start at the positions `at`, mixed so that their order is arbitrary."""
-    _, down = _tables(len(sums))
+    _, down = _tables(len(sums), base)
     with np.errstate(over="ignore"):
         if isinstance(at, slice):
             h = (sums[size:] - sums[:-size]) * down[: len(sums) - size]
@@ -68,18 +72,19 @@ def window_hashes(sums: np.ndarray, at: np.ndarray | slice, size: int) -> np.nda
 
 
 def anchors(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(at, first, last): the positions of the least hash of every `span` successive ones, the leftmost of equals,
-    each with the spans, by their first position, that have it. Every span belongs to one anchor.
+    """(at, first, last): a position of the least hash of every `span` successive ones, each with the spans, by their
+    first position, that have it. Every span belongs to one anchor. Of equal least hashes a span takes the one that the
+    span before it has, if it holds it, otherwise the last.
 
     Positions of the minima of blocks by doubling: block k covers 2^k hashes, and two overlapping blocks cover a span.
     """
     n = len(h)
     if n <= span:
-        at = np.array([int(h.argmin())] if n else [], int)
+        at = np.array([n - 1 - int(h[::-1].argmin())] if n else [], int)
         return at, np.zeros(len(at), int), np.zeros(len(at), int)
 
     def less(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.where(h[i] <= h[j], i, j)  # i is the leftmost of equals
+        return np.where(h[j] <= h[i], j, i)  # j is the last of equals
 
     m, width = np.arange(n), 1
     while width * 2 <= span:
@@ -88,6 +93,19 @@ def anchors(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     rest = span - width
     owner = less(m[: len(m) - rest], m[rest:]) if rest else m  # of each span
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    before = owner[first[1:] - 1]
+    if ((before >= first[1:]) & (h[before] == h[owner[first[1:]]])).any():  # some span could have kept its anchor
+        least = h[owner]
+        falls = [*(np.flatnonzero(least[1:] != least[:-1]) + 1).tolist(), len(owner)]
+        own, starts, at, k, next_fall = owner, [], [], 0, 0
+        while k < len(own):
+            starts.append(k)
+            at.append(int(own[k]))
+            while falls[next_fall] <= k:
+                next_fall += 1
+            k = min(at[-1] + 1, falls[next_fall])
+        first = np.array(starts)
+        return np.array(at), first, np.r_[first[1:], len(owner)] - 1
     return owner[first], first, np.r_[first[1:], len(owner)] - 1
 
 
@@ -128,10 +146,12 @@ def _past_groups(batches: Iterator[pa.RecordBatch], whole: Callable[[list[np.nda
         yield out
 
 
-def _sets(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by hash and document: where groups start, their sizes, and for each group the number of its
-    documents and two commutative digests of them."""
+def _sets(h: np.ndarray, d: np.ndarray, g: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by hash (h, and g if given) and document: where groups start, their sizes, and for each group the
+    number of its documents and two commutative digests of them."""
     first = np.r_[True, h[1:] != h[:-1]]
+    if g is not None:
+        first[1:] |= g[1:] != g[:-1]
     fresh = first | np.r_[True, d[1:] != d[:-1]]
     starts = np.flatnonzero(first)
     with np.errstate(over="ignore"):
@@ -194,53 +214,55 @@ def resolved_anchors(texts: DataFrame, least: int, probe: int) -> DataFrame:
 
 
 def window_rows(texts: DataFrame, ranges: DataFrame, least: int) -> DataFrame:
-    """(h, doc_id, start, n) of the windows of `least` in a document's ranges; n successive equal ones are one row."""
+    """(h, g, doc_id, start, n) of the windows of `least` in a document's ranges, h and g of independent bases; n
+    successive equal ones are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, t, r in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                sums = prefix_sums(code_points(t))
+                points = code_points(t)
                 starts = np.unique(np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in r]))
-                starts = starts[starts <= len(sums) - 1 - least]
+                starts = starts[starts <= len(points) - least]
                 if not len(starts):
                     continue
-                h = window_hashes(sums, starts, least).view(np.int64)
-                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (starts[1:] != starts[:-1] + 1)])
+                h, g = (window_hashes(prefix_sums(points, b), starts, least, b).view(np.int64) for b in (BASE, OTHER_BASE))
+                new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (starts[1:] != starts[:-1] + 1)])
                 n = np.diff(np.r_[new, len(h)]).astype(np.int32)
-                h, starts = h[new], starts[new].astype(np.int32)
+                h, g, starts = h[new], g[new], starts[new].astype(np.int32)
                 for k in range(0, len(h), 200_000):
                     part = slice(k, k + 200_000)
-                    yield _batch(h=h[part], doc_id=np.full(len(h[part]), d, np.int64), start=starts[part], n=n[part])
+                    yield _batch(h=h[part], doc_id=np.full(len(h[part]), d, np.int64), g=g[part], start=starts[part], n=n[part])
 
-    return texts.join(ranges, "doc_id").mapInArrow(run, "h long, doc_id long, start int, n int")
+    few = bloom.keep(texts.withColumn("__h", F.xxhash64("doc_id")), "__h", bloom.build(ranges.select(F.xxhash64("doc_id").alias("h")), "h", bloom.bits_for(ranges.count()))).drop("__h")
+    return few.join(ranges, "doc_id").mapInArrow(run, "h long, doc_id long, g long, start int, n int")
 
 
 def in_several(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n, members, d1, d2): the windows (h, doc_id, start, n) that stand in two documents or more.
+    """(doc_id, start, n, members, d1, d2): the windows (h, doc_id, g, start, n) that stand in two documents or more.
 
     members is their number, d1 and d2 digest which ones; of a window with more than `HOLD` rows, which are passed on
-    without being held, its own hash takes the place of the digest.
+    without being held, its own hashes take the place of the digest.
     """
 
     def whole(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-        h, d, start, n = cols
-        _, size, members, d1, d2 = _sets(h, d)
+        h, d, g, start, n = cols
+        _, size, members, d1, d2 = _sets(h, d, g)
         keep = np.repeat(members > 1, size)
         return _batch(doc_id=d[keep], start=start[keep], n=n[keep], members=np.repeat(members, size)[keep], d1=np.repeat(d1, size)[keep], d2=np.repeat(d2, size)[keep]) if keep.any() else None
 
     def apart(cols: list[np.ndarray]) -> pa.RecordBatch:
-        h, d, start, n = cols
-        return _batch(doc_id=d, start=start, n=n, members=np.full(len(h), HOLD, np.int64), d1=h, d2=h)
+        h, d, g, start, n = cols
+        return _batch(doc_id=d, start=start, n=n, members=np.full(len(h), HOLD, np.int64), d1=h, d2=g)
 
-    return rows.repartition("h").sortWithinPartitions("h", "doc_id", "start").mapInArrow(lambda b: _past_groups(b, whole, apart), SHARED)
+    return rows.repartition("h").sortWithinPartitions("h", "g", "doc_id", "start").mapInArrow(lambda b: _past_groups(b, whole, apart), SHARED)
 
 
 def shared_windows(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> DataFrame:
     """(doc_id, start, n, members, d1, d2): the windows that stand in two documents or more, with the set of them."""
     texts = _texts(docs, doc_id, text, least)
     found = settle(resolved_anchors(texts, least, probe))
-    # few: a document's ranges, at most one an anchor, of which there are some for every `least` - `probe` code points
-    open_ranges = found.where("not whole").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+    # a document's ranges, at most one an anchor: two or three for every `least` - `probe` code points of its text
+    open_ranges = settle(found.where("not whole").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("ranges")))
     return found.where("whole").drop("whole").unionByName(in_several(window_rows(texts, open_ranges, least)))
 
 
@@ -264,14 +286,19 @@ def shared_intervals(docs: DataFrame, *, doc_id: str, text: str, least: int = 30
     return over_groups(at, ["doc_id"], ["start"], merge, "doc_id long, first long, last long, n_spans long, shared long")
 
 
-def sharing_pairs(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: pairs that share a span of `least` code points or more, each once.
+def sharing_sets(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> DataFrame:
+    """(members, d1, d2, doc_id): the sets of documents that hold a same window, each once with all its documents.
 
-    All windows of one set of documents are one set of rows here, so a long span counts once.
+    (members, d1, d2) names a set; all windows of one set are one set of rows, so a long span counts once. Two documents
+    share a span exactly if they are in a same set. Grows with the documents' spans, not with the pairs among them.
     """
+    return shared_windows(docs, doc_id=doc_id, text=text, least=least, probe=probe).select("members", "d1", "d2", "doc_id").distinct()
+
+
+def sharing_pairs(docs: DataFrame, *, doc_id: str, text: str, least: int = 300, probe: int = 200) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: pairs that share a span of `least` code points or more, each once."""
     key = ["members", "d1", "d2"]
-    windows = shared_windows(docs, doc_id=doc_id, text=text, least=least, probe=probe)
-    member = settle(windows.select(*key, "doc_id").distinct())
+    member = settle(sharing_sets(docs, doc_id=doc_id, text=text, least=least, probe=probe))
     salts = F.ceil(F.col("members") / SET_LIMIT).cast("int")
     left = member.select(*key, F.col("doc_id").alias("doc_a"), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"))
     right = member.select(*key, F.col("doc_id").alias("doc_b"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
