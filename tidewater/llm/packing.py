@@ -5,6 +5,10 @@ tokens plus its deficit, what it is owed from the windows before (deficit round-
 deficit covers them). The window's items are then placed best fit, largest first. Containers that are full enough are
 closed; items of the others go back and are placed first in the next window, so little room is left anywhere.
 
+Every container is closed in a window, whose number is in the result, so the mixture can be audited (`mixture`). When a
+source has no more items its share falls to the others in proportion; as documents are dealt by hash, all sources of a
+shard run out near its end when the targets are the corpus's own shares, and as their tokens last when targets are given.
+
 Plan: token counts are taken in Arrow batches by a public tokenizer, and only (id, source, count) goes on. Target
 shares, unless given, are the corpus's own, from one aggregation over all documents. Documents are dealt to shards by
 the hash of their id, so every shard sees every source and a source with a third of all tokens is spread over all
@@ -73,7 +77,8 @@ class Packer:
 
     def __init__(self, capacity: int, full: float = FULL):
         self.capacity, self.full = capacity, full
-        self.closed: list[list] = []
+        self.window = 0
+        self.closed: list[tuple[int, list]] = []  # (window, items)
 
     def place(self, items: list, last: bool) -> list:
         """Best fit, largest first; returns the items of the containers that aren't full enough, or [] at the end."""
@@ -95,14 +100,14 @@ class Packer:
         open_room = dict((at, left) for left, at in room)
         for at, content in enumerate(inside):
             if last or open_room.get(at, 0) <= (1 - self.full) * self.capacity:
-                self.closed.append(content)
+                self.closed.append((self.window, content))
             else:
                 back += content
         return back
 
 
 def pack_shard(items: list[tuple], shares: dict, deficits: dict, capacity: int, last: bool, window: int = WINDOW) -> tuple[list, list, dict]:
-    """Packs (source, doc, part, size) items; returns closed containers, items carried on, and deficits carried on.
+    """Packs (source, doc, part, size) items; returns closed containers with their windows, items and deficits carried on.
 
     All deficits grow at once: a source has been owed its share of `credit`, less what it has spent. Its next item's
     turn comes at the credit at which the deficit covers it, so one heap of turns serves any number of sources, and a
@@ -133,17 +138,19 @@ def pack_shard(items: list[tuple], shares: dict, deficits: dict, capacity: int,
                 waiting -= weight[s]
                 ended[s] = credit
         carried = packer.place(carried, last=False)
+        packer.window += 1
     if last:
         carried = packer.place(carried, last=True)
     return packer.closed, carried, {s: weight[s] * ended.get(s, credit) - spent[s] for s in names}
 
 
 def pack(docs: DataFrame, *, doc_id: str, text: str, source: str, capacity: int = 2048, vocabulary: str | None = None, shares: dict[str, float] | None = None) -> DataFrame:
-    """(container, slot, doc_id, source, first_token, tokens): where every token of every document lies.
+    """(container, slot, window, doc_id, source, first_token, tokens): where every token of every document lies.
 
     Only a document longer than the capacity is split, into full containers and one rest that is packed as an item;
-    the full ones wait in their source's queue as all items do, so that they count in the windows' mixture. Any other document lies whole in one container. Documents without tokens (null or empty text) take no room and
-    aren't in the result. Repeated ids are packed as often as they come. `shares`, by source, needn't sum to 1; a
+    the full ones wait in their source's queue as all items do, so that they count in the windows' mixture. Any other
+    document lies whole in one container. Documents without tokens (null or empty text) take no room and aren't in the
+    result. Repeated ids are packed as often as they come. `shares`, by source, needn't sum to 1; a
     source without one gets the least turn. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -158,7 +165,7 @@ def pack(docs: DataFrame, *, doc_id: str, text: str, source: str, capacity: int
     many = max(1, -(-sizes.count() // SHARD))
     dealt = shared.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(many)).cast("long"))
 
-    row = "shard long, kind string, container long, slot int, doc_id long, source string, first_token long, tokens long, share double, deficit double"
+    row = "shard long, kind string, container long, slot int, window int, doc_id long, source string, first_token long, tokens long, share double, deficit double"
 
     def out(shard: int, closed: list, carried: list, owed: dict, shares: dict) -> dict:
         cols: dict[str, list] = {k.split()[0]: [] for k in row.split(", ")}
@@ -167,13 +174,13 @@ def pack(docs: DataFrame, *, doc_id: str, text: str, source: str, capacity: int
             for k, x in zip(cols, v, strict=True):
                 cols[k].append(x)
 
-        for n, content in enumerate(closed):
+        for n, (window, content) in enumerate(closed):
             for slot, (s, d, f, size) in enumerate(content):
-                add(shard, "placed", n, slot, d, s, f, size, None, None)
+                add(shard, "placed", n, slot, window, d, s, f, size, None, None)
         for s, d, f, size in carried:
-            add(shard, "carried", None, None, d, s, f, size, shares.get(s, 0.0), None)
+            add(shard, "carried", None, None, None, d, s, f, size, shares.get(s, 0.0), None)
         for s, x in owed.items():
-            add(shard, "owed", None, None, None, s, None, None, shares.get(s, 0.0), x)
+            add(shard, "owed", None, None, None, None, s, None, None, shares.get(s, 0.0), x)
         return cols
 
     def first(c: Columns) -> dict:
@@ -201,6 +208,13 @@ def pack(docs: DataFrame, *, doc_id: str, text: str, source: str, capacity: int
     level = settle(over_groups(dealt.withColumn("turn", F.xxhash64("doc_id", F.lit(1))), ["shard"], ["turn", "doc_id"], first, row))
     rest = level.where("kind <> 'placed'").withColumn("group", F.floor(F.col("shard") / FAN)).drop("shard")
     tail = over_groups(rest, ["group"], ["kind", "source", "doc_id", "first_token"], second, row)
-    name = lambda lvl: F.concat_ws("-", F.lit(lvl), "shard", "container")
-    final = ["container", "slot", "doc_id", "source", "first_token", "tokens"]
-    return level.where("kind = 'placed'").withColumn("container", name("a")).select(final).unionByName(tail.where("kind = 'placed'").withColumn("container", name("b")).select(final))
+    name = lambda lvl, what: F.concat_ws("-", F.lit(lvl), "shard", what)
+    named = lambda df, lvl: df.where("kind = 'placed'").select(name(lvl, "container").alias("container"), "slot", name(lvl, "window").alias("window"), "doc_id", "source", "first_token", "tokens")
+    return named(level, "a").unionByName(named(tail, "b"))
+
+
+def mixture(packed: DataFrame) -> DataFrame:
+    """(window, source, tokens, part): what each source has in each window, and which part of the window that is."""
+    own = packed.groupBy("window", "source").agg(F.sum("tokens").alias("tokens"))
+    total = own.groupBy("window").agg(F.sum("tokens").alias("all"))
+    return own.join(total, "window").select("window", "source", "tokens", (F.col("tokens") / F.col("all")).alias("part"))

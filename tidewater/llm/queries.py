@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import leakage, packing, spans
+from tidewater.session import settle
 from tidewater.sources.tables import table
 
 
@@ -19,6 +20,21 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return p8_packed(spark, d).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"), F.countDistinct("source").alias("sources"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """What each source has in each window."""
+    return packing.mixture(p8_packed(spark, d))
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed, containers over the capacity, documents split that needn't be, and documents whose parts
+    aren't all of their tokens from the first on."""
+    packed = settle(p8_packed(spark, d))
+    room = packed.groupBy("container").agg(F.sum("tokens").alias("n"))
+    parts = packed.groupBy("doc_id").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.countDistinct("first_token").alias("starts"))
+    of_docs = parts.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.expr("parts > 1 and n <= 2048")).alias("split"), F.count_if(F.expr("end <> n or starts <> parts")).alias("torn"))
+    return of_docs.crossJoin(room.agg(F.count_if(F.expr("n > 2048")).alias("overfull")))  # one row each
+
+
 def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all aligned pairs, edited copies among them."""
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", item_text="text")
@@ -52,7 +68,7 @@ def p10_intervals(spark: SparkSession, d: str) -> DataFrame:
     return cut.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").withColumn("part", F.round(F.col("shared") / F.col("n"), 6)).drop("n")
 
 
-QUERIES = {f.__name__: f for f in (p8_packed, p8_fill, p9_found, p9_alignments, p9_edited, p10_found, p10_sets, p10_intervals)}
+QUERIES = {f.__name__: f for f in (p8_packed, p8_fill, p8_mixture, p8_invariants, p9_found, p9_alignments, p9_edited, p10_found, p10_sets, p10_intervals)}
 #: Characters that show nothing, as in `leakage.INVISIBLE`.
 _UNSEEN = r"[\x{00ad}\x{034f}\x{061c}\x{115f}-\x{1160}\x{17b4}-\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0000}-\x{e0fff}]"
 
@@ -65,6 +81,7 @@ def _runs_sql(table: str, key: str) -> str:
 
 #: Scores of alignments and packings aren't given in SQL; those queries are tested against brute force.
 SQL: dict[str, str] = {
+    "p8_invariants": "select count(*) as documents, 0 as split, 0 as torn, 0 as overfull from documents where doc_id is not null and length(text) > 0",
     "p10_found": """
       with w as (select doc_id, hash(substring(text, k::bigint, 300)) as h from documents, lateral (select unnest(range(1, length(text) - 298)) as k) where length(text) >= 300 and doc_id is not null),
       s as (select distinct list(distinct doc_id) as d from (select doc_id, h from w) group by h having count(distinct doc_id) > 1)
