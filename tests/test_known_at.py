@@ -69,3 +69,14 @@ def test_intervals_are_disjoint_and_half_open(spark):
     f = spark.createDataFrame([(1, 1, 0, 0), (2, 1, 5, 9), (3, 1, 4, 4), (4, 1, 9, 9)], "id long, mmsi long, ts long, r long").withColumns({"ts": F.timestamp_micros("ts"), "r": F.timestamp_micros("r")})
     got = k.change_intervals(f, entity="mmsi", valid_from="ts", received="r", fact_id="id", fields={"x": F.lit(True)}).orderBy("from_us").collect()
     assert [(r.fact_id, r.from_us, r.to_us) for r in got] == [(1, 0, 4), (3, 4, 9), (4, 9, None)]
+
+
+def test_hot_entities_are_salted_by_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(k, "HOT_ROWS", 7)
+    rng = random.Random(5)
+    span = 400 * 24 * HOUR
+    events = [(i, rng.choice([1, 1, 1, 2, 3]), rng.randrange(span), "x", "y", 0) for i in range(300)]
+    facts = [(i, rng.choice([1, 2]), (t := rng.randrange(span)), t + rng.randrange(HOUR), 1.0, "e", 3) for i in range(40)]
+    hot = {r.entity: r.salts for r in k.hot_entities(spark.createDataFrame([(e[0], e[1]) for e in events], "event_id long, entity long")).collect()}
+    assert hot[1] > 20 and max(hot.values()) == hot[1]
+    assert run(spark, events, facts) == brute(events, facts)

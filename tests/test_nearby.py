@@ -84,3 +84,26 @@ def test_regions_against_ray_casting(spark):
             if odd:
                 want.append((i, name))
     assert got == sorted(want)
+
+
+def test_a_quay_with_most_points_and_places(spark, monkeypatch):
+    """Neither side of a cell that can't be split is held whole."""
+    monkeypatch.setattr(n, "PART_TARGETS", 30)
+    points = [(i, 10.0 + i * 1e-5, 20.0, "", 0) for i in range(400)]
+    targets = [(f"t{k}", 10.0, 20.0 + k * 1e-5, "") for k in range(200)] + [("far", 50.0, 20.0, "")]
+    got = run(spark, points, targets, 10.0)
+    assert len(got) == len(set(got)) == 400 * 200
+
+
+def test_regions_over_many_tiles_with_salted_points(spark, monkeypatch):
+    monkeypatch.setattr(n, "TILE_POINTS", 10)
+    rng = random.Random(9)
+    ring = [(float(x), float(y)) for x, y in ((-20, -10), (0, -12), (25, -9), (24, 11), (5, 3), (-18, 12))]
+    points = [(i, rng.uniform(-15, 15), rng.uniform(-30, 30)) for i in range(600)] + [(1000 + i, 0.5, 0.5) for i in range(200)]
+    p = spark.createDataFrame(points, "id long, lat double, lon double")
+    r = spark.createDataFrame([("big", [{"lon": x, "lat": y} for x, y in ring])] * 2, "name string, ring array<struct<lon: double, lat: double>>")
+    got = sorted(x.point_id for x in n.in_regions(p, r, point=("id", "lat", "lon"), region=("name", "ring"), tile_deg=2.0).collect())
+    inside = lambda la, lo: sum(min(y1, y2) <= la < max(y1, y2) and lo < x1 + (la - y1) / (y2 - y1) * (x2 - x1) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True)) % 2
+    want = [i for i, la, lo in points if inside(la, lo)]
+    assert got == sorted(want * 2) and len(want) > 200
+    assert n.in_regions(p, r.limit(0), point=("id", "lat", "lon"), region=("name", "ring")).count() == 0

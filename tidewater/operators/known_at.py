@@ -15,7 +15,9 @@ Plan
    two intervals of an entity. Open-ended intervals go to a rung with one bucket.
 3. Events are exploded into their bucket on each rung and equi-joined on (entity, rung, bucket, salt), with the
    containment from <= t < to as residual. The upper rungs, in which a hot entity's events meet in few buckets, are
-   salted: events by their id, the few intervals of these rungs copied to every salt.
+   salted where an entity has many events: events by their id, the few intervals of these rungs copied to every salt.
+   The number of salts follows from the entity's count of events; hot entities are those with more than `HOT_ROWS`
+   events and more than a `MOST_HOT`th of all, so there are fewer than `MOST_HOT` of them, and they are broadcast.
 """
 
 from __future__ import annotations
@@ -27,7 +29,9 @@ MINUTE = 60_000_000
 #: Widths of the rungs in microseconds: 10 minutes, 4 hours, 4 days, 96 days; after them the rung without an end.
 RATIO = 24
 RUNGS = tuple(10 * MINUTE * RATIO**i for i in range(4))
-SALTED_FROM, SALTS = 3, 16
+SALTED_FROM = 3
+#: Events of an entity from which on it is split, and the most entities that can be.
+HOT_ROWS, MOST_HOT = 200_000, 10_000
 DAY = 86_400_000_000
 
 
@@ -68,7 +72,13 @@ def change_intervals(facts: DataFrame, *, entity: str, valid_from: str, received
     )
 
 
-def bucketed(intervals: DataFrame) -> DataFrame:
+def hot_entities(events: DataFrame) -> DataFrame:
+    """(entity, salts) of the entities whose events are split; fewer than `MOST_HOT` rows."""
+    part = max(HOT_ROWS, events.count() / MOST_HOT)
+    return events.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("entity", F.ceil(F.col("n") / part).cast("int").alias("salts"))
+
+
+def bucketed(intervals: DataFrame, hot: DataFrame) -> DataFrame:
     """Intervals exploded into (rung, bucket, salt)."""
     length = F.col("to_us") - F.col("from_us")
     rung, width = F.lit(len(RUNGS)), F.lit(None).cast("long")
@@ -76,8 +86,9 @@ def bucketed(intervals: DataFrame) -> DataFrame:
         upper = length < RUNGS[i] * RATIO
         rung, width = F.when(upper, i).otherwise(rung), F.when(upper, F.lit(RUNGS[i])).otherwise(width)
     span = F.when(F.col("__w").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(F.col("from_us") / F.col("__w")), F.floor((F.col("to_us") - 1) / F.col("__w"))))
-    salts = F.when(F.col("rung") >= SALTED_FROM, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return intervals.where("to_us is null or to_us > from_us").withColumns({"rung": rung, "__w": width}).withColumn("bucket", F.explode(span)).withColumn("salt", F.explode(salts)).drop("__w")
+    salts = F.when(F.col("rung") >= SALTED_FROM, F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).otherwise(F.array(F.lit(0)))
+    known = intervals.where("to_us is null or to_us > from_us").join(F.broadcast(hot), "entity", "left")
+    return known.withColumns({"rung": rung, "__w": width}).withColumn("bucket", F.explode(span)).withColumn("salt", F.explode(salts)).drop("__w", "salts")
 
 
 def known_at(events: DataFrame, intervals: DataFrame, *, entity: str, at: str, event_id: str) -> DataFrame:
@@ -86,12 +97,14 @@ def known_at(events: DataFrame, intervals: DataFrame, *, entity: str, at: str, e
     Events with a null entity, time or id match nothing. Repeated events keep their repetitions.
     """
     e = events.select(F.col(event_id).alias("event_id"), F.col(entity).alias("entity"), F.unix_micros(F.col(at).cast("timestamp")).alias("__t")).where("event_id is not null and entity is not null and __t is not null")
-    rungs = F.array(*[F.struct(F.lit(i).alias("rung"), F.floor(F.col("__t") / w).alias("bucket"), (F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int") if i >= SALTED_FROM else F.lit(0)).alias("salt")) for i, w in enumerate(RUNGS)], F.struct(F.lit(len(RUNGS)).alias("rung"), F.lit(0).cast("long").alias("bucket"), F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int").alias("salt")))
-    spread = e.select("event_id", "entity", "__t", F.inline(rungs))
+    hot = hot_entities(e)
+    salt = F.pmod(F.xxhash64("event_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    rungs = F.array(*[F.struct(F.lit(i).alias("rung"), F.floor(F.col("__t") / w).alias("bucket"), salt if i >= SALTED_FROM else F.lit(0).alias("salt")) for i, w in enumerate(RUNGS)], F.struct(F.lit(len(RUNGS)).alias("rung"), F.lit(0).cast("long").alias("bucket"), salt))
+    spread = e.join(F.broadcast(hot), "entity", "left").select("event_id", "entity", "__t", F.inline(rungs))
     # sorted and merged, never broadcast: the planner sizes a side before it is exploded
     return (
         spread.hint("merge")
-        .join(bucketed(intervals), ["entity", "rung", "bucket", "salt"])
+        .join(bucketed(intervals, hot), ["entity", "rung", "bucket", "salt"])
         .where((F.col("from_us") <= F.col("__t")) & (F.col("to_us").isNull() | (F.col("__t") < F.col("to_us"))))
         .select("event_id", "field", "fact_id")
     )

@@ -6,10 +6,14 @@ every cell that its radius reaches (the halo), each point lies in one cell, and
 local k-d tree.
 
 The splits come from a bounded sample of both sides (`SAMPLE` rows each, the lowest hashes of the ids); they only
-decide where work is done, every row takes part. A cell that holds a large share of the points, such as one quay, can't be split
-further, so its points are salted and its few search places copied to every salt. Within a task the rows are sorted
-with a cell's search places first; points are streamed past the tree in Arrow batches, so memory follows the search
-places of one cell, which the splits bound.
+decide where work is done, every row takes part. A cell that holds a large share of either side, such as one quay, can't
+be split further (below four radii a halo copies more than a split saves), so there the work is a grid: the points are
+dealt to salts and the search places to parts of about `PART_TARGETS`, each point goes to every part and each place to
+every salt. Within a task the rows are sorted with a part's search places first; points are streamed past the tree in
+Arrow batches, so memory follows the search places of one part.
+
+Regions: edges go to tiles one by one, so no polygon is held whole, and only to those tiles in whose band of latitude
+they lie and from which they are not seen in the west. A tile with many points is salted by their count.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 SAMPLE = 20_000
-CELL_TARGETS, MAX_CELLS = 2_000, 4_096
+CELL_TARGETS, PART_TARGETS, MAX_CELLS = 2_000, 8_000, 4_096
+#: Points of a tile's salt.
+TILE_POINTS = 500_000
 SLACK = 1e-9
 
 
@@ -154,12 +160,13 @@ def within_distance(points: DataFrame, targets: DataFrame, *, km: float, point:
     boxes, tree = kd_cells(ts, ps, radius, scale, 2 * many)
     held = np.bincount(cell_of(tree, ps), minlength=len(boxes))
     salts = np.maximum(1, np.ceil(held / max(1, len(ps)) * 2 * many)).astype(np.int32)
-    cells = "cell int, salt int, side int, point_id {p}, target_id {t}, lat double, lon double".format(p=point_type, t=target_type)
+    parts = np.maximum(1, np.ceil(np.bincount(cell_of(tree, ts), minlength=len(boxes)) * scale / PART_TARGETS)).astype(np.int32)
+    cells = "cell int, salt int, part int, side int, point_id {p}, target_id {t}, lat double, lon double".format(p=point_type, t=target_type)
 
-    def put(batch: pa.RecordBatch, at: np.ndarray, cell: np.ndarray, salt: np.ndarray, side: int) -> pa.RecordBatch:
+    def put(batch: pa.RecordBatch, at: np.ndarray, cell: np.ndarray, salt: np.ndarray, part: np.ndarray, side: int) -> pa.RecordBatch:
         n, key = len(at), batch.column("key").take(pa.array(at))
         mine, none = (key, None) if side else (None, key)
-        cols = {"cell": pa.array(cell, pa.int32()), "salt": pa.array(salt, pa.int32()), "side": pa.array(np.full(n, side), pa.int32()), "point_id": mine if mine is not None else pa.nulls(n, PT), "target_id": none if none is not None else pa.nulls(n, TT), "lat": batch.column("lat").take(pa.array(at)), "lon": batch.column("lon").take(pa.array(at))}
+        cols = {"cell": pa.array(cell, pa.int32()), "salt": pa.array(salt, pa.int32()), "part": pa.array(part, pa.int32()), "side": pa.array(np.full(n, side), pa.int32()), "point_id": mine if mine is not None else pa.nulls(n, PT), "target_id": none if none is not None else pa.nulls(n, TT), "lat": batch.column("lat").take(pa.array(at)), "lon": batch.column("lon").take(pa.array(at))}
         return pa.record_batch(list(cols.values()), names=list(cols))
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -171,9 +178,12 @@ def within_distance(points: DataFrame, targets: DataFrame, *, km: float, point:
             cell = cell_of(tree, unit(batch.column("lat").to_numpy(), batch.column("lon").to_numpy()))
             salt = (np.arange(batch.num_rows) + turn) % salts[cell]
             turn += batch.num_rows
-            yield put(batch, np.arange(batch.num_rows), cell, salt, 1)
+            copies = parts[cell]
+            part = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            yield put(batch, np.repeat(np.arange(batch.num_rows), copies), np.repeat(cell, copies), np.repeat(salt, copies), part, 1)
 
     def place_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
             xyz = unit(batch.column("lat").to_numpy(), batch.column("lon").to_numpy())
             for k in range(0, len(xyz), 1000):
@@ -182,21 +192,23 @@ def within_distance(points: DataFrame, targets: DataFrame, *, km: float, point:
                 i, cell = np.nonzero((gap * gap).sum(2) <= (radius * (1 + 1e-9) + SLACK) ** 2)
                 copies = salts[cell]
                 salt = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-                yield put(batch, np.repeat(i + k, copies), np.repeat(cell, copies), salt, 0)
+                part = np.repeat((i + k + turn) % parts[cell], copies)
+                yield put(batch, np.repeat(i + k, copies), np.repeat(cell, copies), salt, part, 0)
+            turn += batch.num_rows
 
     both = t.mapInArrow(place_targets, cells).unionByName(p.mapInArrow(place_points, cells))
-    ordered = both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "side")
+    ordered = both.repartition("cell", "salt", "part").sortWithinPartitions("cell", "salt", "part", "side")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, names, places, local = None, [], [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            code = batch.column("cell").to_numpy().astype(np.int64) * (1 << 31) + batch.column("salt").to_numpy()
+            code = np.stack([batch.column(c).to_numpy() for c in ("cell", "salt", "part")], 1)
             side = batch.column("side").to_numpy()
-            starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (side[1:] != side[:-1])])
+            starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]).any(1) | (side[1:] != side[:-1])])
             for s, e in zip(starts, [*starts[1:], len(code)], strict=True):
-                if code[s] != at:
+                if at is None or (code[s] != at).any():
                     at, names, places, local = code[s], [], [], None
                 lat, lon = (batch.column(c).slice(s, e - s).to_numpy() for c in ("lat", "lon"))
                 if side[s] == 0:
@@ -222,50 +234,79 @@ def in_regions(points: DataFrame, regions: DataFrame, *, point: tuple[str, str,
     """(point_id, region_id): the polygons that contain each point, by a plane sweep over the edges.
 
     `region` names the id and the ring, an array of structs (lon, lat) in order; the last vertex joins the first.
-    Rings lie in the plane of degrees and don't cross the date line. Both sides go to tiles of `tile_deg`; a polygon
-    goes whole to every tile that its bounding box meets. In a tile the points are sorted by latitude and each edge
-    flips the parity of the slice of points between its ends that lie west of it, half-open at the upper end, so a
-    vertex counts once. Points with null or out-of-range coordinates and rings with under three vertices or a null in
-    them contain nothing; repeated points or regions repeat their rows.
+    Rings lie in the plane of degrees and don't cross the date line. Points and edges go to tiles of `tile_deg`; an edge
+    goes to the tiles whose band of latitude it meets, from the polygon's western one to that of its own eastern end, as
+    further east no point has it in the east. In a tile the points are sorted by latitude and each edge flips the parity
+    of those between its ends that lie west of it, half-open at the upper end, so a vertex counts once. Points with null
+    or out-of-range coordinates and rings with under three vertices or a null in them contain nothing; repeated points or
+    regions repeat their rows.
     """
     p = _valid(points, *point).select(F.col("key").alias("point_id"), "lat", "lon")
-    r = regions.select(F.col(region[0]).alias("region_id"), F.col(region[1]).alias("ring")).where("region_id is not null and size(ring) >= 3 and not exists(ring, v -> v is null or v.lon is null or v.lat is null)")
+    r = regions.select(F.col(region[0]).cast("string").alias("region_id"), F.col(region[1]).alias("ring")).where("region_id is not null and size(ring) >= 3 and not exists(ring, v -> v is null or v.lon is null or v.lat is null)")
     tile = lambda c: F.floor(c / tile_deg)
-    low, high = (lambda f: tile(F.array_min(F.transform("ring", lambda v: v[f])))), (lambda f: tile(F.array_max(F.transform("ring", lambda v: v[f]))))
-    tiled = r.withColumn("tx", F.explode(F.sequence(low("lon"), high("lon")))).withColumn("ty", F.explode(F.sequence(low("lat"), high("lat"))))
-    salted = tiled.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    side = "tx long, ty long, salt int, side int, point_id long, lat double, lon double, region_id string, xs array<double>, ys array<double>"
-    names = [x.split()[0] for x in side.split(", ")]
-    left = p.select(tile(F.col("lon")).alias("tx"), tile(F.col("lat")).alias("ty"), F.pmod(F.xxhash64("point_id"), F.lit(8)).cast("int").alias("salt"), F.lit(1).alias("side"), "point_id", "lat", "lon", F.lit(None).cast("string").alias("region_id"), F.lit(None).cast("array<double>").alias("xs"), F.lit(None).cast("array<double>").alias("ys"))
-    right = salted.select("tx", "ty", "salt", F.lit(0).alias("side"), F.lit(None).cast("long").alias("point_id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.col("region_id").cast("string").alias("region_id"), F.transform("ring", lambda v: v["lon"].cast("double")).alias("xs"), F.transform("ring", lambda v: v["lat"].cast("double")).alias("ys"))
-    ordered = right.select(names).unionByName(left.select(names)).repartition("tx", "ty", "salt").sortWithinPartitions("tx", "ty", "salt", "side", "lat")
+    number = lambda f: F.transform("ring", lambda v: v[f].cast("double"))
+    turned = lambda a: F.concat(F.slice(a, 2, F.size(a) - 1), F.slice(a, 1, 1))
+    ring = r.select("region_id", F.monotonically_increasing_id().alias("ring_no"), number("lon").alias("x"), number("lat").alias("y")).withColumn("west", tile(F.array_min("x")))
+    edge = ring.select("region_id", "ring_no", "west", F.inline(F.arrays_zip(F.col("x").alias("x1"), F.col("y").alias("y1"), turned(F.col("x")).alias("x2"), turned(F.col("y")).alias("y2")))).where("y1 <> y2")
+    placed = edge.withColumn("ty", F.explode(F.sequence(tile(F.least("y1", "y2")), tile(F.greatest("y1", "y2"))))).withColumn("tx", F.explode(F.sequence("west", tile(F.greatest("x1", "x2")))))
+    at = p.withColumns({"tx": tile(F.col("lon")), "ty": tile(F.col("lat"))})
+    # there are at most (360 / tile_deg) * (180 / tile_deg) tiles, so those with many points can be broadcast
+    hot = at.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE_POINTS).select("tx", "ty", F.ceil(F.col("n") / TILE_POINTS).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    side = "tx long, ty long, salt int, side int, point_id long, lat double, lon double, region_id string, ring_no long, x1 double, y1 double, x2 double, y2 double"
+    columns = [x.split() for x in side.split(", ")]
+    filled = lambda df: df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in columns])
+    left = at.join(F.broadcast(hot), ["tx", "ty"], "left").withColumns({"salt": F.pmod(F.xxhash64("point_id"), salts).cast("int"), "side": F.lit(1)})
+    right = placed.join(F.broadcast(hot), ["tx", "ty"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("side", F.lit(0))
+    ordered = filled(right).unionByName(filled(left)).repartition("tx", "ty", "salt").sortWithinPartitions("tx", "ty", "salt", "side", "lat")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, polygons = None, []
+        here, waiting, edges = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.stack([batch.column(c).to_numpy() for c in ("tx", "ty", "salt", "side")], 1)
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
             for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
-                if at is None or (key[s, :3] != at).any():
-                    at, polygons = key[s, :3], []
+                if here is None or (key[s, :3] != here).any():
+                    here, waiting, edges = key[s, :3], [], None
+                part = batch.slice(s, e - s)
                 if key[s, 3] == 0:
-                    part = batch.slice(s, e - s)
-                    polygons += [(n, np.array(x), np.array(y)) for n, x, y in zip(part.column("region_id").to_pylist(), part.column("xs").to_pylist(), part.column("ys").to_pylist(), strict=True)]
+                    waiting.append(part)
                     continue
-                lat, lon = (batch.column(c).slice(s, e - s).to_numpy() for c in ("lat", "lon"))
-                hits, who = [], []
-                for name, x, y in polygons:
-                    inside = np.zeros(len(lat), bool)
-                    for x1, y1, x2, y2 in zip(x, y, np.roll(x, -1), np.roll(y, -1), strict=True):
-                        a, b = np.searchsorted(lat, [min(y1, y2), max(y1, y2)])
-                        if b > a:
-                            inside[a:b] ^= lon[a:b] < x1 + (lat[a:b] - y1) / (y2 - y1) * (x2 - x1)
-                    k = np.flatnonzero(inside)
-                    hits.append(k)
-                    who += [name] * len(k)
-                if who:
-                    yield pa.record_batch([batch.column("point_id").take(pa.array(np.concatenate(hits) + s)), pa.array(who, pa.string())], names=["point_id", "region_id"])
+                if not waiting:
+                    continue
+                edges = edges or EdgeSet(pa.Table.from_batches(waiting))
+                for at_point, name in edges.inside(part.column("lat").to_numpy(), part.column("lon").to_numpy()):
+                    yield pa.record_batch([part.column("point_id").take(pa.array(at_point)), name], names=["point_id", "region_id"])
 
     return ordered.mapInArrow(sweep, "point_id long, region_id string")
+
+
+class EdgeSet:
+    """The edges of a tile, each with its polygon."""
+
+    def __init__(self, table: pa.Table):
+        self.x1, self.y1, self.x2, self.y2 = (table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        rings, first, self.ring = np.unique(table.column("ring_no").to_numpy(), return_index=True, return_inverse=True)
+        self.names = table.column("region_id").combine_chunks().take(pa.array(first))
+        self.rings = len(rings)
+
+    def inside(self, lat: np.ndarray, lon: np.ndarray, pairs: int = 4_000_000) -> Iterator[tuple[np.ndarray, pa.Array]]:
+        """Points, sorted by latitude, with the polygons they are inside of; so many at a time that the edges that pass
+        them are about `pairs`."""
+        step = max(1, pairs // max(1, len(self.x1)))
+        for k in range(0, len(lat), step):
+            a, o = lat[k : k + step], lon[k : k + step]
+            lo, hi = np.searchsorted(a, np.minimum(self.y1, self.y2)), np.searchsorted(a, np.maximum(self.y1, self.y2))
+            count = hi - lo
+            edge = np.repeat(np.arange(len(count)), count)
+            if not len(edge):
+                continue
+            point = np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count) + lo[edge]
+            x1, y1, x2, y2 = self.x1[edge], self.y1[edge], self.x2[edge], self.y2[edge]
+            east = o[point] < x1 + (a[point] - y1) / (y2 - y1) * (x2 - x1)
+            code, crossed = np.unique(point[east] * self.rings + self.ring[edge][east], return_counts=True)
+            code = code[crossed % 2 == 1]
+            if len(code):
+                yield code // self.rings + k, self.names.take(pa.array(code % self.rings))
