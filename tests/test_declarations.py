@@ -24,18 +24,19 @@ def test_earlier_calls_of_a_port_named_again_are_kept(spark):
     fixes = spark.createDataFrame([(1, 7, at(3), 52.0, 4.0, 0.2), (2, 7, at(41), 52.0, 4.0, 0.2)], "row_id long, mmsi long, ts timestamp, lat double, lon double, sog double")
     d = gold.declarations_by_eta(decl)
     assert sorted((r.eta, r.static_ts) for r in d.collect()) == [(at(2), at(1)), (at(42), at(38)), (at(42), at(40))]
-    w = gold.positions_in_window(fixes, d)
+    span = gold.span_of(fixes)
+    w = gold.positions_in_window(fixes, d, span)
     assert sorted(r.row_id for r in w.collect()) == [1, 2, 2]
-    (call,) = gold.port_calls(w, fixes).collect()
+    (call,) = gold.port_calls(w, fixes, span).collect()
     assert call.arrival_ts == at(3)
 
 
 def test_stops_without_a_row_for_each_declaration(spark, data):
     m, decl = (spark.read.parquet(f"{data}/{k}.parquet") for k in ("messages", "matched_decl"))
-    fixed = gold.fixes(m)
+    fixed, span = gold.fixes(m), gold.span_of(m)
     for d in (gold.declarations(decl), gold.declarations_by_eta(decl)):
-        calls = [sorted(map(repr, gold.geofenced(w).collect())) for w in (gold.positions_in_window(fixed, d), gold.first_slow(fixed, d))]
+        calls = [sorted(map(repr, gold.geofenced(w).collect())) for w in (gold.positions_in_window(fixed, d, span), gold.first_slow(fixed, d, span))]
         assert calls[0] == calls[1] != []
-        want = gold.stop_events(gold.positions_in_window(fixed, d))
+        want = gold.stop_events(gold.positions_in_window(fixed, d, span))
         got = gold.stop_events_of(fixed, d).select(want.columns)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) != []

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions import geo, text, timefns
 from tidewater.operators import relational as rel
-from tidewater.plans import features
+from tidewater.plans import features, gold
 from tidewater.plans.catalogue import Catalogue
 from tidewater.sources import landing
 from tidewater.sources.tables import table
@@ -59,8 +58,9 @@ def random_subset(spark, d):
 @CAT.add(f"select mmsi, pos_id, row_number() over (partition by mmsi order by ts) <= 0.8 * count(*) over (partition by mmsi) as train from {features.PINGS}")
 def temporal_split(spark, d):
     """The first four fifths of each vessel's fixes."""
-    w = W.partitionBy("mmsi")
-    return features.pings(table(spark, d, "vessels_positions")).select("mmsi", "pos_id", (F.row_number().over(w.orderBy("ts")) <= 0.8 * F.count(F.lit(1)).over(w)).alias("train"))
+    p = features.pings(table(spark, d, "vessels_positions")).withColumn("__day", F.floor(F.col("eu") / gold.DAY))
+    numbered = rel.running(p, ["mmsi"], "__day", [F.col("ts")], F.lit(1), "number")
+    return numbered.join(p.groupBy("mmsi").agg(F.count(F.lit(1)).alias("n")), "mmsi").select("mmsi", "pos_id", (F.col("number") <= 0.8 * F.col("n")).alias("train"))
 
 
 @CAT.add(f"select pos_id, round((sog - m) / s, 6) as sog_scaled from {features.PINGS}, (select {features._avg('sog')} as m, {features._std('sog')} as s from {features.PINGS})")

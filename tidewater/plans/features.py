@@ -76,20 +76,32 @@ def _half_up(x: str, digits: int) -> str:
     return f"floor(({x}) * {10**digits} + 0.5) / {float(10**digits)}"
 
 
+WEEK = 7 * 24 * H * 1_000_000
+
+
 def rolling(p: DataFrame) -> DataFrame:
-    """Mean speeds of the last 1, 6 and 24 hours, the trend of the last hour, and heading statistics."""
+    """Mean speeds of the last 1, 6 and 24 hours, the trend of the last hour, and heading statistics.
+
+    The windows run over (vessel, week), a week with the day before it, so a vessel with many fixes is spread.
+    """
     hd = domain.known_heading("true_heading")
-    return p.withColumns(
+    over = lambda seconds, to=0: W.partitionBy("mmsi", "__block").orderBy("eu").rangeBetween(-seconds * 1_000_000, -to * 1_000_000)
+    wide = rel.haloed(p, "eu", WEEK, 24 * H * 1_000_000).withColumns(
         {
-            "avg_sog_1h": exact_avg("sog", back(H)),
-            "avg_sog_6h": exact_avg("sog", back(6 * H)),
-            "avg_sog_24h": exact_avg("sog", back(24 * H)),
-            "sog_trend_1h": F.coalesce(F.col("sog") - exact_avg("sog", back(H, 1)), F.lit(0.0)),
-            "mmsi_avg_sog": exact_avg("sog", W.partitionBy("mmsi")),
-            "heading_std_1h": F.coalesce(exact_std(hd, back(H), 1), F.lit(0.0)),
-            "avg_heading_1h": F.coalesce(exact_avg(hd, back(H), 1), F.col("true_heading").cast("double"), F.lit(-1.0)),
+            "avg_sog_1h": exact_avg("sog", over(H)),
+            "avg_sog_6h": exact_avg("sog", over(6 * H)),
+            "avg_sog_24h": exact_avg("sog", over(24 * H)),
+            "sog_trend_1h": F.coalesce(F.col("sog") - exact_avg("sog", over(H, 1)), F.lit(0.0)),
+            "heading_std_1h": F.coalesce(exact_std(hd, over(H), 1), F.lit(0.0)),
+            "avg_heading_1h": F.coalesce(exact_avg(hd, over(H), 1), F.col("true_heading").cast("double"), F.lit(-1.0)),
         }
     )
+    return wide.where(rel.in_own_block("eu", WEEK)).drop("__block")
+
+
+def with_own_average(p: DataFrame, rows: DataFrame) -> DataFrame:
+    """`rows` with their vessel's mean speed over all of `p`; partial aggregation, one row a vessel joins."""
+    return rows.join(p.groupBy("mmsi").agg(exact_avg("sog").alias("mmsi_avg_sog")), "mmsi")
 
 
 _HD = "case when true_heading < 360 then true_heading end"
@@ -101,7 +113,8 @@ _ROLL = f"""
 
 @CAT.add(f"select pos_id, avg_sog_1h, avg_sog_6h, avg_sog_24h, sog_trend_1h, mmsi_avg_sog from ({_ROLL})")
 def rolling_sog(spark, d):
-    return rolling(pings(table(spark, d, "vessels_positions"))).select("pos_id", "avg_sog_1h", "avg_sog_6h", "avg_sog_24h", "sog_trend_1h", "mmsi_avg_sog")
+    p = pings(table(spark, d, "vessels_positions"))
+    return with_own_average(p, rolling(p)).select("pos_id", "avg_sog_1h", "avg_sog_6h", "avg_sog_24h", "sog_trend_1h", "mmsi_avg_sog")
 
 
 @CAT.add(f"select pos_id, coalesce({_std('hd', _back(3600), 1)}, 0.0) as heading_std_1h, coalesce(case when count(hd) {_back(3600)} > 0 then {_avg('hd', _back(3600), 1)} end, true_heading::double, -1.0) as avg_heading_1h from (select *, {_HD} as hd from {PINGS})")
@@ -400,11 +413,14 @@ def journeys(arrivals: DataFrame, positions: DataFrame, days: int = 10) -> DataF
     """Each arrival with the vessel's first fix in the days before it: when, where, and hours from there to the arrival.
     Arrivals without one stay, with nulls."""
     keys = ["mmsi", "port_lo_code", "arrival_ts", "port_lat", "port_lon"]
-    a = arrivals.where("port_lo_code is not null and port_lo_code <> ''").select(*keys).distinct().withColumn("__to", F.unix_micros("arrival_ts"))
-    p = positions.where("mmsi is not null and ts is not null").select(F.col("mmsi").alias("__m"), F.unix_micros("ts").alias("__at"), "ts", "lat", "lon", "pos_id")
-    met = a.join(p, (F.col("mmsi") == F.col("__m")) & F.col("__at").between(F.col("__to") - days * 24 * H * 1_000_000, F.col("__to")), "left")
-    first = met.groupBy(*keys).agg(F.min_by(F.struct("ts", "lat", "lon"), F.when(F.col("__at").isNotNull(), F.struct("__at", "pos_id"))).alias("f"))
-    return first.select(*keys, F.col("f.ts").alias("first_ts"), ((F.unix_micros("arrival_ts") - F.unix_micros("f.ts")) / 3.6e9).alias("journey_tta_h"), F.col("f.lat").alias("origin_lat"), F.col("f.lon").alias("origin_lon"))
+    a = arrivals.where("port_lo_code is not null and port_lo_code <> ''").select(*keys).distinct()
+    p = positions.where("mmsi is not null and ts is not null").select("mmsi", "ts", "lat", "lon", "pos_id")
+    to, day = F.unix_micros("arrival_ts"), 24 * H * 1_000_000
+    met = rel.interval_join(p, a.where("mmsi is not null"), "mmsi", F.unix_micros("ts"), to - days * day, to, day, gold.span_of(p))
+    own = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"__{k}") for k in keys]  # null places are places
+    first = met.groupBy(*own).agg(F.min_by(F.struct("ts", "lat", "lon"), F.struct("ts", "pos_id")).alias("f"))
+    joined = a.select("*", *own).join(first, [f"__{k}" for k in keys], "left")
+    return joined.select(*keys, F.col("f.ts").alias("first_ts"), ((F.unix_micros("arrival_ts") - F.unix_micros("f.ts")) / 3.6e9).alias("journey_tta_h"), F.col("f.lat").alias("origin_lat"), F.col("f.lon").alias("origin_lon"))
 
 
 @CAT.add("""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import domain, geo, text, timefns
@@ -235,14 +235,21 @@ def declarations_by_eta(m: DataFrame) -> DataFrame:
     return rel.first_by(d, ["mmsi", "dest_raw", "eta"], [F.col("static_ts").desc_nulls_last(), F.col("decl_id").asc()]).select("mmsi", "dest_clean", "eta", "static_ts", "port_lo", "port_name", "port_lat", "port_lon").distinct()
 
 
-def positions_in_window(positions: DataFrame, declared: DataFrame) -> DataFrame:
+def span_of(m: DataFrame) -> DataFrame:
+    """(lo, hi): first and last time of a table, in us."""
+    return m.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))
+
+
+def positions_in_window(positions: DataFrame, declared: DataFrame, span: DataFrame) -> DataFrame:
     """Each fix with the declarations of its vessel whose window [declared - 1 day, eta + 7 days] it lies in; with
-    `declarations` a fix meets each place its vessel has named at most once."""
-    return rel.interval_join(positions, declared, "mmsi", F.unix_micros("ts"), F.unix_micros("static_ts") - DAY, F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY)
+    `declarations` a fix meets each place its vessel has named at most once. The join is spread over (vessel, day), and
+    the day stays in the result as __day for what goes on with it."""
+    return rel.interval_join(positions, declared, "mmsi", F.unix_micros("ts"), F.unix_micros("static_ts") - DAY, F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY, DAY, span, keep="__day")
 
 
 def _window(spark, d):
-    return positions_in_window(fixes(table(spark, d, "messages")), declarations(table(spark, d, "matched_decl")))
+    m = table(spark, d, "messages")
+    return positions_in_window(fixes(m), declarations(table(spark, d, "matched_decl")), span_of(m))
 
 
 @CAT.add(f"select mmsi, count(*) as n, count(distinct row_id) as fixes, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us from ({_POS_ETA}) group by 1")
@@ -308,7 +315,7 @@ _ORDER = "ts, row_id, static_ts nulls last, eta nulls last, dest_clean nulls las
 def stop_events(window: DataFrame) -> DataFrame:
     """Stretches of slow fixes of a vessel between fast ones, at least half an hour by the clock's minutes."""
     order = [F.col(k).asc_nulls_last() for k in ("ts", "row_id", "static_ts", "eta", "dest_clean", "port_lo")]
-    grouped = rel.islands(window.where("sog is not null"), ["mmsi"], order, F.col("sog") >= SLOW_KN, "stop_grp")
+    grouped = rel.running(window.where("sog is not null"), ["mmsi"], "__day", order, F.when(F.col("sog") >= SLOW_KN, 1).otherwise(0), "stop_grp")
     first = F.min_by(F.struct("lat", "lon", "eta", "static_ts", "dest_clean", "port_lo", "port_name", "port_lat", "port_lon"), F.struct("ts", "row_id", F.coalesce("static_ts", F.lit("9999-12-31").cast("timestamp")), F.coalesce("eta", F.lit("9999-12-31").cast("timestamp")), F.coalesce("dest_clean", F.lit(chr(0xFFFF))), F.coalesce("port_lo", F.lit(chr(0xFFFF)))))
     s = grouped.where(F.col("sog") < SLOW_KN).groupBy("mmsi", "stop_grp").agg(F.min("ts").alias("stop_start"), F.max("ts").alias("stop_end"), first.alias("f"))
     return s.select("mmsi", "stop_grp", "stop_start", "stop_end", timefns.boundaries_crossed("minute", "stop_start", "stop_end").alias("dur_min"), "f.*").where(F.col("dur_min") >= LEAST_MIN)
@@ -318,16 +325,17 @@ def _spans(declared: DataFrame) -> DataFrame:
     return declared.withColumns({"__lo": F.unix_micros("static_ts") - DAY, "__hi": F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY}).where("__lo <= __hi")
 
 
-def first_slow(positions: DataFrame, declared: DataFrame) -> DataFrame:
+def first_slow(positions: DataFrame, declared: DataFrame, span: DataFrame) -> DataFrame:
     """Of `positions_in_window` the rows that `geofenced` chooses from: the first slow fix at each vessel's declared
     port with its declarations. Windows of one vessel and place are merged before fixes meet them."""
     keys = ["mmsi", "port_lo", "port_lat", "port_lon"]
     before = Window.partitionBy(*keys).orderBy("__lo", "__hi").rowsBetween(Window.unboundedPreceding, -1)
     d = _spans(declared)
     merged = rel.islands(d.withColumn("__top", F.max("__hi").over(before)), keys, [F.col("__lo"), F.col("__hi")], F.col("__lo") > F.col("__top")).groupBy(*keys, "island").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")).drop("island")
-    slow = positions.where(F.col("sog") <= BERTH_KN).withColumn("__at", F.unix_micros("ts"))
-    near = slow.join(merged, "mmsi").where("__at between __lo and __hi").where(geo.haversine_km("lat", "lon", "port_lat", "port_lon") <= RADIUS_KM)
-    one = rel.first_by(near.drop("__lo", "__hi"), keys, [F.col("ts").asc(), F.col("row_id").asc()]).withColumnsRenamed({k: f"__{k}" for k in keys[1:]})
+    slow = positions.where(F.col("sog") <= BERTH_KN)
+    met = rel.interval_join(slow, merged.withColumnsRenamed({"__lo": "__a", "__hi": "__b"}), "mmsi", F.unix_micros("ts"), F.col("__a"), F.col("__b"), DAY, span)
+    near = met.drop("__a", "__b").where(geo.haversine_km("lat", "lon", "port_lat", "port_lon") <= RADIUS_KM).withColumn("__at", F.unix_micros("ts"))
+    one = rel.first_by(near, keys, [F.col("ts").asc(), F.col("row_id").asc()]).withColumnsRenamed({k: f"__{k}" for k in keys[1:]})
     same = F.lit(True)
     for k in keys[1:]:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
@@ -344,9 +352,9 @@ def stop_events_of(positions: DataFrame, declared: DataFrame) -> DataFrame:
     edge = lambda at, order, by: d.select("mmsi", F.col(at).alias("__at"), F.lit(order).alias("__o"), F.lit(by).alias("__by")).withColumns(none)
     p = positions.where("sog is not null").withColumns({"__at": F.unix_micros("ts"), "__o": F.lit(1), "__by": F.lit(0)})
     every = p.unionByName(edge("__lo", 0, 1)).unionByName(edge("__hi", 2, -1))
-    w = Window.partitionBy("mmsi").orderBy("__at", "__o", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    k = every.withColumn("__k", F.sum("__by").over(w))
-    grouped = k.withColumn("stop_grp", F.sum(F.when((F.col("__o") == 1) & (F.col("sog") >= SLOW_KN), F.col("__k")).otherwise(0)).over(w)).where("__o = 1 and __k > 0")
+    order = [F.col("__at"), F.col("__o"), F.col("row_id")]
+    k = rel.running(every.withColumn("__day", F.floor(F.col("__at") / DAY)), ["mmsi"], "__day", order, F.col("__by"), "__k")
+    grouped = rel.running(k, ["mmsi"], "__day", order, F.when((F.col("__o") == 1) & (F.col("sog") >= SLOW_KN), F.col("__k")).otherwise(0), "stop_grp").where("__o = 1 and __k > 0")
     s = grouped.where(F.col("sog") < SLOW_KN).groupBy("mmsi", "stop_grp").agg(F.min("ts").alias("stop_start"), F.max("ts").alias("stop_end"), F.min_by(F.struct("lat", "lon", "__at"), F.struct("ts", "row_id")).alias("f"))
     s = s.withColumn("dur_min", timefns.boundaries_crossed("minute", "stop_start", "stop_end")).where(F.col("dur_min") >= LEAST_MIN)
     met = s.select("mmsi", "stop_grp", "stop_start", "stop_end", "dur_min", "f.*").join(d, "mmsi").where("__at between __lo and __hi")
@@ -395,12 +403,29 @@ def arrivals_union_anti(spark, d):
     return _us(arrivals(_window(spark, d)))
 
 
-def departures(calls: DataFrame, positions: DataFrame, strict: bool = False) -> DataFrame:
-    """First fix under way beyond reach of the port after the arrival; per vessel and port, or in `strict` per call."""
+#: Days after an arrival that are searched first for the departure; what they don't hold is searched for in all later fixes.
+SOON = 4
+
+
+def departures(calls: DataFrame, positions: DataFrame, span: DataFrame, strict: bool = False) -> DataFrame:
+    """First fix under way beyond reach of the port after the arrival; per vessel and port, or in `strict` per call.
+
+    Calls meet the fixes of the next days, by (vessel, day); only those that don't end there meet all later ones, so a
+    vessel's calls times its history are joined for open calls alone.
+    """
     keys = ["mmsi", "port_lo", "arrival_ts"] if strict else ["mmsi", "port_lo"]
+    call = ["mmsi", "port_lo", "port_lat", "port_lon", "arrival_ts"]
     moving = positions.where(F.col("sog") > BERTH_KN).select("mmsi", "ts", "lat", "lon", "row_id")
-    out = calls.select("mmsi", "port_lo", "port_lat", "port_lon", "arrival_ts").join(moving, "mmsi").where((F.col("ts") > F.col("arrival_ts")) & (geo.haversine_km("lat", "lon", "port_lat", "port_lon") > RADIUS_KM))
-    first = out.groupBy(*keys).agg(F.min_by(F.struct("ts", "lat", "lon"), F.struct("ts", "row_id")).alias("f"))
+    asked = calls.select(*call).where("port_lo is not null and port_lat is not null and port_lon is not null").distinct()
+
+    def exits(some: DataFrame, until: Column) -> DataFrame:
+        met = rel.interval_join(moving, some, "mmsi", F.unix_micros("ts"), F.unix_micros("arrival_ts") + 1, until, DAY, span)
+        out = met.where(geo.haversine_km("lat", "lon", "port_lat", "port_lon") > RADIUS_KM)
+        return out.groupBy(*call).agg(F.min(F.struct("ts", "row_id", "lat", "lon")).alias("f"))
+
+    soon = settle(exits(asked, F.unix_micros("arrival_ts") + SOON * DAY))
+    later = exits(asked.join(soon.select(*call), call, "left_anti"), F.lit(2**62))
+    first = soon.unionByName(later).groupBy(*keys).agg(F.min("f").alias("f"))
     return first.select(*keys, F.col("f.ts").alias("departure_ts"), F.col("f.lat").alias("departure_lat"), F.col("f.lon").alias("departure_lon"))
 
 
@@ -412,28 +437,31 @@ _DEPART = f"""
 
 @CAT.add(f"select mmsi, port_lo, epoch_us(departure_ts) as departure_us, departure_lat, departure_lon from ({_DEPART})")
 def departures_first_exit(spark, d):
-    got = departures(arrivals(_window(spark, d)), fixes(table(spark, d, "messages")))
+    m = table(spark, d, "messages")
+    got = departures(settle(arrivals(_window(spark, d))), fixes(m), span_of(m))
     return got.select("mmsi", "port_lo", F.unix_micros("departure_ts").alias("departure_us"), "departure_lat", "departure_lon")
 
 
-def port_calls(window: DataFrame, positions: DataFrame, strict: bool = False, stops: DataFrame | None = None) -> DataFrame:
+def port_calls(window: DataFrame, positions: DataFrame, span: DataFrame, strict: bool = False, stops: DataFrame | None = None) -> DataFrame:
     """Arrivals with the departures after them. Arrivals are few against the fixes they come from and are used twice,
     so they are settled once."""
     calls = settle(arrivals(window, stops))
     keys = ["mmsi", "port_lo", "arrival_ts"] if strict else ["mmsi", "port_lo"]
-    return calls.join(departures(calls, positions, strict), keys, "left").withColumn("arrival_date", F.to_date("arrival_ts"))
+    return calls.join(departures(calls, positions, span, strict), keys, "left").withColumn("arrival_date", F.to_date("arrival_ts"))
 
 
 @CAT.add(f"select {_US}, epoch_us(departure_ts) as departure_us, (arrival_ts at time zone 'UTC')::date as arrival_date from (select a.*, d.departure_ts, d.departure_lat, d.departure_lon from ({_ARRIVALS}) a left join ({_DEPART}) d on a.mmsi = d.mmsi and a.port_lo = d.port_lo)".replace("* exclude (arrival_ts,", "* exclude (departure_ts, arrival_ts,"))
 def port_calls_full(spark, d):
-    return _us(port_calls(_window(spark, d), fixes(table(spark, d, "messages"))))
+    m = table(spark, d, "messages")
+    return _us(port_calls(_window(spark, d), fixes(m), span_of(m)))
 
 
 @CAT.add(CAT.sql["port_calls_full"].replace(_DECL, _DECL_BY_ETA))
 def port_calls_history(spark, d):
     """As `port_calls_full`, with every declared eta, over a table of more than a day."""
-    fixed, declared = fixes(table(spark, d, "messages")), declarations_by_eta(table(spark, d, "matched_decl"))
-    return _us(port_calls(first_slow(fixed, declared), fixed, stops=stop_events_of(fixed, declared)))
+    m, declared = table(spark, d, "messages"), declarations_by_eta(table(spark, d, "matched_decl"))
+    fixed, span = fixes(m), span_of(m)
+    return _us(port_calls(first_slow(fixed, declared, span), fixed, span, stops=stop_events_of(fixed, declared)))
 
 
 @CAT.add("""
@@ -449,8 +477,9 @@ def port_calls_merge(spark, d):
 def congestion(calls: DataFrame, strict: bool = False) -> DataFrame:
     """Vessels in port, arrivals and departures per port and hour, where there are any.
 
-    Each call is exploded to its own hours, so there is no grid of all ports and hours and no join. The hours end at
-    the last departure (`strict`: the last event of any kind).
+    A call adds one vessel at its first hour and takes it away after its last; the changes are summed by port and hour
+    and run on over a port's hours, so neither a grid of ports and hours nor a row for each hour of a call is made. The
+    hours end at the last departure (`strict`: the last event of any kind).
     """
     hour = lambda x: F.floor(F.unix_micros(x) / HOUR) * HOUR
     c = calls.where("port_lo_code is not null and port_lo_code <> '' and arrival_ts is not null").select("port_lo_code", "arrival_ts", "departure_ts")
@@ -459,10 +488,16 @@ def congestion(calls: DataFrame, strict: bool = False) -> DataFrame:
     b = c.crossJoin(F.broadcast(span))  # one row
     a, dep = F.unix_micros("arrival_ts"), F.unix_micros("departure_ts")
     first, end = F.greatest(F.ceil(a / HOUR) * HOUR, F.col("lo")), F.least(F.coalesce(F.floor(dep / HOUR) * HOUR, F.col("hi")), F.col("hi"))
-    present = b.where(first <= end).select("port_lo_code", F.explode(F.sequence(first, end, F.lit(HOUR))).alias("hour_us"), F.lit(1).alias("v"), F.lit(0).alias("a"), F.lit(0).alias("d"))
-    came = b.select("port_lo_code", hour("arrival_ts").alias("hour_us"), F.lit(0).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("d"), "lo", "hi").where("hour_us between lo and hi").drop("lo", "hi")
-    went = b.where("departure_ts is not null").select("port_lo_code", hour("departure_ts").alias("hour_us"), F.lit(0).alias("v"), F.lit(0).alias("a"), F.lit(1).alias("d"), "lo", "hi").where("hour_us between lo and hi").drop("lo", "hi")
-    return present.unionByName(came).unionByName(went).groupBy("port_lo_code", "hour_us").agg(F.sum("v").alias("vessels_in_port"), F.sum("a").alias("arrivals"), F.sum("d").alias("departures"))
+    change = lambda at, v, a, d, when: F.when(when, F.struct(at.cast("long").alias("hour_us"), F.lit(v).alias("v"), F.lit(a).alias("a"), F.lit(d).alias("d")))
+    came, went = hour("arrival_ts"), hour("departure_ts")
+    changes = F.array_compact(F.array(change(first, 1, 0, 0, first <= end), change(end + HOUR, -1, 0, 0, first <= end), change(came, 0, 1, 0, came.between(F.col("lo"), F.col("hi"))), change(went, 0, 0, 1, went.between(F.col("lo"), F.col("hi")))))
+    per = b.select("port_lo_code", "hi", F.inline(changes)).groupBy("port_lo_code", "hi", "hour_us").agg(*[F.sum(k).alias(k) for k in ("v", "a", "d")])
+    w = Window.partitionBy("port_lo_code").orderBy("hour_us")  # at most a row an hour
+    ran = per.withColumns({"vessels_in_port": F.sum("v").over(w), "next": F.coalesce(F.lead("hour_us").over(w), F.col("hour_us") + HOUR)})
+    until = F.when(F.col("vessels_in_port") > 0, F.col("next") - HOUR).otherwise(F.col("hour_us"))
+    hours = ran.withColumn("at", F.explode(F.sequence("hour_us", until, F.lit(HOUR))))
+    only = lambda k: F.when(F.col("at") == F.col("hour_us"), F.col(k)).otherwise(0)
+    return hours.select("port_lo_code", F.col("at").alias("hour_us"), "vessels_in_port", only("a").alias("arrivals"), only("d").alias("departures"), "hi").where("hour_us <= hi and (vessels_in_port > 0 or arrivals > 0 or departures > 0)").drop("hi")
 
 
 CONGESTION = """

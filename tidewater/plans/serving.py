@@ -232,8 +232,14 @@ def grid_cell_counts(spark, d):
     (degrees(atan2(sin(radians(lo - lon)) * cos(radians(la)), cos(radians(lat)) * sin(radians(la)) - sin(radians(lat)) * cos(radians(la)) * cos(radians(lo - lon)))) + 360) % 360 end), 6) as heading from p""")
 def heading_to_next(spark, d):
     """A fix's heading, or where it is unknown the course to the next fix."""
-    w = W.partitionBy("mmsi").orderBy("ts", "pos_id")
-    p = table(spark, d, "vessels_positions").where("abs(lat) <= 90 and abs(lon) <= 180").withColumns({"la": F.lead("lat").over(w), "lo": F.lead("lon").over(w)})
+    own = ["mmsi", "__day"]
+    p = table(spark, d, "vessels_positions").where("abs(lat) <= 90 and abs(lon) <= 180").withColumn("__day", F.floor(F.unix_micros("ts") / timefns.UNIT_US["day"]))
+    place = F.struct("lat", "lon")
+    # a day's last fix goes on to the first of the vessel's next day with any: one row a vessel and day is carried
+    starts = p.groupBy(*own).agg(F.min_by(place, F.struct("ts", "pos_id")).alias("first"))
+    later = starts.withColumn("later", F.lead("first").over(W.partitionBy("mmsi").orderBy("__day"))).drop("first")
+    p = p.withColumn("next", F.lead(place).over(W.partitionBy(*own).orderBy("ts", "pos_id"))).join(later, own, "left").withColumn("next", F.coalesce("next", "later"))
+    p = p.withColumns({"la": F.col("next.lat"), "lo": F.col("next.lon")})
     return p.select("pos_id", F.round(F.coalesce(domain.known_heading("true_heading").cast("double"), geo.bearing_deg("lat", "lon", "la", "lo")), 6).alias("heading"))
 
 
