@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from tidewater.sources import feed
 
 
@@ -46,6 +48,7 @@ def test_a_batch_ends_by_time():
 
 def endless(ask):
     for k in range(10**9):
+        time.sleep(0.005)
         yield f'{{"k": {k}}}'
 
 
@@ -57,3 +60,25 @@ def test_as_a_stream(spark, tmp_path):
         assert q.exception() is None
     q.stop()
     assert spark.table("feed_out").distinct().count() >= 7
+
+
+def test_a_full_queue_drops_and_counts():
+    waiting = feed.Waiting(3)
+    assert [waiting.offer(str(k)) for k in range(5)] == [True] * 3 + [False] * 2 and waiting.dropped == 2
+    assert waiting.take(2, 5) == ["0", "1"] and waiting.take(9, 0.05) == ["2"]
+
+
+def test_a_planned_batch_comes_again_until_it_is_committed(tmp_path):
+    options = {"connect": "tests.test_feed:endless", "batch": "7", "seconds": "5", "spool": f"file://{tmp_path}/spool"}
+    reader = feed.LiveFeedReader(options)
+    first, end = reader.read(reader.initialOffset())
+    second, last = reader.read(end)
+    first, second = list(first), list(second)
+    assert (end, last) == ({"n": 7}, {"n": 14})
+    reader.close()
+    again = feed.LiveFeedReader(options)  # after a restart
+    assert list(again.readBetweenOffsets({"n": 7}, {"n": 14})) == second
+    assert list(again.readBetweenOffsets({"n": 0}, {"n": 14})) == first + second
+    again.commit({"n": 7})
+    assert list(again.readBetweenOffsets({"n": 0}, {"n": 14})) == second
+    assert list(feed.LiveFeedReader({k: v for k, v in options.items() if k != "spool"}).readBetweenOffsets({"n": 0}, {"n": 7})) == []

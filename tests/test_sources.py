@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidewater.operators import relational as rel
-from tidewater.sources import landing, sinks
+from tidewater.sources import lake, landing, sinks
 
 
 def envelope(kind="PositionReport", mmsi=1, lat=1.0, lon=2.0, time="2016-01-12 00:06:52 +0000 UTC", **body):
@@ -66,7 +66,7 @@ def test_layout_row_groups_and_pruning(spark, tmp_path):
     hits = {}
     for layout in sinks.LAYOUTS:
         path = f"{tmp_path}/{layout}"
-        sinks.write_layout(df, path, layout, rows=1000)
+        sinks.write_layout(df, path, layout, rows=1000, files=1)
         stats = landing.row_groups(spark, path)
         assert stats.where("column = 'id'").agg(F.max("rows"), F.sum("rows")).first()[:] == (1000, 25_000)
         hits[layout] = sinks.groups_hit(stats, 0.0, 0.0, 5.0, 5.0).first().hit
@@ -81,16 +81,30 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     assert {r.day: r["count"] for r in spark.read.parquet(path).groupBy("day").count().collect()} == {1: 5, 2: 9}
 
 
-def test_swap_reads_what_it_replaces(spark, tmp_path):
-    path = f"{tmp_path}/v"
-    spark.createDataFrame([(1, "old", 5), (2, "old", 5)], "mmsi int, name string, seen int").write.parquet(path)
+def test_upsert_replaces_the_table_it_reads(spark, tmp_path):
+    at = lake.Lake(spark, f"file://{tmp_path}")
+    at.replace("vessels", spark.createDataFrame([(1, "old", 5), (2, "old", 5)], "mmsi int, name string, seen int"))
     fresh = spark.createDataFrame([(2, "new", 5), (1, "older", 4), (3, "new", None)], "mmsi int, name string, seen int")
-    sinks.swap(rel.upsert(spark.read.parquet(path), fresh, ["mmsi"], F.col("seen")), path)
-    assert {r.mmsi: r.name for r in spark.read.parquet(path).collect()} == {1: "old", 2: "new", 3: "new"}
-    more = rel.insert_missing(spark.read.parquet(path), spark.createDataFrame([(1, "x", 1), (9, "y", 1)], "mmsi int, name string, seen int"), ["mmsi"])
+    at.replace("vessels", rel.upsert(at.table("vessels"), fresh, ["mmsi"], F.col("seen")))
+    assert {r.mmsi: r.name for r in at.table("vessels").collect()} == {1: "old", 2: "new", 3: "new"}
+    more = rel.insert_missing(at.table("vessels"), spark.createDataFrame([(1, "x", 1), (9, "y", 1)], "mmsi int, name string, seen int"), ["mmsi"])
     assert {r.mmsi: r.name for r in more.collect()} == {1: "old", 2: "new", 3: "new", 9: "y"}
 
 
+def test_older_envelopes_and_the_fallback_of_the_vessel(spark):
+    rows = [
+        '{"message_type": "P", "metadata": {"MMSI": "MMSI", "mmsi": "7", "timestamp": "2016-01-12 00:06:52.39 +0000 UTC", "lat": "1.5", "lon": 2}}',
+        '{"message_type": "P", "metadata": {"MMSI": 8, "time_utc": "2016-01-12 00:06:52", "latitude": 3.5, "longitude": 4}, "message": {"P": {"UserID": 9}}}',
+        '{"message_type": "P", "metadata": {"MMSI": "MMSI"}, "message": {"P": {"UserID": 9}}}',
+        "cut {",
+    ]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, body string")
+    got = df.select("k", *[v.alias(n) for n, v in landing.legacy_fields("body").items()]).orderBy("k").collect()
+    assert [(r.mmsi, r.lat, r.lon, r.ts is not None) for r in got] == [(7, 1.5, 2.0, True), (8, 3.5, 4.0, True), (9, None, None, False), (None, None, None, False)]
+    raw = landing.parse(spark.createDataFrame([(json.dumps(envelope(mmsi=None, UserID=5)),)], "value string"), "value")
+    assert landing.flatten(raw).count() == 0 and landing.flatten(raw, fallback=True).first().mmsi == 5
+
+
 def test_shards_and_missing_days(spark):
     df = spark.createDataFrame([(1, 10.0, 10.0), (2, -10.0, 10.0), (3, None, 1.0)], "id int, lat double, lon double")
     assert sorted((r.id, r.shard) for r in landing.by_shard(df).collect()) == [(1, "NE"), (1, "WORLD"), (2, "SE"), (2, "WORLD")]

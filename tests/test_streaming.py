@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidewater.operators import late_counts
+from tidewater.sources import landing
 from tidewater.streaming import ingest
 
 START = datetime(2016, 1, 5)
@@ -39,11 +42,45 @@ def test_landing_stream_keeps_valid_envelopes(spark, tmp_path):
     (tmp_path / "in" / "a.ndjson").write_text("\n".join([*map(json.dumps, lines), "cut {", ""]))
     out = ingest.drained(ingest.landing_stream(spark, f"{tmp_path}/in").select(F.col("__m.metadata.latitude").alias("lat")), "test")
     assert [r.lat for r in out.collect()] == [0.0]
-    q = ingest.raw_sink(ingest.landing_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", seconds=1)
+    (tmp_path / "in" / "b.ndjson").write_text("\n".join(json.dumps(lines[0] | {"received_at": str(k)}) for k in range(95)))
+    q = ingest.raw_sink(ingest.landing_stream(spark, f"{tmp_path}/in"), f"file://{tmp_path}/out", f"{tmp_path}/cp", seconds=1, most=20, writers=2)
     q.processAllAvailable()
     q.stop()
-    kept = spark.read.option("basePath", f"{tmp_path}/out").text(f"{tmp_path}/out")
-    assert kept.count() == 1 and {"year", "month", "day", "hour"} <= set(kept.columns)
+    files = list((tmp_path / "out").glob("year=*/month=*/day=*/hour=*/*.zst"))
+    assert len(files) == 6  # two writers with 48 messages each, in files of 20
+    kept = landing.read_zst(spark, f"{tmp_path}/out")
+    assert kept.count() == 96 and kept.select("__raw").distinct().count() == 96
+
+
+def test_a_cut_zst_file_gives_its_whole_lines(spark, tmp_path):
+    import zstandard
+
+    text = b"".join(json.dumps({"message_type": "P", "k": k}).encode() + b"\n" for k in range(30000))
+    whole = zstandard.ZstdCompressor(level=3).compress(text)
+    (tmp_path / "a.zst").write_bytes(whole)
+    (tmp_path / "b.zst").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "c.zst").write_bytes(b"no zstd")
+    assert 30000 <= landing.read_zst(spark, str(tmp_path)).count() < 60000
+    assert landing.read_zst(spark, f"{tmp_path}/a.zst").count() == 30000
+
+
+def test_a_failed_query_is_started_again(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/in.parquet")
+    tries, pauses = [], []
+
+    def start():
+        def take(rows, batch):
+            tries.append(batch)
+            if len(tries) < 3:
+                raise OSError("gone")
+
+        return ingest.table_stream(spark, str(tmp_path), "in").writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+
+    ingest.supervised(start, wait=pauses.append)
+    assert tries == [0, 0, 0] and pauses == [15.0, 15.0]
+    tries.clear()
+    with pytest.raises(StreamingQueryException):
+        ingest.supervised(lambda: ingest.table_stream(spark, str(tmp_path), "in").writeStream.foreachBatch(lambda r, b: 1 / 0).trigger(availableNow=True).start(), tries=2, wait=pauses.append)
 
 
 def test_open_calls_carry_over_batches(spark, tmp_path):

@@ -29,14 +29,79 @@ def parse(df: DataFrame, column: str, name: str = "__m") -> DataFrame:
 
 
 def read_ndjson(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame:
-    """Envelopes from NDJSON files, plain or compressed (gz, zst by the name); malformed lines are dropped.
-
-    With `base`, folders key=value below it become columns and prune the listing.
+    """Envelopes from NDJSON files, plain or compressed (gz by the name; for zst see `read_zst`); malformed lines are
+    dropped. With `base`, folders key=value below it become columns and prune the listing.
     """
     lines = spark.read.option("basePath", base).text(list(paths)) if base else spark.read.text(list(paths))
     return parse(lines, "value").where("__m is not null and __m.message_type is not null")
 
 
+def zst_lines(files: DataFrame) -> DataFrame:
+    """(value) of the lines of zstd files given as `content`; a file that is cut off gives its whole lines so far."""
+    import pyarrow as pa
+
+    def run(batches):
+        import io
+
+        import zstandard
+
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                held = []
+                try:
+                    for line in io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(content), "utf-8", errors="replace", newline="\n"):
+                        held.append(line.rstrip("\r\n"))
+                        if len(held) >= 20_000:
+                            yield pa.record_batch([pa.array(held, pa.string())], names=["value"])
+                            held = []
+                except zstandard.ZstdError:
+                    pass
+                if held:
+                    yield pa.record_batch([pa.array(held, pa.string())], names=["value"])
+
+    return files.select("content").mapInArrow(run, "value string")
+
+
+def read_zst(spark: SparkSession, *paths: str, pattern: str = "*.zst") -> DataFrame:
+    """Envelopes from zstd NDJSON files below the paths, without a native codec of the file system; malformed lines are
+    dropped. A file is read by one task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(list(paths))
+    return parse(zst_lines(files), "value").where("__m is not null and __m.message_type is not null")
+
+
+def read_window(spark: SparkSession, root: str, day: date, back: int = 7) -> DataFrame:
+    """Envelopes that landed on `day` or in the days before it, year=/month=/day= folders below `root`.
+
+    Late messages lie in later folders than their event time, so what is derived for a day is derived again from the
+    window that ends with it. Days without a folder are passed over; numbers may have leading zeros or not.
+    """
+    paths = []
+    for k in range(back + 1):
+        d = day - timedelta(k)
+        for text in (f"year={d.year}/month={d.month:02d}/day={d.day:02d}", f"year={d.year}/month={d.month}/day={d.day}"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{text}")
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) and path.toString() not in paths:
+                paths.append(path.toString())
+    if not paths:
+        return parse(spark.createDataFrame([], "value string"), "value")
+    return parse(spark.read.option("basePath", root).option("recursiveFileLookup", True).text(paths), "value").where("__m is not null and __m.message_type is not null")
+
+
+def legacy_fields(text_column: str) -> dict[str, Column]:
+    """Vessel, time and place from older envelopes, which name them in two ways and may hold a header's words."""
+    at = lambda k: F.get_json_object(text_column, f"$.metadata.{k}")
+    number = lambda *ks: F.coalesce(*[F.nullif(at(k), F.lit(k)).try_cast("bigint") for k in ks])
+    kind = F.get_json_object(text_column, "$.message_type")
+    user = F.call_function("get_json_object", F.col(text_column), F.concat(F.lit("$.message."), kind, F.lit(".UserID"))).try_cast("bigint")
+    place = lambda *ks: F.coalesce(*[at(k).try_cast("double") for k in ks])
+    return {
+        "mmsi": F.coalesce(number("MMSI", "mmsi"), user),
+        "ts": F.coalesce(timefns.feed_timestamp(at("time_utc")), timefns.feed_timestamp(at("timestamp"))),
+        "lat": place("latitude", "lat"),
+        "lon": place("longitude", "lon"),
+    }
+
+
 def small_files(spark: SparkSession, folder: str, pattern: str = "*.ndjson") -> DataFrame:
     """Text files below a folder as rows (file_id, path, n_bytes, body), for `compaction.compact`.
 
@@ -57,8 +122,11 @@ def valid(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("__m.metadata.MMSI").isNotNull() & domain.placed("__m.metadata.latitude", "__m.metadata.longitude"))
 
 
-def flatten(parsed: DataFrame) -> DataFrame:
-    """The 40 silver columns from the envelope struct `__m`; other columns are kept. Rows without a vessel are left out."""
+def flatten(parsed: DataFrame, fallback: bool = False) -> DataFrame:
+    """The 40 silver columns from the envelope struct `__m`; other columns are kept. Rows without a vessel are left out.
+
+    The vessel is the metadata's, with `fallback` where that is missing the message's own user.
+    """
     m, kind = F.col("__m"), F.col("__m.message_type")
     own = F.try_element_at(m["message"], kind)
     report = F.try_element_at(m["message"], F.lit("StaticDataReport"))
@@ -68,10 +136,11 @@ def flatten(parsed: DataFrame) -> DataFrame:
     other_fix = F.call_function("get_json_object", F.col("__raw"), F.concat(F.lit("$.message."), kind, F.lit(".Fixtype"))).try_cast("int")
     kept = [c for c in parsed.columns if not c.startswith("__")]
     e = own["Eta"]
-    staged = parsed.where(m["metadata"]["MMSI"].isNotNull()).withColumn("__ts", ts)
+    vessel = F.coalesce(m["metadata"]["MMSI"], own["UserID"]) if fallback else m["metadata"]["MMSI"]
+    staged = parsed.where(vessel.isNotNull()).withColumn("__ts", ts)
     cols: dict[str, Column] = {
         "message_type": kind,
-        "mmsi": m["metadata"]["MMSI"],
+        "mmsi": vessel,
         "ts": F.col("__ts"),
         "lat": m["metadata"]["latitude"],
         "lon": m["metadata"]["longitude"],

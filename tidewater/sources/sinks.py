@@ -1,9 +1,7 @@
-"""Writers: physical layout, partition overwrite, table swap, registration."""
+"""Writers: physical layout, partition overwrite, registration. Whole tables are replaced by `lake.Lake`."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +28,13 @@ def write_messages(silver: DataFrame, path: str) -> None:
     write_sorted(silver, path, ["message_type", "mmsi", "ts"], partition=["year", "month", "day"])
 
 
-LAYOUTS = {"temporal": ["ts", "mmsi"], "lat": ["lat"], "lat_lon": ["lat", "lon"], "cell": ["__cell", "ts"]}
+LAYOUTS = {"temporal": ["ts", "mmsi"], "lat": ["lat", "mmsi"], "lat_lon": ["lat", "lon", "mmsi"], "cell": ["__cell", "mmsi"]}
 
 
-def write_layout(df: DataFrame, path: str, layout: str, rows: int = ROWS) -> None:
-    """One of four physical orders, to compare how well boxes prune."""
+def write_layout(df: DataFrame, path: str, layout: str, rows: int = ROWS, files: int | None = None) -> None:
+    """One of four physical orders, to compare how well boxes prune; files are ranges of the order."""
     staged = df.withColumn("__cell", geo.grid_cell("lat", "lon")) if layout == "cell" else df
-    write_sorted(staged, path, LAYOUTS[layout], rows=rows, files=1)
+    write_sorted(staged, path, LAYOUTS[layout], rows=rows, files=files)
 
 
 def groups_hit(stats: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
@@ -46,21 +44,6 @@ def groups_hit(stats: DataFrame, south: float, west: float, north: float, east:
     return wide.agg(F.count_if(hit).alias("hit"), F.count(F.lit(1)).alias("groups"))
 
 
-def swap(df: DataFrame, path: str) -> None:
-    """Overwrites a table that `df` itself may read: written beside it, then renamed into place."""
-    spark = df.sparkSession
-    staged = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    filesystem = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
-    if filesystem.exists(target):
-        filesystem.rename(target, old)
-    filesystem.rename(jvm.org.apache.hadoop.fs.Path(staged), target)
-    filesystem.delete(old, True)
-
-
 def register(spark: SparkSession, name: str, path: str, partitioned: bool = False) -> None:
     """A catalogue table over files that are already there; partitions are discovered."""
     spark.sql(f"create table if not exists {name} using parquet location '{path}'")

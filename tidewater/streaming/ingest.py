@@ -6,6 +6,11 @@ are idempotent, as a batch that is repeated after a failure writes the same stat
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,11 +40,71 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType
     return spark.readStream.schema(schema or spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
 
 
-def raw_sink(envelopes: DataFrame, out: str, checkpoint: str, seconds: int = 60) -> StreamingQuery:
-    """Micro-batches to folders by processing hour, compressed."""
-    now = F.current_timestamp()
-    hours = envelopes.select(F.col("__raw").alias("value")).withColumns({"year": F.date_format(now, "yyyy"), "month": F.date_format(now, "MM"), "day": F.date_format(now, "dd"), "hour": F.date_format(now, "HH")})
-    return hours.writeStream.format("text").option("compression", "gzip").option("path", out).option("checkpointLocation", checkpoint).partitionBy("year", "month", "day", "hour").trigger(processingTime=f"{seconds} seconds").start()
+def raw_sink(envelopes: DataFrame, out: str, checkpoint: str, seconds: int = 60, most: int = 50_000, writers: int = 4, level: int = 3) -> StreamingQuery:
+    """Messages as zstd NDJSON in folders by processing hour, flushed after `seconds`, or sooner at `most` messages.
+
+    A trigger fires when the time is over; what it brings is written by `writers` tasks, each into files of at most
+    `most` messages. Folder and names follow from the batch (its number, the time it was first seen at, the task), so a
+    batch that comes again after a failure replaces its own files.
+    """
+
+    def flush(rows: DataFrame, batch: int) -> None:
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        filesystem, root = pafs.FileSystem.from_uri(out)
+        log = f"{root}/_batches/{batch:012d}"
+        if filesystem.get_file_info(log).type == pafs.FileType.File:
+            with filesystem.open_input_stream(log) as f:
+                hour = f.read().decode()
+        else:
+            hour = datetime.now(UTC).strftime("year=%Y/month=%m/day=%d/hour=%H")
+            filesystem.create_dir(f"{root}/_batches", recursive=True)
+            with filesystem.open_output_stream(log) as f:
+                f.write(hour.encode())
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            fs, base = pafs.FileSystem.from_uri(out)
+            task, held, part = TaskContext.get().partitionId(), [], 0
+
+            def put() -> pa.RecordBatch:
+                name = f"{base}/{hour}/b{batch:012d}-w{task:03d}-{part:04d}.ndjson.zst"
+                fs.create_dir(f"{base}/{hour}", recursive=True)
+                text = "\n".join(held).encode() + b"\n"
+                with fs.open_output_stream(name, compression=None) as raw:
+                    raw.write(pa.Codec("zstd", compression_level=level).compress(text, asbytes=True))
+                return pa.record_batch([pa.array([name]), pa.array([len(held)], pa.int64())], names=["path", "n"])
+
+            for b in batches:
+                for text in b.column(0).to_pylist():
+                    held.append(text)
+                    if len(held) >= most:
+                        yield put()
+                        held, part = [], part + 1
+            if held:
+                yield put()
+
+        rows.repartition(writers).mapInArrow(write, "path string, n long").collect()  # a name a file of a batch
+
+    one = envelopes.select(F.col("__raw").alias("value"))
+    return one.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def supervised(start: Callable[[], StreamingQuery], tries: int = 10, pause_s: float = 15.0, wait: Callable[[float], None] = time.sleep) -> StreamingQuery:
+    """Starts a query and, when it fails, starts it again from its checkpoint after a pause, `tries` times in all; the
+    last failure is raised. Returns the query once it has ended without one."""
+    for k in range(tries):
+        query = start()
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            if k + 1 == tries:
+                raise
+            wait(pause_s)
+    raise ValueError("tries must be at least 1")
 
 
 def deduplicated(messages: DataFrame, delay: str = LATENESS) -> DataFrame:
