@@ -43,3 +43,23 @@ def test_sql_functions_equal_the_expressions(spark):
     want = df.select(geo.haversine_km("a", "b", "c", "d"), geo.bearing_deg("a", "b", "c", "d"), geo.grid_cell("a", "b"), F.lit("cargo"), F.lit(2)).collect()
     for g, w in zip(got, want, strict=True):
         assert list(g) == [x if isinstance(x, str) else pytest.approx(x) for x in w]
+
+
+def test_parameters_are_checked():
+    assert client.number("1.5") == 1.5 and client.bounds(None) is None
+    assert client.bounds({"west": "1", "east": 2, "south": -3.0, "north": 4, "more": "x"}) == {"west": 1.0, "east": 2.0, "south": -3.0, "north": 4.0}
+    assert client.iso_date("2016-02-29") == "2016-02-29"
+    assert client.iso_timestamp("2016-01-10T12:00:00.5+02:00") == "2016-01-10 10:00:00.500000" and client.iso_timestamp("2016-01-10T12:00:00Z") == "2016-01-10 12:00:00"
+    bad = [(client.number, x) for x in ("x", None, "inf", float("nan"), True)]
+    bad += [(client.iso_date, x) for x in ("2016-1-2", "2016-02-30", "2016-01-01'; drop", None)] + [(client.iso_timestamp, x) for x in ("2016-01-10 12:00:00", "2016-01-10T25:00:00", "now")]
+    for check, x in bad:
+        with pytest.raises(ValueError):
+            check(x)
+
+
+def test_sql_with_parameters_and_blocks(spark):
+    got = client.run_sql(spark, "select :x as a, :x_y as b, :t as c", x=1, x_y=2, t="it's :x").first()
+    assert (got.a, got.b, got.c) == (1, 2, "it's :x")
+    text = "set a = 1;\n-- 1. vessels\nselect 1\n-- 2. Vessel_Tracks\nselect 2\n-- note\n-- 3. ports\nselect 3"
+    assert client.blocks(text, {"vessel_tracks"}) == ["set a = 1;", "-- 2. Vessel_Tracks\nselect 2\n-- note"]
+    assert len(client.blocks(text)) == 4 and client.blocks("-- 1. a\nselect 1") == ["-- 1. a\nselect 1"] and client.blocks("") == []

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import geo, text, timefns
 from tidewater.operators import relational as rel
 from tidewater.plans import features, gold
 from tidewater.plans.catalogue import Catalogue
-from tidewater.sources import landing
+from tidewater.sources import lake, landing
 from tidewater.sources.tables import table
 
 CAT = Catalogue()
@@ -100,6 +101,25 @@ def step_statistics(spark, d):
     return s.groupBy("pos_idx").agg(F.count(F.lit(1)).alias("n"), features.exact_avg("sog").alias("sog_mean"), features.exact_std("sog").alias("sog_std"))
 
 
+#: What a step of a sequence holds, with the resolution at which its sums are exact.
+STEPS = {"sog": 10, "cog": 10, "true_heading": 1, "rate_of_turn": 1, "lat": 100_000, "lon": 100_000, "dt_h": 1000, "d_km": 1000, "accel": 100}
+
+
+def masked_statistics(steps: DataFrame, scales: dict[str, int]) -> DataFrame:
+    """(feature, n, mean, std): over all steps there are, padding and nulls left out; the deviation is that of all steps
+    (not of a sample), and 1 where it is 0, as it divides. Features in one pass, over whole numbers of their resolution."""
+    name = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.round(F.col(k) * scale).cast("long").alias("w"), F.lit(float(scale)).alias("scale")) for k, scale in scales.items()])).alias("x")
+    g = steps.select(name).select("x.*").where("w is not null").groupBy("feature", "scale").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("s"), F.sum(F.col("w").cast("decimal(38,0)") * F.col("w")).alias("q"))
+    std = F.sqrt((F.col("n") * F.col("q") - F.col("s").cast("decimal(38,0)") * F.col("s")).cast("double")) / F.col("n") / F.col("scale")
+    return g.select("feature", "n", (F.col("s") / F.col("scale") / F.col("n")).alias("mean"), F.when(std > 0, std).otherwise(1.0).alias("std"))
+
+
+@CAT.add(" union all ".join(f"select '{k}' as feature, count(w) as n, sum(w)::double / {float(scale)} / count(w) as mean, case when count(w) * sum(w * w) > sum(w) * sum(w) then sqrt((count(w) * sum(w * w) - sum(w) * sum(w))::double) / count(w) / {float(scale)} else 1.0 end as std from (select round({k} * {scale})::hugeint as w from ({features._LAST}))" for k, scale in STEPS.items()))
+def step_scaling(spark, d):
+    """Mean and deviation of every feature of the steps, by which sequences are normalised."""
+    return masked_statistics(features.last_n(features._windowed(spark, d, 24)), STEPS)
+
+
 @CAT.add("""
   select h as hour_us, count(m.row_id) as n from (select unnest(generate_series(min(epoch_us(ts)) // 3600000000, max(epoch_us(ts)) // 3600000000)) * 3600000000 as h from messages) g
   left join messages m on epoch_us(m.ts) // 3600000000 * 3600000000 = g.h group by 1""")
@@ -123,6 +143,24 @@ def parquet_footers(spark, d):
     return landing.row_groups(spark, f"{d}/vessels_positions.parquet")
 
 
+_BOUNDED = ("pos_id", "mmsi", "lat", "lon", "sog", "cog")
+
+
+@CAT.add(" union all ".join(f"select '{c}' as name, min({c})::double as low, max({c})::double as high, count(*) as n from vessels_positions" for c in _BOUNDED))
+def footer_bounds(spark, d):
+    """Least and greatest value of some columns, from the footers alone."""
+    g = landing.row_groups(spark, f"{d}/vessels_positions.parquet").where(F.col("column").isin(*_BOUNDED))
+    return g.groupBy(F.col("column").alias("name")).agg(F.min(F.col("low").cast("double")).alias("low"), F.max(F.col("high").cast("double")).alias("high"), F.sum("rows").alias("n"))
+
+
+@CAT.add("select file_id from raw_files where not coalesce(listener_id = (select max(listener_id) from raw_files where path like '%/day=10/%') and path like '%/day=10/%', false)")
+def delete_by_subquery(spark, d):
+    """Files that stay when those of one day of the last of its listeners are deleted; the listener is a subquery."""
+    f = table(spark, d, "raw_files").select("file_id", "path", "listener_id")
+    last = f.where("path like '%/day=10/%'").select(F.max("listener_id").alias("listener_id"), F.lit("last").alias("name"))
+    return lake.without(f, last, "listener_id", "last", "%/day=10/%").select("file_id")
+
+
 @CAT.add("""
   select f.file_id, count(*) as messages, count(distinct try_cast(l.line as json) ->> 'message_type') as types from raw_files f, (select file_id, unnest(string_split(body, chr(10))) as line from raw_files) l
   where l.file_id = f.file_id and (try_cast(l.line as json) ->> 'message_type') is not null group by 1""")

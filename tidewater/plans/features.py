@@ -445,13 +445,30 @@ def error_metrics_by_horizon(spark, d):
     return metrics(_samples(spark, d), "tta_h", F.col("dist_km") / F.greatest("sog", F.lit(1.0)) / 1.852, domain.horizon_bin("tta_h"))
 
 
-@CAT.add("with t as (select ship_type, count(*) as n from vessels where ship_type is not null group by 1), k as (select ship_type from t where n >= 2) select v.mmsi, coalesce((v.ship_type = 70)::int, 0) as type_70, coalesce((v.ship_type = 30)::int, 0) as type_30, (k.ship_type is null)::int as type_other from vessels v left join k on k.ship_type = v.ship_type")
+def onehot(df: DataFrame, column: str, least: int) -> DataFrame:
+    """`df` with a column of 0 and 1 for each value that at least `least` rows have, in order of the values, and one for
+    all others and nulls where there are any.
+
+    The columns follow from the data, one small aggregation: a code has few values.
+    """
+    v = F.coalesce(F.col(column).cast("long"), F.lit(-1))
+    counts = {r[0]: r[1] for r in df.groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    top = sorted(k for k, n in counts.items() if n >= least)
+    cols = {f"{column}_{k}": (v == k).cast("int") for k in top}
+    if set(counts) - set(top):
+        cols[f"{column}_other"] = (~v.isin(top)).cast("int") if top else F.lit(1)
+    return df.withColumns(cols)
+
+
+@CAT.add("""
+  with v as (select mmsi, coalesce(ship_type, -1) as v from vessels), t as (select v from v group by 1 having count(*) >= 2)
+  select mmsi, 'ship_type_' || t.v as feature, (v.v = t.v)::int as value from v, t
+  union all select mmsi, 'ship_type_other', (v not in (select v from t))::int from v where exists (select 1 from v x where x.v not in (select v from t))""")
 def onehot_topk(spark, d):
-    """Frequent ship types as columns, the rest together."""
-    v = table(spark, d, "vessels")
-    often = v.where("ship_type is not null").groupBy("ship_type").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.col("ship_type").alias("__t"))
-    j = v.join(often, F.col("ship_type") == F.col("__t"), "left")
-    return j.select("mmsi", *[F.coalesce((F.col("ship_type") == k).cast("int"), F.lit(0)).alias(f"type_{k}") for k in (70, 30)], F.col("__t").isNull().cast("int").alias("type_other"))
+    """Frequent ship types as columns, the rest together; given by name, as the columns depend on the data."""
+    wide = onehot(table(spark, d, "vessels").select("mmsi", "ship_type"), "ship_type", 2)
+    names = [c for c in wide.columns if c.startswith("ship_type_")]
+    return wide.select("mmsi", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in names])).alias("x")).select("mmsi", "x.feature", "x.value")
 
 
 def fold(key: str, n: int) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidewater.functions import domain, geo, text, timefns
 from tidewater.operators import relational as rel
 from tidewater.plans.catalogue import Catalogue
-from tidewater.session import settle
+from tidewater.session import scratch, settle
 from tidewater.sources import landing
+from tidewater.sources.sinks import write_sorted
 from tidewater.sources.tables import table
 
 CAT = Catalogue()
@@ -522,4 +523,21 @@ def congestion_normalised(spark, d):
     return c.crossJoin(F.broadcast(top)).select("port_lo_code", "hour_us", (F.col("vessels_in_port") / F.col("top").cast("double")).alias("level"))
 
 
+_written: dict[tuple, str] = {}
+
+
+def written(spark: SparkSession, d: str, source: str, name: str, derive, order: list[str]) -> DataFrame:
+    """A gold table derived from a source table and written once, sorted, so that requests read the row groups they
+    need. It is derived again when the source's files change (their names, sizes or times of change)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{source}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    state = tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
+    key = (spark.sparkContext.applicationId, d, source, name, state)
+    if key not in _written:
+        out = scratch(spark, name)
+        write_sorted(derive(table(spark, d, source)), out, order)
+        _written[key] = out
+    return spark.read.parquet(_written[key])
+
+
 QUERIES, SQL = CAT.queries, CAT.sql

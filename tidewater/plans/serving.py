@@ -85,7 +85,8 @@ def history(tracks: DataFrame, mmsi: int = HOT, end: str = NOW, days: int = 3, l
   select lat / 1e5 as lat, lon / 1e5 as lon, ts::bigint as ts_s, heading from ({gold.TRACKS}) where mmsi = {HOT} and lat is not null and lon is not null
   and ts between epoch(timestamptz '2016-01-07 12:00:00+00') and epoch(timestamptz '{NOW}+00') order by ts limit 1000""")
 def q_vessel_history(spark, d):
-    return history(gold.tracks(table(spark, d, "messages")))
+    """Reads the tracks as they were written, in order of vessel and time; the first request after a change writes them."""
+    return history(gold.written(spark, d, "messages", "tracks", gold.tracks, ["mmsi", "ts"]))
 
 
 def wake(positions: DataFrame, mmsis: list[int], start: str, end: str, limit: int = LIMIT) -> DataFrame:
@@ -134,8 +135,8 @@ def congestion_on(hours: DataFrame, calls: DataFrame, date: str = DATE) -> DataF
   where hour_us >= epoch_us(timestamptz '{DATE} 00:00:00+00') and hour_us < epoch_us(timestamptz '{DATE} 00:00:00+00') + 86400000000
   qualify row_number() over (partition by c.port_lo_code order by hour_us desc) = 1""")
 def q_port_congestion_latest(spark, d):
-    calls = table(spark, d, "arrivals_today")
-    return congestion_on(gold.congestion(calls), calls)
+    hours = gold.written(spark, d, "arrivals_today", "congestion", gold.congestion, ["hour_us", "port_lo_code"])
+    return congestion_on(hours, table(spark, d, "arrivals_today"))
 
 
 def calls_at(calls: DataFrame, port: str, date: str | None = None, limit: int = 50) -> DataFrame:
@@ -270,7 +271,9 @@ def feature_rows(spark, d):
     return one.join(v, "mmsi", "left").select("mmsi", F.lit("Feature").alias("kind"), "lon", "lat", F.round(F.coalesce("sog", F.lit(0.0)), 1).alias("speed"), F.coalesce("name", F.lit("Unknown")).alias("name"), domain.ship_class("ship_type").alias("category"))
 
 
-@CAT.add()
+@CAT.add(f"""
+  select p.mmsi, json_object('type', 'Feature', 'geometry', json_object('type', 'Point', 'coordinates', json_array(p.lon, p.lat)), 'properties', json_object('speed', round(coalesce(p.sog, 0), 1), 'name', coalesce(v.name, 'Unknown'), 'category', {_CLASS}))::varchar as feature
+  from ({_LATEST}) p left join vessels v on v.mmsi = p.mmsi""")
 def geojson_features(spark, d):
     """The same as GeoJSON text."""
     f = feature_rows(spark, d)
