@@ -82,6 +82,16 @@ def _runs_sql(table: str, key: str) -> str:
 #: Scores of alignments and packings aren't given in SQL; those queries are tested against brute force.
 SQL: dict[str, str] = {
     "p8_invariants": "select count(*) as documents, 0 as split, 0 as torn, 0 as overfull from documents where doc_id is not null and length(text) > 0",
+    "p10_sets": """
+      with w as (select doc_id, hash(substring(text, k::bigint, 300)) as h from documents, lateral (select unnest(range(1, length(text) - 298)) as k) where length(text) >= 300 and doc_id is not null),
+      s as (select distinct list_sort(list(distinct doc_id)) as d from w group by h having count(distinct doc_id) > 1)
+      select distinct unnest(d) as doc_id, d[1] as representative, len(d) as members from s""",
+    "p10_intervals": """
+      with w as (select doc_id, length(text) as n, k, hash(substring(text, k::bigint, 300)) as h from documents, lateral (select unnest(range(1, length(text) - 298)) as k) where length(text) >= 300 and doc_id is not null),
+      s as (select w.* from w semi join (select h from w group by h having count(distinct doc_id) > 1) x on x.h = w.h),
+      b as (select *, case when k - lag(k) over o > 300 then 1 else 0 end as new from s window o as (partition by doc_id order by k)),
+      i as (select doc_id, any_value(n) as n, min(k) - 1 as first, max(k) + 299 as last from (select *, sum(new) over (partition by doc_id order by k) as g from b) group by doc_id, g)
+      select doc_id, first, last, count(*) over (partition by doc_id) as n_spans, sum(last - first) over (partition by doc_id) as shared, round(sum(last - first) over (partition by doc_id) / n, 6) as part from i""",
     "p10_found": """
       with w as (select doc_id, hash(substring(text, k::bigint, 300)) as h from documents, lateral (select unnest(range(1, length(text) - 298)) as k) where length(text) >= 300 and doc_id is not null),
       s as (select distinct list(distinct doc_id) as d from (select doc_id, h from w) group by h having count(distinct doc_id) > 1)
