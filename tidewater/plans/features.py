@@ -445,6 +445,35 @@ def error_metrics_by_horizon(spark, d):
     return metrics(_samples(spark, d), "tta_h", F.col("dist_km") / F.greatest("sog", F.lit(1.0)) / 1.852, domain.horizon_bin("tta_h"))
 
 
+WITHIN = (0.5, 1, 2, 6, 12, 24)
+
+
+def overall_metrics(s: DataFrame, truth: str, guess: Column) -> DataFrame:
+    """Errors of a prediction clipped to [0.05, 200] hours over all samples: mean and root mean square, R2, and the parts
+    within some hours; over thousandths of an hour."""
+    g = F.round(F.greatest(F.lit(0.05), F.least(F.lit(200.0), guess)), 3)
+    e = s.select(F.round((g - F.col(truth)) * 1000).cast("long").alias("e"), F.round(F.col(truth) * 1000).cast("long").alias("y"))
+    n, wide = F.count(F.lit(1)), lambda x: F.sum((x * x).cast("decimal(38,0)"))
+    spread = (n * wide(F.col("y")) - F.sum(F.col("y").cast("decimal(38,0)")) * F.sum("y")).cast("double") / n
+    return e.agg(
+        n.alias("n"),
+        (F.sum(F.abs("e")) / 1000.0 / n).alias("mae"),
+        (F.sqrt(wide(F.col("e")).cast("double") / n) / 1000.0).alias("rmse"),
+        (1 - wide(F.col("e")).cast("double") / spread).alias("r2"),
+        *[(F.count_if(F.abs("e") <= int(h * 1000)) / n).alias(f"within_{int(h * 60)}m") for h in WITHIN],
+    )
+
+
+_WITHIN = ", ".join(f"count(*) filter (where abs(e) <= {int(h * 1000)})::double / count(*) as within_{int(h * 60)}m" for h in WITHIN)
+
+
+@CAT.add(f"""
+  with e as (select round((round(greatest(0.05, least(200.0, dist_km / greatest(sog, 1) / 1.852)), 3) - tta_h) * 1000)::hugeint as e, round(tta_h * 1000)::hugeint as y from ({_SAMPLES}))
+  select count(*) as n, sum(abs(e))::double / 1000.0 / count(*) as mae, sqrt(sum(e * e)::double / count(*)) / 1000.0 as rmse, 1 - sum(e * e)::double / ((count(*) * sum(y * y) - sum(y) * sum(y))::double / count(*)) as r2, {_WITHIN} from e""")
+def error_metrics_overall(spark, d):
+    return overall_metrics(_samples(spark, d), "tta_h", F.col("dist_km") / F.greatest("sog", F.lit(1.0)) / 1.852)
+
+
 def onehot(df: DataFrame, column: str, least: int) -> DataFrame:
     """`df` with a column of 0 and 1 for each value that at least `least` rows have, in order of the values, and one for
     all others and nulls where there are any.
