@@ -169,10 +169,35 @@ def compact(files: DataFrame, out: str, *, file_id: str = "file_id", body: str =
     line = keys.select("file_id", F.inline(F.arrays_zip("nos", "hi", "lo"))).select("hi", "lo", "file_id", F.col("nos").alias("line_no"))
     first = settle(line.groupBy("hi", "lo").agg(F.min(F.struct("file_id", "line_no")).alias("p")))
     keep = first.groupBy(F.col("p.file_id").alias("file_id")).agg(F.collect_list("p.line_no").alias("keep"))
-    # all sides by the same number of partitions of the file id's hash, which are the shards: bodies move once
-    to_shard = lambda df: df.repartition(shards, "file_id")
     known = placed.join(keys.select("file_id", "nos"), "file_id").join(keep, "file_id", "left")
-    whole = to_shard(_bodies(files, file_id, body)).join(to_shard(known), "file_id")
+    # what to do with a file goes before its body in the partition of its shard: bodies move once and are never a side
+    # of a join, which the planner might spread otherwise or broadcast
+    row = "file_id long, turn int, group_id long, nos array<int>, keep array<int>, body string"
+    none = lambda df: df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in (x.split(" ") for x in row.split(", "))])
+    both = none(known.withColumn("turn", F.lit(0))).unionByName(none(_bodies(files, file_id, body).withColumn("turn", F.lit(1))))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan: dict | None = None
+        for batch in batches:
+            turn = batch.column("turn").to_pylist()
+            bodies = [k for k, t in enumerate(turn) if t]
+            plans = {k: r for k, r in zip((k for k, t in enumerate(turn) if not t), batch.select(["file_id", "group_id", "nos", "keep"]).filter(pa.array([not t for t in turn])).to_pylist(), strict=True)}
+            ids, found = batch.column("file_id").to_pylist(), []
+            for k, t in enumerate(turn):
+                if not t:
+                    if plan is not None and plan["file_id"] == ids[k]:
+                        raise RuntimeError(f"file id {ids[k]} comes more than once")
+                    plan = plans[k]
+                elif plan is None or plan["file_id"] != ids[k]:
+                    raise RuntimeError(f"file {ids[k]} has no keys")
+                else:
+                    found.append(plan)
+            if bodies:
+                at = pa.array(bodies)
+                column = lambda name, t: pa.array([r[name] for r in found], t)  # noqa: B023, E731
+                yield pa.record_batch([column("group_id", pa.int64()), batch.column("file_id").take(at), column("nos", pa.list_(pa.int32())), column("keep", pa.list_(pa.int32())), batch.column("body").take(at)], names=["group_id", "file_id", "nos", "keep", "body"])
+
+    whole = both.repartition(shards, "file_id").sortWithinPartitions("file_id", "turn").mapInArrow(meet, "group_id long, file_id long, nos array<int>, keep array<int>, body string")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_group: OutputGroup | None = None
@@ -187,7 +212,7 @@ def compact(files: DataFrame, out: str, *, file_id: str = "file_id", body: str =
             yield open_group.close()
 
     # settled at once: what counts is the manifest of the tasks that succeeded, and it must be the same when read again
-    written = settle(whole.select("group_id", "file_id", "nos", "keep", "body").sortWithinPartitions("group_id", "file_id").mapInArrow(write, MANIFEST))
+    written = settle(whole.sortWithinPartitions("group_id", "file_id").mapInArrow(write, MANIFEST))
     verify(spark, out, written, want, first)
     return publish(spark, written, out)
 
