@@ -227,7 +227,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str, text: str, item_id:
     met = hits.select("doc_id", "dkey", "pos", "h", F.pmod(F.xxhash64("dkey"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["h", "salt"])
     pairs = settle(met.groupBy("doc_id", "dkey", "key").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")))
     held = bloom.keep(whole, "dkey", bloom.build(pairs, "dkey", bloom.bits_for(pairs.count())))
-    joined = held.join(pairs.join(texts, "key"), ["doc_id", "dkey"])
+    joined = held.hint("merge").join(pairs.join(texts, "key"), ["doc_id", "dkey"])  # never broadcast: texts are far larger than their files
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ws = None, []

@@ -234,7 +234,8 @@ def window_rows(texts: DataFrame, ranges: DataFrame, least: int) -> DataFrame:
                     yield _batch(h=h[part], doc_id=np.full(len(h[part]), d, np.int64), g=g[part], start=starts[part], n=n[part])
 
     few = bloom.keep(texts.withColumn("__h", F.xxhash64("doc_id")), "__h", bloom.build(ranges.select(F.xxhash64("doc_id").alias("h")), "h", bloom.bits_for(ranges.count()))).drop("__h")
-    return few.join(ranges, "doc_id").mapInArrow(run, "h long, doc_id long, g long, start int, n int")
+    # never broadcast: texts are far larger than their files
+    return few.hint("merge").join(ranges, "doc_id").mapInArrow(run, "h long, doc_id long, g long, start int, n int")
 
 
 def in_several(rows: DataFrame) -> DataFrame:
