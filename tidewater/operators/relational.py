@@ -41,15 +41,11 @@ def haloed(df: DataFrame, at_us: str, block_us: int, halo_us: int) -> DataFrame:
     """Rows with the `__block` of time that they lie in, copied to the next one if that begins within `halo_us`.
 
     A window over (key, __block) that looks back no further than the halo sees in a block what it would see without
-    blocks; results are taken where `in_own_block` holds.
+    blocks; results are taken from the rows whose own block it is.
     """
     return df.withColumn("__block", F.explode(F.array_distinct(F.array(*[F.floor((F.col(at_us) + d) / block_us) for d in (0, halo_us)]))))
 
 
-def in_own_block(at_us: str, block_us: int) -> Column:
-    return F.col("__block") == F.floor(F.col(at_us) / block_us)
-
-
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, at_us: Column, from_us: Column, to_us: Column, width_us: int, span: DataFrame | None = None, keep: str | None = None) -> DataFrame:
     """Rows of `points` with the `intervals` of equal key that contain them (both ends included).
 

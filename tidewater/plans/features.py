@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewater.functions import domain, geo, timefns
+from tidewater.functions.arrow import Columns, over_groups
 from tidewater.operators import known_at as pit
 from tidewater.operators import relational as rel
 from tidewater.plans import gold
@@ -80,23 +81,46 @@ WEEK = 7 * 24 * H * 1_000_000
 
 
 def rolling(p: DataFrame) -> DataFrame:
-    """Mean speeds of the last 1, 6 and 24 hours, the trend of the last hour, and heading statistics.
+    """(pos_id, mmsi, ...): mean speeds of the last 1, 6 and 24 hours, the trend of the last hour, heading statistics.
 
-    The windows run over (vessel, week), a week with the day before it, so a vessel with many fixes is spread.
+    Groups are (vessel, week), a week with the day before it, so a vessel with many fixes is spread. Within a group every
+    window is a difference of running sums of whole numbers, found by the window's first fix: a sliding frame would add
+    up each window anew, which is the square of a vessel's rate of sending.
     """
-    hd = domain.known_heading("true_heading")
-    over = lambda seconds, to=0: W.partitionBy("mmsi", "__block").orderBy("eu").rangeBetween(-seconds * 1_000_000, -to * 1_000_000)
-    wide = rel.haloed(p, "eu", WEEK, 24 * H * 1_000_000).withColumns(
-        {
-            "avg_sog_1h": exact_avg("sog", over(H)),
-            "avg_sog_6h": exact_avg("sog", over(6 * H)),
-            "avg_sog_24h": exact_avg("sog", over(24 * H)),
-            "sog_trend_1h": F.coalesce(F.col("sog") - exact_avg("sog", over(H, 1)), F.lit(0.0)),
-            "heading_std_1h": F.coalesce(exact_std(hd, over(H), 1), F.lit(0.0)),
-            "avg_heading_1h": F.coalesce(exact_avg(hd, over(H), 1), F.col("true_heading").cast("double"), F.lit(-1.0)),
-        }
-    )
-    return wide.where(rel.in_own_block("eu", WEEK)).drop("__block")
+    import numpy as np
+
+    hour = H * 1_000_000
+    hd = whole(domain.known_heading("true_heading"), 1)
+    narrow = p.select("pos_id", "mmsi", "eu", whole("sog").alias("sog10"), "sog", hd.alias("hd"), F.coalesce(F.col("true_heading").cast("double"), F.lit(-1.0)).alias("own_heading"))
+
+    def run(c: Columns) -> dict | None:
+        t = c["eu"]
+        keep = np.flatnonzero(t // WEEK == int(c["__block"][0]))
+        if not len(keep):
+            return None
+        known = np.asarray(c["hd"], float)
+        there = ~np.isnan(known)
+        run_up = lambda x: np.r_[0, np.cumsum(x)].astype(np.int64)
+        v = np.where(there, known, 0).astype(np.int64)
+        sog, one, head, heads, square = (run_up(x) for x in (c["sog10"].astype(np.int64), np.ones(len(t), np.int64), v, there, v * v))
+
+        def over(sums: np.ndarray, seconds: int, to: int = 0) -> np.ndarray:
+            now = t[keep]
+            return sums[np.searchsorted(t, now - to * 1_000_000, "right")] - sums[np.searchsorted(t, now - seconds * 1_000_000)]
+
+        def mean(s: np.ndarray, n: np.ndarray, scale: float) -> np.ndarray:
+            return np.where(n > 0, s / scale / np.maximum(n, 1), np.nan)
+
+        n, s, q = over(heads, H), over(head, H), over(square, H)
+        before = mean(over(sog, H, 1), over(one, H, 1), 10.0)
+        deviation = np.where(n > 1, np.sqrt(np.maximum(n * q - s * s, 0) / np.maximum(n * (n - 1), 1)), 0.0)
+        average = mean(s, n, 1.0)
+        out = {f"avg_sog_{h}h": mean(over(sog, h * H), over(one, h * H), 10.0) for h in (1, 6, 24)}
+        out |= {"sog_trend_1h": np.where(np.isnan(before), 0.0, c["sog"][keep] - before), "heading_std_1h": deviation, "avg_heading_1h": np.where(np.isnan(average), c["own_heading"][keep], average)}
+        return {"pos_id": c["pos_id"][keep], "mmsi": c["mmsi"][keep], **out}
+
+    columns = ("avg_sog_1h", "avg_sog_6h", "avg_sog_24h", "sog_trend_1h", "heading_std_1h", "avg_heading_1h")
+    return over_groups(rel.haloed(narrow, "eu", WEEK, 24 * hour), ["mmsi", "__block"], ["eu"], run, "pos_id long, mmsi long, " + ", ".join(f"{k} double" for k in columns))
 
 
 def with_own_average(p: DataFrame, rows: DataFrame) -> DataFrame:

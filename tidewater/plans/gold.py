@@ -15,6 +15,8 @@ from tidewater.sources.tables import table
 
 CAT = Catalogue()
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+#: What a vessel's time is cut into, so that one with a large part of all rows is spread.
+SLOT = 6 * HOUR
 RADIUS_KM, SLOW_KN, BERTH_KN, LEAST_MIN = 10.0, 0.5, 1.0, 30
 _TRACK = "('PositionReport', 'ExtendedClassBPositionReport', 'StandardClassBPositionReport')"
 HAV = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
@@ -243,9 +245,9 @@ def span_of(m: DataFrame) -> DataFrame:
 
 def positions_in_window(positions: DataFrame, declared: DataFrame, span: DataFrame) -> DataFrame:
     """Each fix with the declarations of its vessel whose window [declared - 1 day, eta + 7 days] it lies in; with
-    `declarations` a fix meets each place its vessel has named at most once. The join is spread over (vessel, day), and
-    the day stays in the result as __day for what goes on with it."""
-    return rel.interval_join(positions, declared, "mmsi", F.unix_micros("ts"), F.unix_micros("static_ts") - DAY, F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY, DAY, span, keep="__day")
+    `declarations` a fix meets each place its vessel has named at most once. The join is spread over (vessel,
+    quarter of a day), and the quarter stays in the result as __slot for what goes on with it."""
+    return rel.interval_join(positions, declared, "mmsi", F.unix_micros("ts"), F.unix_micros("static_ts") - DAY, F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY, SLOT, span, keep="__slot")
 
 
 def _window(spark, d):
@@ -316,7 +318,7 @@ _ORDER = "ts, row_id, static_ts nulls last, eta nulls last, dest_clean nulls las
 def stop_events(window: DataFrame) -> DataFrame:
     """Stretches of slow fixes of a vessel between fast ones, at least half an hour by the clock's minutes."""
     order = [F.col(k).asc_nulls_last() for k in ("ts", "row_id", "static_ts", "eta", "dest_clean", "port_lo")]
-    grouped = rel.running(window.where("sog is not null"), ["mmsi"], "__day", order, F.when(F.col("sog") >= SLOW_KN, 1).otherwise(0), "stop_grp")
+    grouped = rel.running(window.where("sog is not null"), ["mmsi"], "__slot", order, F.when(F.col("sog") >= SLOW_KN, 1).otherwise(0), "stop_grp")
     first = F.min_by(F.struct("lat", "lon", "eta", "static_ts", "dest_clean", "port_lo", "port_name", "port_lat", "port_lon"), F.struct("ts", "row_id", F.coalesce("static_ts", F.lit("9999-12-31").cast("timestamp")), F.coalesce("eta", F.lit("9999-12-31").cast("timestamp")), F.coalesce("dest_clean", F.lit(chr(0xFFFF))), F.coalesce("port_lo", F.lit(chr(0xFFFF)))))
     s = grouped.where(F.col("sog") < SLOW_KN).groupBy("mmsi", "stop_grp").agg(F.min("ts").alias("stop_start"), F.max("ts").alias("stop_end"), first.alias("f"))
     return s.select("mmsi", "stop_grp", "stop_start", "stop_end", timefns.boundaries_crossed("minute", "stop_start", "stop_end").alias("dur_min"), "f.*").where(F.col("dur_min") >= LEAST_MIN)
@@ -334,7 +336,7 @@ def first_slow(positions: DataFrame, declared: DataFrame, span: DataFrame) -> Da
     d = _spans(declared)
     merged = rel.islands(d.withColumn("__top", F.max("__hi").over(before)), keys, [F.col("__lo"), F.col("__hi")], F.col("__lo") > F.col("__top")).groupBy(*keys, "island").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")).drop("island")
     slow = positions.where(F.col("sog") <= BERTH_KN)
-    met = rel.interval_join(slow, merged.withColumnsRenamed({"__lo": "__a", "__hi": "__b"}), "mmsi", F.unix_micros("ts"), F.col("__a"), F.col("__b"), DAY, span)
+    met = rel.interval_join(slow, merged.withColumnsRenamed({"__lo": "__a", "__hi": "__b"}), "mmsi", F.unix_micros("ts"), F.col("__a"), F.col("__b"), SLOT, span)
     near = met.drop("__a", "__b").where(geo.haversine_km("lat", "lon", "port_lat", "port_lon") <= RADIUS_KM).withColumn("__at", F.unix_micros("ts"))
     one = rel.first_by(near, keys, [F.col("ts").asc(), F.col("row_id").asc()]).withColumnsRenamed({k: f"__{k}" for k in keys[1:]})
     same = F.lit(True)
@@ -354,8 +356,8 @@ def stop_events_of(positions: DataFrame, declared: DataFrame) -> DataFrame:
     p = positions.where("sog is not null").withColumns({"__at": F.unix_micros("ts"), "__o": F.lit(1), "__by": F.lit(0)})
     every = p.unionByName(edge("__lo", 0, 1)).unionByName(edge("__hi", 2, -1))
     order = [F.col("__at"), F.col("__o"), F.col("row_id")]
-    k = rel.running(every.withColumn("__day", F.floor(F.col("__at") / DAY)), ["mmsi"], "__day", order, F.col("__by"), "__k")
-    grouped = rel.running(k, ["mmsi"], "__day", order, F.when((F.col("__o") == 1) & (F.col("sog") >= SLOW_KN), F.col("__k")).otherwise(0), "stop_grp").where("__o = 1 and __k > 0")
+    k = rel.running(every.withColumn("__slot", F.floor(F.col("__at") / SLOT)), ["mmsi"], "__slot", order, F.col("__by"), "__k")
+    grouped = rel.running(k, ["mmsi"], "__slot", order, F.when((F.col("__o") == 1) & (F.col("sog") >= SLOW_KN), F.col("__k")).otherwise(0), "stop_grp").where("__o = 1 and __k > 0")
     s = grouped.where(F.col("sog") < SLOW_KN).groupBy("mmsi", "stop_grp").agg(F.min("ts").alias("stop_start"), F.max("ts").alias("stop_end"), F.min_by(F.struct("lat", "lon", "__at"), F.struct("ts", "row_id")).alias("f"))
     s = s.withColumn("dur_min", timefns.boundaries_crossed("minute", "stop_start", "stop_end")).where(F.col("dur_min") >= LEAST_MIN)
     met = s.select("mmsi", "stop_grp", "stop_start", "stop_end", "dur_min", "f.*").join(d, "mmsi").where("__at between __lo and __hi")
@@ -411,7 +413,7 @@ SOON = 4
 def departures(calls: DataFrame, positions: DataFrame, span: DataFrame, strict: bool = False) -> DataFrame:
     """First fix under way beyond reach of the port after the arrival; per vessel and port, or in `strict` per call.
 
-    Calls meet the fixes of the next days, by (vessel, day); only those that don't end there meet all later ones, so a
+    Calls meet the fixes of the next days, by (vessel, quarter of a day); only those that don't end there meet all later ones, so a
     vessel's calls times its history are joined for open calls alone.
     """
     keys = ["mmsi", "port_lo", "arrival_ts"] if strict else ["mmsi", "port_lo"]
@@ -420,7 +422,7 @@ def departures(calls: DataFrame, positions: DataFrame, span: DataFrame, strict:
     asked = calls.select(*call).where("port_lo is not null and port_lat is not null and port_lon is not null").distinct()
 
     def exits(some: DataFrame, until: Column) -> DataFrame:
-        met = rel.interval_join(moving, some, "mmsi", F.unix_micros("ts"), F.unix_micros("arrival_ts") + 1, until, DAY, span)
+        met = rel.interval_join(moving, some, "mmsi", F.unix_micros("ts"), F.unix_micros("arrival_ts") + 1, until, SLOT, span)
         out = met.where(geo.haversine_km("lat", "lon", "port_lat", "port_lon") > RADIUS_KM)
         return out.groupBy(*call).agg(F.min(F.struct("ts", "row_id", "lat", "lon")).alias("f"))
 
