@@ -32,7 +32,7 @@ def test_snapshot_reads_few_columns_and_pushes_its_filters(spark, data):
     assert "WindowGroupLimit" in p
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p4_found", "p7_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p3_found", "p4_found", "p5_found", "p5_regions", "p6_found", "p7_found"])
 def test_problem_queries_prune_columns(spark, data, name):
     p = plan(entry.queries()[name](spark, data))
     scans = re.findall(r"FileScan parquet \[([^\]]*)\]", p)

@@ -139,6 +139,24 @@ _HOUR = "(epoch_us(ts) - ((epoch_us(ts) % 3600000000) + 3600000000) % 3600000000
 _DUPES = "row_number() over (partition by mmsi, ts, message_type order by received_at nulls last, row_id)"
 _RING = ", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate([(1.0, 0.0), (0.7, 0.7), (0.0, 1.0), (-0.7, 0.7), (-1.0, 0.0), (-0.7, -0.7), (0.0, -1.0), (0.7, -0.7)]))
 
+_HAV = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+#: Stops by the definition: from each slow ping the pings that it reaches, then a walk from stretch to stretch.
+_P6 = f"""
+  with recursive one as (select mmsi, ts, lat, lon, sog from vessels_positions where mmsi is not null and ts is not null qualify row_number() over (partition by mmsi, ts order by lat nulls first, lon nulls first, sog nulls first) = 1),
+  silent as (select *, row_number() over w as i, epoch_us(ts) as t, case when epoch_us(ts) - lag(epoch_us(ts)) over w > 7200000000 then 1 else 0 end as cut from one window w as (partition by mmsi order by ts)),
+  ping as (select *, sum(cut) over (partition by mmsi order by i) as part, coalesce(sog >= 0 and sog < 0.5 and abs(lat) <= 90 and abs(lon) <= 180, false) as good from silent),
+  fit as (select a.mmsi, a.part, a.i, a.t, b.i as j, b.t as tj, b.lat, b.lon, b.i - lag(b.i) over (partition by a.mmsi, a.i order by b.i) as step
+          from ping a join ping b on b.mmsi = a.mmsi and b.part = a.part and b.i >= a.i and a.good and b.good and {_HAV.format(a='a.lat', b='a.lon', c='b.lat', d='b.lon')} <= 1),
+  whole as (select *, max(case when step > 3 then 1 else 0 end) over (partition by mmsi, i order by j) as over from fit),
+  reach as (select mmsi, part, i, any_value(t) as t, max(j) as last, max(tj) as until, median(lat) as lat, median(lon) as lon from whole where over = 0 group by 1, 2, 3),
+  hop as (select *, case when until - t >= 1800000000 then last else i end as past from reach),
+  jump as (select h.mmsi, h.i, min(n.i) as next from hop h join hop n on n.mmsi = h.mmsi and n.part = h.part and n.i > h.past group by 1, 2),
+  walk as (select mmsi, min(i) as i from hop group by mmsi, part union all select j.mmsi, j.next from walk w join jump j on j.mmsi = w.mmsi and j.i = w.i),
+  stop as (select h.mmsi, h.t, h.until, h.lat, h.lon from walk w join hop h on h.mmsi = w.mmsi and h.i = w.i where h.until - h.t >= 1800000000),
+  pair as (select *, lead(t) over w as nt, lead(lat) over w as nlat, lead(lon) over w as nlon from stop window w as (partition by mmsi order by t))
+  select mmsi, 'stop' as kind, t as start_us, until as end_us from stop
+  union all select mmsi, 'trip', until, nt from pair where nt is not null and {_HAV.format(a='lat', b='lon', c='nlat', d='nlon')} > 2"""
+
 SQL = {
     "p1_found": _P1,
     "p1_attributes": f"""
@@ -174,6 +192,7 @@ SQL = {
         from vessels_positions v join edge e on v.lat >= least(e.y1, e.y2) and v.lat < greatest(e.y1, e.y2) and v.lon < e.x1 + (v.lat - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1)
         where v.lat between -90 and 90 and v.lon between -180 and 180
         group by all having count(*) % 2 = 1)""",
+    "p6_found": _P6,
     "p7_found": f"select row_id from (select row_id, {_DUPES} as n from messages where mmsi is not null and ts is not null and message_type is not null) where n > 1",
     "p7_accepted": f"select row_id from (select row_id, {_DUPES} as n from messages where mmsi is not null and ts is not null and message_type is not null) where n = 1",
 }
