@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tidewater.plans import features, gold, serving
 
 #: Cross joins with one row (a mean, a maximum, the bounds of time), or with the five shards.
-ONE_ROW = {"eta_window_join", "geofence_arrivals", "box_geofence", "stop_islands", "speed_arrivals", "arrivals_union_anti", "departures_first_exit", "port_calls_full", "port_calls_history", "arrival_journeys", "port_congestion_hourly", "congestion_normalised", "q_port_congestion_latest", "median_fill", "port_stats", "sample_weights"}
+ONE_ROW = {"eta_window_join", "geofence_arrivals", "box_geofence", "stop_islands", "speed_arrivals", "arrivals_union_anti", "departures_first_exit", "port_calls_full", "arrival_journeys", "port_congestion_hourly", "congestion_normalised", "q_port_congestion_latest", "median_fill", "port_stats", "sample_weights"}
 
 
 def plan(df) -> str:

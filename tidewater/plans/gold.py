@@ -213,9 +213,8 @@ def priority_port_match(spark, d):
 
 # port calls
 
-_DECL = "(select mmsi, dest_clean, eta, static_ts, port_lo, port_name, port_lat, port_lon from matched_decl where mmsi is not null and dest_clean is not null and eta is not null qualify row_number() over (partition by mmsi, dest_clean order by static_ts desc nulls last, decl_id) = 1)"
-#: As `declarations_by_eta`: the reference's reduction over a whole history.
-_DECL_BY_ETA = "(select distinct mmsi, dest_clean, eta, static_ts, port_lo, port_name, port_lat, port_lon from (select * from matched_decl where mmsi is not null and dest_clean is not null and eta is not null qualify row_number() over (partition by mmsi, dest_raw, eta order by static_ts desc nulls last, decl_id) = 1))"
+#: As `declarations_by_eta`.
+_DECL = "(select distinct mmsi, dest_clean, eta, static_ts, port_lo, port_name, port_lat, port_lon from (select * from matched_decl where mmsi is not null and dest_clean is not null and eta is not null qualify row_number() over (partition by mmsi, dest_raw, eta order by static_ts desc nulls last, decl_id) = 1))"
 _FIX = f"(select row_id, mmsi, ts, lat, lon, sog from messages where message_type in {_TRACK} and lat is not null and lon is not null and mmsi is not null and ts is not null qualify row_number() over (partition by mmsi, ts order by row_id) = 1)"
 _POS_ETA = f"select p.*, m.* exclude (mmsi) from {_FIX} p join {_DECL} m on p.mmsi = m.mmsi and p.ts >= m.static_ts - interval 1 day and p.ts <= coalesce(m.eta, m.static_ts) + interval 7 day"
 
@@ -225,12 +224,6 @@ def fixes(m: DataFrame) -> DataFrame:
     return rel.first_by(p.select("row_id", "mmsi", "ts", "lat", "lon", "sog"), ["mmsi", "ts"], [F.col("row_id").asc()])
 
 
-def declarations(m: DataFrame) -> DataFrame:
-    """The latest declaration of each vessel and destination: as many as places it names, however often it sends."""
-    d = m.where("mmsi is not null and dest_clean is not null and eta is not null")
-    return rel.first_by(d, ["mmsi", "dest_clean"], [F.col("static_ts").desc_nulls_last(), F.col("decl_id").asc()]).select("mmsi", "dest_clean", "eta", "static_ts", "port_lo", "port_name", "port_lat", "port_lon")
-
-
 def declarations_by_eta(m: DataFrame) -> DataFrame:
     """The latest declaration of each vessel, destination as sent and eta: what was declared before a vessel named a
     place again is kept, with as many rows as it gave times."""
@@ -244,20 +237,29 @@ def span_of(m: DataFrame) -> DataFrame:
 
 
 def positions_in_window(positions: DataFrame, declared: DataFrame, span: DataFrame) -> DataFrame:
-    """Each fix with the declarations of its vessel whose window [declared - 1 day, eta + 7 days] it lies in; with
-    `declarations` a fix meets each place its vessel has named at most once. The join is spread over (vessel,
+    """Each fix with the declarations of its vessel whose window [declared - 1 day, eta + 7 days] it lies in: a row for
+    each of the two. What only needs the first of them goes by `first_slow` and `stop_events_of`. The join is spread over (vessel,
     quarter of a day), and the quarter stays in the result as __slot for what goes on with it."""
     return rel.interval_join(positions, declared, "mmsi", F.unix_micros("ts"), F.unix_micros("static_ts") - DAY, F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY, SLOT, span, keep="__slot")
 
 
-def _window(spark, d):
+def _inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fixes, declarations and the span of time."""
     m = table(spark, d, "messages")
-    return positions_in_window(fixes(m), declarations(table(spark, d, "matched_decl")), span_of(m))
+    return fixes(m), declarations_by_eta(table(spark, d, "matched_decl")), span_of(m)
+
+
+def _slow(spark, d, most_kn: float = BERTH_KN) -> DataFrame:
+    return first_slow(*_inputs(spark, d), most_kn)
+
+
+def _stops(spark, d) -> DataFrame:
+    return stop_events_of(*_inputs(spark, d)[:2])
 
 
 @CAT.add(f"select mmsi, count(*) as n, count(distinct row_id) as fixes, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us from ({_POS_ETA}) group by 1")
 def eta_window_join(spark, d):
-    return _window(spark, d).groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("fixes"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
+    return positions_in_window(*_inputs(spark, d)).groupBy("mmsi").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("fixes"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"))
 
 
 ARRIVAL = ("mmsi", "dest_clean", "port_lo", "port_name", "port_lat", "port_lon", "arrival_ts", "arrival_lat", "arrival_lon", "eta", "static_ts", "detection_method")
@@ -287,7 +289,7 @@ def _us(df: DataFrame) -> DataFrame:
 
 @CAT.add(f"select {_US} from ({_GEO})")
 def geofence_arrivals(spark, d):
-    return _us(geofenced(_window(spark, d)))
+    return _us(geofenced(_slow(spark, d)))
 
 
 _NEAR = f"""
@@ -309,7 +311,7 @@ def boxed_arrivals(window: DataFrame, most_kn: float = 5.0, half_deg: float = 0.
 
 @CAT.add(f"select mmsi, port_lo, epoch_us(static_ts) as static_us, row_id, epoch_us(ts) as ts_us, km from ({_NEAR})")
 def box_geofence(spark, d):
-    return boxed_arrivals(_window(spark, d)).select("mmsi", "port_lo", F.unix_micros("static_ts").alias("static_us"), "row_id", F.unix_micros("ts").alias("ts_us"), F.round("km", 6).alias("km"))
+    return boxed_arrivals(_slow(spark, d, 5.0)).select("mmsi", "port_lo", F.unix_micros("static_ts").alias("static_us"), "row_id", F.unix_micros("ts").alias("ts_us"), F.round("km", 6).alias("km"))
 
 
 _ORDER = "ts, row_id, static_ts nulls last, eta nulls last, dest_clean nulls last, port_lo nulls last"
@@ -328,14 +330,14 @@ def _spans(declared: DataFrame) -> DataFrame:
     return declared.withColumns({"__lo": F.unix_micros("static_ts") - DAY, "__hi": F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY}).where("__lo <= __hi")
 
 
-def first_slow(positions: DataFrame, declared: DataFrame, span: DataFrame) -> DataFrame:
+def first_slow(positions: DataFrame, declared: DataFrame, span: DataFrame, most_kn: float = BERTH_KN) -> DataFrame:
     """Of `positions_in_window` the rows that `geofenced` chooses from: the first slow fix at each vessel's declared
     port with its declarations. Windows of one vessel and place are merged before fixes meet them."""
     keys = ["mmsi", "port_lo", "port_lat", "port_lon"]
     before = Window.partitionBy(*keys).orderBy("__lo", "__hi").rowsBetween(Window.unboundedPreceding, -1)
     d = _spans(declared)
     merged = rel.islands(d.withColumn("__top", F.max("__hi").over(before)), keys, [F.col("__lo"), F.col("__hi")], F.col("__lo") > F.col("__top")).groupBy(*keys, "island").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")).drop("island")
-    slow = positions.where(F.col("sog") <= BERTH_KN)
+    slow = positions.where(F.col("sog") <= most_kn)
     met = rel.interval_join(slow, merged.withColumnsRenamed({"__lo": "__a", "__hi": "__b"}), "mmsi", F.unix_micros("ts"), F.col("__a"), F.col("__b"), SLOT, span)
     near = met.drop("__a", "__b").where(geo.haversine_km("lat", "lon", "port_lat", "port_lon") <= RADIUS_KM).withColumn("__at", F.unix_micros("ts"))
     one = rel.first_by(near, keys, [F.col("ts").asc(), F.col("row_id").asc()]).withColumnsRenamed({k: f"__{k}" for k in keys[1:]})
@@ -374,7 +376,7 @@ _STOPS = f"""
 
 @CAT.add(f"select mmsi, stop_grp, epoch_us(stop_start) as start_us, epoch_us(stop_end) as end_us, dur_min, lat, lon, dest_clean, port_lo from ({_STOPS})")
 def stop_islands(spark, d):
-    return stop_events(_window(spark, d)).select("mmsi", "stop_grp", F.unix_micros("stop_start").alias("start_us"), F.unix_micros("stop_end").alias("end_us"), "dur_min", "lat", "lon", "dest_clean", "port_lo")
+    return _stops(spark, d).select("mmsi", "stop_grp", F.unix_micros("stop_start").alias("start_us"), F.unix_micros("stop_end").alias("end_us"), "dur_min", "lat", "lon", "dest_clean", "port_lo")
 
 
 def by_speed(stops: DataFrame) -> DataFrame:
@@ -390,7 +392,7 @@ _SPEED = f"""
 
 @CAT.add(f"select {_US} from ({_SPEED})")
 def speed_arrivals(spark, d):
-    return _us(by_speed(stop_events(_window(spark, d))))
+    return _us(by_speed(_stops(spark, d)))
 
 
 def arrivals(window: DataFrame, stops: DataFrame | None = None) -> DataFrame:
@@ -403,7 +405,7 @@ _ARRIVALS = f"select * from ({_GEO}) union all select * from ({_SPEED}) a where
 
 @CAT.add(f"select {_US} from ({_ARRIVALS})")
 def arrivals_union_anti(spark, d):
-    return _us(arrivals(_window(spark, d)))
+    return _us(arrivals(_slow(spark, d), _stops(spark, d)))
 
 
 #: Days after an arrival that are searched first for the departure; what they don't hold is searched for in all later fixes.
@@ -440,8 +442,8 @@ _DEPART = f"""
 
 @CAT.add(f"select mmsi, port_lo, epoch_us(departure_ts) as departure_us, departure_lat, departure_lon from ({_DEPART})")
 def departures_first_exit(spark, d):
-    m = table(spark, d, "messages")
-    got = departures(settle(arrivals(_window(spark, d))), fixes(m), span_of(m))
+    fixed, _, span = _inputs(spark, d)
+    got = departures(settle(arrivals(_slow(spark, d), _stops(spark, d))), fixed, span)
     return got.select("mmsi", "port_lo", F.unix_micros("departure_ts").alias("departure_us"), "departure_lat", "departure_lon")
 
 
@@ -455,15 +457,8 @@ def port_calls(window: DataFrame, positions: DataFrame, span: DataFrame, strict:
 
 @CAT.add(f"select {_US}, epoch_us(departure_ts) as departure_us, (arrival_ts at time zone 'UTC')::date as arrival_date from (select a.*, d.departure_ts, d.departure_lat, d.departure_lon from ({_ARRIVALS}) a left join ({_DEPART}) d on a.mmsi = d.mmsi and a.port_lo = d.port_lo)".replace("* exclude (arrival_ts,", "* exclude (departure_ts, arrival_ts,"))
 def port_calls_full(spark, d):
-    m = table(spark, d, "messages")
-    return _us(port_calls(_window(spark, d), fixes(m), span_of(m)))
-
-
-@CAT.add(CAT.sql["port_calls_full"].replace(_DECL, _DECL_BY_ETA))
-def port_calls_history(spark, d):
-    """As `port_calls_full`, with every declared eta, over a table of more than a day."""
-    m, declared = table(spark, d, "messages"), declarations_by_eta(table(spark, d, "matched_decl"))
-    fixed, span = fixes(m), span_of(m)
+    """Calls over a whole history, with every eta that was declared."""
+    fixed, declared, span = _inputs(spark, d)
     return _us(port_calls(first_slow(fixed, declared, span), fixed, span, stops=stop_events_of(fixed, declared)))
 
 
