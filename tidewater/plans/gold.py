@@ -243,18 +243,11 @@ def positions_in_window(positions: DataFrame, declared: DataFrame, span: DataFra
     return rel.interval_join(positions, declared, "mmsi", F.unix_micros("ts"), F.unix_micros("static_ts") - DAY, F.unix_micros(F.coalesce("eta", "static_ts")) + 7 * DAY, SLOT, span, keep="__slot")
 
 
-def _inputs(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fixes, declarations and the span of time."""
+def _inputs(spark, d, again: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fixes, declarations and the span of time; fixes that a plan goes over again and again are settled."""
     m = table(spark, d, "messages")
-    return fixes(m), declarations_by_eta(table(spark, d, "matched_decl")), span_of(m)
-
-
-def _slow(spark, d, most_kn: float = BERTH_KN) -> DataFrame:
-    return first_slow(*_inputs(spark, d), most_kn)
-
-
-def _stops(spark, d) -> DataFrame:
-    return stop_events_of(*_inputs(spark, d)[:2])
+    fixed = fixes(m)
+    return settle(fixed) if again else fixed, declarations_by_eta(table(spark, d, "matched_decl")), span_of(m)
 
 
 @CAT.add(f"select mmsi, count(*) as n, count(distinct row_id) as fixes, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us from ({_POS_ETA}) group by 1")
@@ -289,7 +282,7 @@ def _us(df: DataFrame) -> DataFrame:
 
 @CAT.add(f"select {_US} from ({_GEO})")
 def geofence_arrivals(spark, d):
-    return _us(geofenced(_slow(spark, d)))
+    return _us(geofenced(first_slow(*_inputs(spark, d))))
 
 
 _NEAR = f"""
@@ -311,7 +304,7 @@ def boxed_arrivals(window: DataFrame, most_kn: float = 5.0, half_deg: float = 0.
 
 @CAT.add(f"select mmsi, port_lo, epoch_us(static_ts) as static_us, row_id, epoch_us(ts) as ts_us, km from ({_NEAR})")
 def box_geofence(spark, d):
-    return boxed_arrivals(_slow(spark, d, 5.0)).select("mmsi", "port_lo", F.unix_micros("static_ts").alias("static_us"), "row_id", F.unix_micros("ts").alias("ts_us"), F.round("km", 6).alias("km"))
+    return boxed_arrivals(first_slow(*_inputs(spark, d), 5.0)).select("mmsi", "port_lo", F.unix_micros("static_ts").alias("static_us"), "row_id", F.unix_micros("ts").alias("ts_us"), F.round("km", 6).alias("km"))
 
 
 _ORDER = "ts, row_id, static_ts nulls last, eta nulls last, dest_clean nulls last, port_lo nulls last"
@@ -376,7 +369,7 @@ _STOPS = f"""
 
 @CAT.add(f"select mmsi, stop_grp, epoch_us(stop_start) as start_us, epoch_us(stop_end) as end_us, dur_min, lat, lon, dest_clean, port_lo from ({_STOPS})")
 def stop_islands(spark, d):
-    return _stops(spark, d).select("mmsi", "stop_grp", F.unix_micros("stop_start").alias("start_us"), F.unix_micros("stop_end").alias("end_us"), "dur_min", "lat", "lon", "dest_clean", "port_lo")
+    return stop_events_of(*_inputs(spark, d, again=True)[:2]).select("mmsi", "stop_grp", F.unix_micros("stop_start").alias("start_us"), F.unix_micros("stop_end").alias("end_us"), "dur_min", "lat", "lon", "dest_clean", "port_lo")
 
 
 def by_speed(stops: DataFrame) -> DataFrame:
@@ -392,7 +385,7 @@ _SPEED = f"""
 
 @CAT.add(f"select {_US} from ({_SPEED})")
 def speed_arrivals(spark, d):
-    return _us(by_speed(_stops(spark, d)))
+    return _us(by_speed(stop_events_of(*_inputs(spark, d, again=True)[:2])))
 
 
 def arrivals(window: DataFrame, stops: DataFrame | None = None) -> DataFrame:
@@ -405,7 +398,8 @@ _ARRIVALS = f"select * from ({_GEO}) union all select * from ({_SPEED}) a where
 
 @CAT.add(f"select {_US} from ({_ARRIVALS})")
 def arrivals_union_anti(spark, d):
-    return _us(arrivals(_slow(spark, d), _stops(spark, d)))
+    fixed, declared, span = _inputs(spark, d, again=True)
+    return _us(arrivals(first_slow(fixed, declared, span), stop_events_of(fixed, declared)))
 
 
 #: Days after an arrival that are searched first for the departure; what they don't hold is searched for in all later fixes.
@@ -442,8 +436,8 @@ _DEPART = f"""
 
 @CAT.add(f"select mmsi, port_lo, epoch_us(departure_ts) as departure_us, departure_lat, departure_lon from ({_DEPART})")
 def departures_first_exit(spark, d):
-    fixed, _, span = _inputs(spark, d)
-    got = departures(settle(arrivals(_slow(spark, d), _stops(spark, d))), fixed, span)
+    fixed, declared, span = _inputs(spark, d, again=True)
+    got = departures(settle(arrivals(first_slow(fixed, declared, span), stop_events_of(fixed, declared))), fixed, span)
     return got.select("mmsi", "port_lo", F.unix_micros("departure_ts").alias("departure_us"), "departure_lat", "departure_lon")
 
 
@@ -458,7 +452,7 @@ def port_calls(window: DataFrame, positions: DataFrame, span: DataFrame, strict:
 @CAT.add(f"select {_US}, epoch_us(departure_ts) as departure_us, (arrival_ts at time zone 'UTC')::date as arrival_date from (select a.*, d.departure_ts, d.departure_lat, d.departure_lon from ({_ARRIVALS}) a left join ({_DEPART}) d on a.mmsi = d.mmsi and a.port_lo = d.port_lo)".replace("* exclude (arrival_ts,", "* exclude (departure_ts, arrival_ts,"))
 def port_calls_full(spark, d):
     """Calls over a whole history, with every eta that was declared."""
-    fixed, declared, span = _inputs(spark, d)
+    fixed, declared, span = _inputs(spark, d, again=True)
     return _us(port_calls(first_slow(fixed, declared, span), fixed, span, stops=stop_events_of(fixed, declared)))
 
 
