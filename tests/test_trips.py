@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests import brute
@@ -94,3 +95,47 @@ def test_every_earlier_stop_may_go_on(spark):
     got = spark.createDataFrame(rows, "m long, t long, lat double, lon double, sog double").selectExpr("m", "timestamp_micros(t) as t", "lat", "lon", "sog")
     r = trips.stops_and_trips(got, source="m", event_time="t", lat="lat", lon="lon", speed="sog").collect()
     assert [(x.kind, x.start_us, x.end_us) for x in r] == [("stop", rows[0][1], rows[-1][1])]
+
+
+def day_of(pattern, minutes=5):
+    """Columns of one vessel's day: a speed a ping; where it isn't slow the vessel goes on north."""
+    sog = np.array(pattern, float)
+    n = len(sog)
+    return {"__source": np.ones(n, int), "__day": np.zeros(n, int), "__t": np.arange(n) * minutes * MIN, "lat": 10 + np.cumsum(np.where(sog >= 2, sog * minutes / 3600, 0.0)), "lon": np.full(n, 20.0), "sog": sog}
+
+
+def pieces(c):
+    r = trips._day(c, trips.Rules(), trips.Model())
+    return [x for x in zip(r["kind"], r["first"], r["last"], strict=True) if x[0] == "piece"]
+
+
+def test_what_is_not_decoded_as_stopped_is_not_reported(monkeypatch):
+    c = day_of([12.0] * 10 + [0.1] * 12 + [12.0] * 10 + [0.9, 0.3] * 8 + [12.0] * 10)
+    found = pieces(c)
+    assert found == [("piece", 10, 21), ("piece", 33, 47)]
+    monkeypatch.setattr(trips, "decode", lambda t, *_: np.arange(len(t)) < 30)
+    assert pieces(c) == found[:1]
+    monkeypatch.setattr(trips, "decode", lambda t, *_: np.zeros(len(t), bool))
+    assert pieces(c) == []
+    monkeypatch.setattr(trips, "decode", lambda t, *_: np.ones(len(t), bool))
+    assert pieces(c) == found
+
+
+def test_decoding_loses_no_stretch_whatever_the_model():
+    rng, rules, lost = np.random.default_rng(4), trips.Rules(), 0
+    models = [trips.Model(), trips.Model(slow_if_travelling=0.9), trips.Model(stop_hours=200, stop_spread=0.2), trips.Model(slow_if_stopped=0.05, travel_hours=0.1)]
+    for k in range(200):
+        n = int(rng.integers(1, 120))
+        t = np.cumsum(rng.integers(1, 20, n)) * MIN
+        slow = rng.random(n) < rng.choice([0.1, 0.4, 0.6, 0.95])
+        known = slow | (rng.random(n) < 0.7)
+        open_start, open_end = bool(k & 1), bool(k & 2)
+        stop = trips.decode(t, slow, known, rules, open_start, open_end, models[k % 4])
+        lost += (~stop).sum()
+        for i in np.flatnonzero(slow):
+            j = i
+            while (on := np.flatnonzero(slow[j + 1 : j + 2 + rules.strays])).size:
+                j += 1 + int(on[-1])
+            if t[j] - t[i] >= rules.least_us or (open_start and i <= rules.strays) or (open_end and n - 1 - j <= rules.strays):
+                assert stop[i : j + 1].all()
+    assert lost  # the rest may be travelling

@@ -1,12 +1,13 @@
 """Stops and trips from location pings.
 
-A hidden semi-Markov model with two states, stopped and travelling, is decoded over each vessel's pings: speeds are
-observed with a share of strays in either state, and each state has an explicit duration distribution (log-normal),
-under which neither a stop of minutes nor a journey of two stray pings is likely. Silences of over two hours split
-the sequence, as the state behind them is unknown. What is decoded as a stop, with a few pings around it, and
-every run of slow pings never more than two strays apart that lasts half an hour, which the model may take for
-travelling where strays are many, is then held to the definition: a longest stretch that keeps below `slow` knots and
-within `radius` km, in which one or two successive strays are passed over. Between two stops that lie apart is a trip.
+A hidden semi-Markov model with two states, stopped and travelling, is decoded over each vessel's pings: slow spells
+(slow pings never more than two strays apart) are observed with a chance in either state, and each state has an
+explicit duration distribution (log-normal), under which a stop of minutes isn't likely. A journey can't hold a spell of
+half an hour, nor one that a day's edge cuts, however likely it is otherwise. Silences of over two hours split the
+sequence, as the state behind them is unknown. What is decoded as stopped, and nothing else, is then held to the
+definition: a longest stretch that keeps below `slow` knots and within `radius` km, in which one or two successive
+strays are passed over. Such a stretch is part of a spell, so none is lost to the model, whatever its parameters are.
+Between two stops that lie apart is a trip.
 
 Plan: decoding is grouped by (vessel, day), so a vessel with a third of all pings is spread over its days and a group
 is what one transponder sends in a day. A day's edge cuts states, so there durations count as censored, and pieces of
@@ -44,11 +45,11 @@ class Rules:
 
 @dataclass(frozen=True)
 class Model:
-    """Chance of a slow ping in either state; median hours and spread (of the logarithm) of their durations.
+    """Chance of a ping of a slow spell in either state; median hours and spread (of the logarithm) of their durations.
 
     The defaults are wide on purpose: a stop of a fix's length and one of a week lie within two spreads. `fitted` takes
-    the durations from stops and trips found in the data. What is reported doesn't hang on them, as the definition is
-    checked in every run of slow pings; they say where a state is looked for first.
+    the durations from stops and trips found in the data. They decide which spells of less than half an hour are looked
+    at with the longer ones. What is reported doesn't hang on them, as the definition has no stop in these.
     """
 
     slow_if_stopped: float = 0.97
@@ -86,13 +87,23 @@ def _log_duration(us: np.ndarray, hours: float, spread: float, least_us: int, op
 def decode(t: np.ndarray, slow: np.ndarray, known: np.ndarray, rules: Rules, open_start: bool, open_end: bool, model: Model = Model()) -> np.ndarray:
     """Semi-Markov Viterbi: for each ping whether it is decoded as stopped.
 
+    Observed are slow spells, with the strays in them; outside of them what is not `known` tells nothing. A journey that
+    holds a spell of `least_us`, or one that may be longer than it is seen beyond an open edge, has no likelihood, so
+    each of these lies whole in one state of being stopped.
+
     Pings in a row with the same observation form a run, and states change between runs only (a change within a run
     is never likelier than one at its edge), so the work is quadratic in the runs, not in the pings.
     """
     n = len(t)
     if not n:
         return np.zeros(0, bool)
-    code = np.where(known, slow.astype(np.int8), -1)
+    code, barred, edge = np.where(known, 0, -1).astype(np.int8), np.zeros(n, bool), rules.strays + 1
+    at = np.flatnonzero(slow)
+    if len(at):
+        gaps = np.flatnonzero(np.diff(at) > edge)
+        for i, j in zip(at[np.r_[0, gaps + 1]], at[np.r_[gaps, len(at) - 1]], strict=True):
+            code[i : j + 1] = 1
+            barred[i : j + 1] = t[j] - t[i] >= rules.least_us or (open_start and i < edge) or (open_end and n - 1 - j < edge)
     cuts = np.r_[np.flatnonzero(np.r_[True, code[1:] != code[:-1]]), n]
     a, b = model.slow_if_stopped, model.slow_if_travelling
     chance = {1: (math.log(a), math.log(b)), 0: (math.log(1 - a), math.log(1 - b)), -1: (0.0, 0.0)}
@@ -101,6 +112,7 @@ def decode(t: np.ndarray, slow: np.ndarray, known: np.ndarray, rules: Rules, ope
         for s in (0, 1):
             like[s, k + 1] = like[s, k] + (cuts[k + 1] - cuts[k]) * chance[int(code[cuts[k]])][s]
     begin, finish = t[cuts[:-1]], t[cuts[1:] - 1]
+    barred_before = np.r_[0, np.cumsum(barred)][cuts]
     r = len(cuts) - 1
     best = np.full((2, r + 1), -np.inf)
     best[:, 0] = 0.0
@@ -109,12 +121,12 @@ def decode(t: np.ndarray, slow: np.ndarray, known: np.ndarray, rules: Rules, ope
         for s, hours, spread, least in ((0, model.stop_hours, model.stop_spread, rules.least_us), (1, model.travel_hours, model.travel_spread, 1)):
             span = finish[j - 1] - begin[:j]
             length = _log_duration(span, hours, spread, least, open_end and j == r)
-            if s == 1 and not (open_end and j == r):
-                length = length + np.where(cuts[j] - cuts[:j] <= rules.strays, TOO_SHORT, 0.0)
             if open_start:
                 length = np.array(length, float)
                 length[0] = _log_duration(span[:1], hours, spread, least, True)[0]
             score = best[1 - s, :j] + like[s, j] - like[s, :j] + length
+            if s == 1:
+                score = np.where(barred_before[j] > barred_before[:j], -np.inf, score)
             came[s, j] = int(score.argmax())
             best[s, j] = score[came[s, j]]
     out, s, j = np.zeros(n, bool), int(best[:, r].argmax()), r
@@ -188,8 +200,8 @@ def _day(c: Columns, rules: Rules, model: Model) -> dict:
     n = len(t)
     placed = (np.abs(lat) <= 90) & (np.abs(lon) <= 180)
     known = (sog >= 0) & (sog <= 102.2)
-    slow = known & (sog < rules.slow)
-    good = slow & placed
+    good = known & (sog < rules.slow) & placed
+    moving = known & (sog >= rules.slow)
     path, first_place, before = _path(t, lat, lon, placed, rules)
     rows: dict[str, list] = {k: [] for k in ("kind", "first", "last", "t0", "t1", "lat", "lon", "p0", "p1", "head", "tail")}
 
@@ -204,24 +216,8 @@ def _day(c: Columns, rules: Rules, model: Model) -> dict:
     parts = np.r_[0, np.flatnonzero(np.diff(t) > rules.silence_us) + 1, n]
     for a, b in zip(parts[:-1], parts[1:], strict=True):
         at_start, at_end = a == 0, b == n
-        stop = decode(t[a:b], slow[a:b], known[a:b], rules, at_start, at_end, model)
-        # some pings around, as strays at a stop's edge may be decoded either way; at the day's edge always
-        wide = stop.copy()
-        for k in range(1, edge + 2):
-            wide[k:] |= stop[:-k]
-            wide[:-k] |= stop[k:]
-        if at_start:
-            wide[:edge] = True
-        if at_end:
-            wide[-edge:] = True
-        # any stretch lies in one run of such pings, so none is missed whatever was decoded
-        at = a + np.flatnonzero(good[a:b])
-        if len(at):
-            gaps = np.flatnonzero(np.diff(at) > edge)
-            for i, j in zip(at[np.r_[0, gaps + 1]], at[np.r_[gaps, len(at) - 1]], strict=True):
-                if t[j] - t[i] >= rules.least_us or (at_start and i - a < edge) or (at_end and b - 1 - j < edge):
-                    wide[i - a : j - a + 1] = True
-        marks = np.flatnonzero(np.diff(np.r_[0, wide.astype(np.int8), 0]))
+        stop = decode(t[a:b], good[a:b], moving[a:b], rules, at_start, at_end, model)
+        marks = np.flatnonzero(np.diff(np.r_[0, stop.astype(np.int8), 0]))
         for lo, hi in zip(marks[::2] + a, marks[1::2] + a, strict=True):
             reported = -1
             for i, j in stretches(t, lat, lon, good, lo, hi, rules):
